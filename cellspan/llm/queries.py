@@ -5,18 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, simhash
+import corpus_pipeline
+
+from . import boilerplate, bpe, fixity, licenses, mixing, passages, quality, simhash, topk, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    out = topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+    return out.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    out = boilerplate.drop_boilerplate(docs)
+    return out.select(
+        "doc_id", "source", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5")
+    )
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = passages.repeated_units(_table(spark, sf_dir, "documents"))
+    return out.select(
+        F.col("id").alias("doc_id"),
+        F.col("start").alias("unit_start"),
+        F.col("end").alias("unit_end"),
+        "n_words",
+        F.col("kept_id").alias("kept_doc_id"),
+        "kept_start",
+    )
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -35,6 +63,30 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = licenses.scan(docs, licenses.known_licenses(spark))
+    return out.select("doc_id", "canonical_digest", "license", F.array_join("notices", ",").alias("notices"))
+
+
+def op8_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits the pages against a replica in which some records are shortened (page_id % 97 = 13) or lost (% 499 = 7)."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    short = F.when(F.col("page_id") % 97 == 13, F.expr("left(html, length(html) - 1)")).otherwise(F.col("html"))
+    replica = pages.where("page_id % 499 <> 7").withColumn("html", short)
+    out = fixity.audit(fixity.warc_records(pages), fixity.warc_records(replica))
+    return out.select(F.col("id").alias("page_id"), "kind", "file", "offset", "length")
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of urls: the number in a url is the id of the document it shows; quality 0 is bad."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    shown = pages.select("url", F.expr(r"try_cast(regexp_extract(url, r'/(\d+)', 1) as bigint)").alias("doc_id"))
+    labelled = shown.join(_table(spark, sf_dir, "labels"), "doc_id").select("url", (F.col("quality") == 0).alias("bad"))
+    out = urls.judge(pages, urls.mine(labelled))
+    return out.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return out.select(
@@ -45,13 +97,91 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_topk_search": op1_topk_search,
     "op2_mix_sources": op2_mix_sources,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_quality_rules": op6_quality_rules,
+    "op7_license_scan": op7_license_scan,
+    "op8_merkle_fixity": op8_merkle_fixity,
+    "op9_url_filter": op9_url_filter,
     "op10_simhash": op10_simhash,
+    "pipeline": corpus_pipeline.run,
 }
 
+#: The canonical form of a text for DuckDB; its engine needs the options of a pattern apart.
+_CANON = (
+    r"regexp_replace(lower({0}), '(?m)^[^\p{{L}}\p{{N}}\n]*(copyright\b[^\n]*([0-9]{{4}}|\(c\)|©)|\(c\)|©|all rights reserved)[^\n]*$', '', 'g')"
+)
+
+
+def _canonical(text: str) -> str:
+    out = _CANON.format(text)
+    for a, b in licenses.SPELLINGS:
+        out = f"replace({out}, '{a}', '{b}')"
+    return rf"trim(regexp_replace({out}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' ')"
+
+
+def _known_rows() -> str:
+    return ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in licenses.KNOWN)
+
+
 ORACLES: dict[str, str] = {
+    "op1_topk_search": r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op3_line_dedup": r"""
+WITH t AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS l,
+                  chr(32) || chr(9) || chr(13) || chr(12) || chr(11) AS ws FROM documents),
+u AS (SELECT source, unnest(list_distinct(list_filter(list_transform(l, lambda x: trim(x, ws)), lambda x: x <> ''))) AS line FROM t),
+c AS (SELECT source, line, count(*) AS pages FROM u GROUP BY ALL),
+h AS (SELECT source, count(*) AS host_pages FROM documents GROUP BY ALL),
+b AS (SELECT c.source, list(line) AS often FROM c JOIN h ON c.source IS NOT DISTINCT FROM h.source
+      WHERE pages >= 10 AND pages > host_pages * 0.02::DOUBLE GROUP BY ALL),
+k AS (SELECT t.doc_id, t.source, t.text, len(list_filter(l, lambda x: trim(x, ws) <> '')) AS n_lines, len(l) AS n,
+             list_filter(l, lambda x: trim(x, ws) = '' OR NOT list_contains(coalesce(often, []), trim(x, ws))) AS kept
+      FROM t LEFT JOIN b ON t.source IS NOT DISTINCT FROM b.source),
+o AS (SELECT *, array_to_string(kept, chr(10)) AS out FROM k)
+SELECT doc_id, source, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n - len(kept), 0)::BIGINT AS n_dropped,
+       length(out)::BIGINT AS kept_chars, md5(out) AS kept_md5 FROM o""",
+    "op4_substring_dedup": r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(text, '\n|[^\n.!?]+[.!?]*|[.!?]+') AS u FROM documents),
+x AS (SELECT doc_id, unnest(u) AS s, unnest(range(1, len(u) + 1)) AS i FROM t),
+y AS (SELECT *, sum(length(s)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM x),
+z AS (SELECT doc_id, e - length(s) AS st, e, trim(regexp_replace(lower(s), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS n FROM y),
+w AS (SELECT *, len(string_split(n, ' ')) AS n_words FROM z WHERE len(string_split(n, ' ')) >= 8),
+f AS (SELECT *, first_value(doc_id) OVER o AS kd, first_value(st) OVER o AS ks FROM w
+      WINDOW o AS (PARTITION BY n ORDER BY doc_id, st))
+SELECT doc_id, st::BIGINT AS unit_start, e::BIGINT AS unit_end, n_words::BIGINT AS n_words,
+       kd AS kept_doc_id, ks::BIGINT AS kept_start
+FROM f WHERE doc_id <> kd OR st <> ks""",
+    "op7_license_scan": rf"""
+WITH k AS (SELECT sha256({_canonical('t')}) AS digest, min(n) AS license FROM (VALUES {_known_rows()}) v(n, t) GROUP BY 1),
+l AS (SELECT doc_id, license FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents)
+      JOIN k ON sha256({_canonical('x')}) = digest WHERE {_canonical('x')} <> ''),
+n AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM l GROUP BY 1),
+d AS (SELECT doc_id, sha256({_canonical('text')}) AS canonical_digest FROM documents)
+SELECT d.doc_id, canonical_digest, license, coalesce(notices, '') AS notices
+FROM d LEFT JOIN k ON canonical_digest = digest LEFT JOIN n ON d.doc_id = n.doc_id""",
+    "op8_merkle_fixity": r"""
+WITH p AS (SELECT page_id, page_id - min(page_id) OVER () + 1 AS slot,
+                  strlen('WARC/1.0__WARC-Type: resource__WARC-Record-ID: <urn:page:' || page_id || '>__')
+                  + coalesce(strlen('WARC-Target-URI: ' || url || '__'), 0)
+                  + strlen('Content-Type: text/html__Content-Length: ' || strlen(coalesce(html, '')) || '____')
+                  + strlen(coalesce(html, '')) + 4 AS length FROM pages),
+o AS (SELECT page_id, slot // 4096 AS file, length,
+             sum(length) OVER (PARTITION BY slot // 4096 ORDER BY slot) - length AS off FROM p)
+SELECT page_id, CASE WHEN page_id % 499 = 7 THEN 'missing' ELSE 'changed' END AS kind,
+       file::BIGINT AS file, off::BIGINT AS "offset", length::BIGINT AS length
+FROM o WHERE page_id % 499 = 7 OR page_id % 97 = 13""",
     "op6_quality_rules": r"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS text,
