@@ -360,11 +360,7 @@ def canonical_ip(c: Column | str, keep_invalid: bool = False) -> Column:
 
     Spark has no function that compresses IPv6, so batches go to Python by Arrow.
     """
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("string")
-    def canonical(values: pd.Series) -> pd.Series:
+    def canonical(values):
         import ipaddress
 
         def one(v):
@@ -376,4 +372,4 @@ def canonical_ip(c: Column | str, keep_invalid: bool = False) -> Column:
 
         return values.map({v: one(v) for v in values.unique()})
 
-    return canonical(col(c).cast("string"))
+    return F.pandas_udf(canonical, "string", F.PandasUDFType.SCALAR)(col(c).cast("string"))

@@ -154,7 +154,7 @@ def session_presence(df: DataFrame, parts: DataFrame, entity: str = "subscriber_
     return session_overlap(df, parts).where(filled(entity).isNotNull()).groupBy(entity).agg(
         F.countDistinct("part_no").alias("parts_matched"),
         F.count("*").alias("sessions"),
-        F.round(F.sum("overlap_seconds"), 4).alias("overlap_seconds"),
+        F.round(F.sum("overlap_seconds"), 6).alias("overlap_seconds"),
         F.round(F.sum("total_volume"), 4).alias("total_volume"),
     )
 

@@ -164,8 +164,8 @@ def transition_summary(df: DataFrame) -> DataFrame:
     return movements(df).groupBy("from_cell_id", "to_cell_id").agg(
         F.count("*").alias("transition_events"),
         F.countDistinct("subscriber_number").alias("unique_subscribers"),
-        F.round(F.min("time_gap_seconds"), 4).alias("minimum_gap_seconds"),
-        F.round(F.median("time_gap_seconds"), 4).alias("median_gap_seconds"),
+        F.round(F.min("time_gap_seconds"), 7).alias("minimum_gap_seconds"),
+        F.round(F.median("time_gap_seconds"), 7).alias("median_gap_seconds"),
     )
 
 
