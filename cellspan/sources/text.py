@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..schema import REJECTS, dedupe_names, rename_aliases, snake
 
@@ -115,6 +116,44 @@ def read_delimited(
     return good, ledger(parsed.where("reason is not null"), "json", F.col("reason"))
 
 
+def read_lines(
+    spark: SparkSession, path: str | list[str], names: list[str], sep: str = ",", skip: int = 1
+) -> tuple[DataFrame, DataFrame]:
+    """As ``read_delimited`` for UTF-8 files without line breaks in fields, of any size: files are split over tasks.
+
+    Lines are counted within each split as they stream by; the splits' counts, a few numbers per file, give each split
+    its first line number. Only the lines up to ``skip`` of each file are left out as header.
+    """
+    names = dedupe_names(names)
+    width = len(names)
+    place = "source_file string, block long, at long"
+
+    def number(batches):
+        import pyarrow as pa
+
+        seen: dict[tuple, int] = {}
+        for b in batches:
+            files, blocks, at = b.column(1).to_pylist(), b.column(2).to_pylist(), []
+            for k in zip(files, blocks):
+                seen[k] = seen.get(k, 0) + 1
+                at.append(seen[k])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(at, pa.int64())], ["value", "source_file", "block", "at"])
+
+    file = F.regexp_extract("_metadata.file_path", "([^/]+)$", 1)
+    lines = spark.read.text(path).select("value", file.alias("f"), F.col("_metadata.file_block_start").alias("b")).mapInArrow(number, f"value string, {place}")
+    w = Window.partitionBy("source_file").orderBy("block")
+    splits = lines.groupBy("source_file", "block").agg(F.max("at").alias("n")).withColumn("before", F.sum("n").over(w) - F.col("n")).drop("n")
+    placed = lines.join(F.broadcast(splits), ["source_file", "block"]).withColumn("source_row", F.col("at") + F.col("before"))
+    rows = placed.where((F.col("source_row") > skip) & (F.trim("value") != ""))
+    parsed = rows.withColumn("_r", F.from_csv("value", ", ".join(f"c{i} string" for i in range(width + 8)), {"sep": sep, "mode": "PERMISSIVE"}))
+    extra = F.lit(False)
+    for i in range(width, width + 8):
+        extra = extra | (F.trim(F.coalesce(F.col(f"_r.c{i}"), F.lit(""))) != "")
+    good = parsed.where(~extra).select(*[F.col(f"_r.c{i}").alias(n) for i, n in enumerate(names)], "source_file", "source_row", F.col("source_row").alias("source_row_end"))
+    bad = parsed.where(extra).withColumn("_json", F.to_json(F.array(*[F.col(f"_r.c{i}") for i in range(width + 8)])))
+    return good, ledger(bad, "_json", F.lit("FIELD_COUNT_MISMATCH"))
+
+
 def ledger(rows: DataFrame, json_col: str, reason) -> DataFrame:
     have = set(rows.columns)
     end = F.col("source_row_end") if "source_row_end" in have else F.col("source_row")
