@@ -54,8 +54,9 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = quality.base_counts(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    ordered = quality.order_rules(counted, quality.COUNT_RULES)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    ordered = quality.order_rules(docs, quality.COUNT_RULES, prepare=quality.base_counts)
+    counted = quality.base_counts(docs)
     judged = counted.withColumn("base_failed", F.expr(quality.BASE_FAILED))
     kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(quality.verdict(ordered))
     return judged.withColumn("kept", kept).select(
