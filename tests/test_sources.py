@@ -132,3 +132,47 @@ def test_bundles_build(spark):
     calls, packet, ips = domain.calls(spark, sf), domain.sessions(spark, sf), domain.ip_events(spark, sf)
     for b in (bundles.call_bundle(calls), bundles.tower_bundle(calls), bundles.spot_bundle(calls, ["SPOT-01"]), bundles.session_bundle(packet), bundles.ip_bundle(ips), bundles.cross_bundle(calls), bundles.device_bundle(calls, packet, ips, "350000000000008")):
         assert all(len(df.columns) for df in b.values())
+
+
+def test_tower_dump_and_masters(spark, tmp_path):
+    from cellspan.plans import pipeline
+    from cellspan.sources import reports
+
+    (tmp_path / "in").mkdir()
+    dump = tmp_path / "in" / "d.csv"
+    dump.write_text(
+        "Airtel tower report\nSearched Cell ID: 405-51-834-1\nPeriod 01-06-2026 00:00 to 02-06-2026 00:00\n"
+        "Calling No,Called No,Call Date,Call Time,Duration,Call Type,IMEI,First Cell\n"
+        "9876543210,9123456789,01/06/2026,10:00:00,5,MTC,350000000000008,405-51-834-1\n"
+        "9876543210,AB-BANKXX-S,01/06/2026,10:01:00,5,MOC,x,405-51-834-1\n,,01/06/2026,,,,,\n"
+    )
+    good, bad = reports.read_tower_dump(spark, str(dump))
+    rows = good.orderBy("call_datetime").collect()
+    assert [(r["subscriber_number"], r["other_party"], r["imei"]) for r in rows] == [("9123456789", "9876543210", "350000000000008"), ("9876543210", "AB-BANKXX-S", "")]
+    assert rows[0]["operator"] == "airtel" and rows[0]["searched_cell_id"] == "405-51-834-1" and bad.count() == 1
+    kinds = {r["kind"] for r in reports.inspect(spark, [str(dump), str(tmp_path / "none")]).collect()}
+    assert kinds == {"CELL_DUMP", "ERROR"}
+    load = lambda folder: reports.read_tower_dump(spark, folder, str(dump))[0]
+    args = (spark, str(tmp_path / "in"), str(tmp_path / "stage"), "dump", load)
+    assert pipeline.staged(*args)[1] is False and pipeline.staged(*args)[1] is True
+    status = pipeline.run(*args, lambda df: {"n": df.groupBy("operator").count()}, str(tmp_path / "out"), ("operator",))
+    assert status == {"n": "OK"}
+    (tmp_path / "sdr.txt").write_text("Mobile|Name|DOA\n919876543210|A|2020\n9876543210|B|2021\n12|C|2022\n")
+    m, r = reports.read_number_master(spark, str(tmp_path / "sdr.txt"))
+    assert [(x["mobile_number"], x["subscriber_name"]) for x in m.collect()] == [("9876543210", "B")] and r.count() == 1
+    (tmp_path / "cgi.csv").write_text("CGI,Lat,Long,Site Name\n405-51--834-12,19.1,72.9,X\n405-51-,1,2,Y\n")
+    c, r = reports.read_cell_master(spark, str(tmp_path / "cgi.csv"))
+    assert c.first()[:7] == ("405-51-834-12", "405", "51", "834", "12", 19.1, 72.9) and r.count() == 1
+
+
+def test_ip_report(spark, tmp_path):
+    from cellspan.sources import reports
+
+    (tmp_path / "i.csv").write_text(
+        "IPDR\nMSISDN,Source IP Address,Public IP,Destination IP Address,Dest Port,Event Date Time,IMEI,CGI\n"
+        "9876543210,10.0.0.1,2001:0DB8::0001,203.0.113.5,443,11/06/2026 10:00:00,350000000000008,405-51-834-1\nEnd of report,,,,,,,\n"
+    )
+    good, bad = reports.read_ip_events(spark, str(tmp_path / "i.csv"))
+    r = good.first()
+    assert (r["translated_ip"], r["destination_port"], r["event_time"]) == ("2001:db8::1", 443, dt.datetime(2026, 6, 11, 10)) and bad.count() == 1
+    assert reports.device_evidence(good, "35000000000000").first()["match_relation"] == "BASE14_MATCH"
