@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-#: Units tile a text: a line break, or a run up to and with the marks that end a sentence. A passage that was put into
-#: the middle of a line shares no whole line with other documents, but its inner sentences; so units end at both.
-UNIT = r"\n|[^\n.!?]+[.!?]*|[.!?]+"
+#: Pieces tile a text: a line break, or a run up to and with the marks that end a sentence. A passage that was put into
+#: the middle of a line shares no whole line with other documents, but its inner sentences; so pieces end at both.
+PIECE = r"\n|[^\n.!?]+[.!?]*|[.!?]+"
 
-#: Units of fewer words repeat by chance and are no passages.
+#: Units of fewer words repeat by chance and are no passages; shorter sentences and lines are taken with those after them.
 MIN_WORDS = 8
 
 
 def units(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, start, end, n_words, d1, d2)``: units of at least ``min_words`` words with code-point offsets.
+    """``(id, start, end, n_words, d1, d2)``: a unit from each piece that has a word, with code-point offsets.
 
+    A unit is the piece with as few of those after it as make ``min_words`` words; so a passage of short sentences has
+    units as well, whatever stands before it. The last pieces of a text that do not make so many words have none.
     ``d1, d2`` are the 128 bits of XXH3 over the unit in lower case with its white space collapsed. Offsets are those of
     the original text. Null and empty texts have no units.
     """
@@ -23,30 +26,40 @@ def units(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", t
 
     def run(batches):
         import re
+        from collections import deque
 
         import pyarrow as pa
         import xxhash
 
-        find, digest = re.compile(UNIT).finditer, xxhash.xxh3_128_digest
-        names = ["id", "start", "end", "n_words", "d1", "d2"]
-        types = [pa.int64()] * 5
+        find, digest = re.compile(PIECE).finditer, xxhash.xxh3_128_digest
+        names, types = ["id", "start", "end", "n_words", "d1", "d2"], [pa.int64()] * 5
 
         def flush(rows):
             ids, *cols = zip(*rows)
             return pa.RecordBatch.from_arrays([pa.array(ids, id_type), *map(pa.array, cols, types)], names)
 
+        def of(text):
+            held, n = deque(), 0  # pieces with words that have not begun a unit yet, and their words
+            for m in find(text):
+                w = m[0].lower().encode().split()
+                if not w:
+                    continue
+                held.append((m.start(), len(w), b" ".join(w)))
+                n += len(w)
+                while n >= min_words:
+                    d = digest(b" ".join([x for *_, x in held]) if len(held) > 1 else held[0][2])
+                    start, k, _ = held.popleft()
+                    yield start, m.end(), n, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
+                    n -= k
+
         for b in batches:
             id_type, rows = b.column(0).type, []
             for key, text in zip(b.column(0).to_pylist(), b.column(1)):
-                for m in find(text.as_py() or ""):
-                    w = m[0].lower().encode().split()
-                    if len(w) >= min_words:
-                        d = digest(b" ".join(w))
-                        first, second = int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
-                        rows.append((key, m.start(), m.end(), len(w), first, second))
-                        if len(rows) >= 20_000:
-                            yield flush(rows)
-                            rows = []
+                for u in of(text.as_py() or ""):
+                    rows.append((key, *u))
+                    if len(rows) >= 20_000:
+                        yield flush(rows)
+                        rows = []
             if rows:
                 yield flush(rows)
 
@@ -79,17 +92,27 @@ def repeated_units(
 def remove_units(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the ``spans (id, start, end)``, and ``removed array<struct<start, end>>`` in original offsets.
 
-    Documents without a span keep their text as it is, and an empty list. A document's spans are at most its own units.
+    Spans may overlap. Documents without a span keep their text as it is, and an empty list. A document's spans are at
+    most its own units.
     """
-    lists = spans.groupBy(F.col("id").alias("_id")).agg(
-        F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed")
+    w = Window.partitionBy("id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.max("end").over(w), F.lit(0))
+    piece = F.when(F.col("start") > F.col("_before"), F.struct(F.col("_before").alias("a"), F.col("start").alias("b")))
+    lists = (
+        spans.select("id", "start", "end")
+        .distinct()
+        .withColumn("_before", before)
+        .groupBy(F.col("id").alias("_id"))
+        .agg(
+            F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed"),
+            F.sort_array(F.collect_list(piece)).alias("_keep"),
+            F.max("end").alias("_last"),
+        )
     )
     joined = docs.drop("removed").join(lists, F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
-    keep = (
-        "concat_ws('', transform(sequence(0, size(removed)), i -> substring(t, "
-        "cast(if(i = 0, 0, removed[i - 1].end) + 1 as int), "
-        "cast(if(i = size(removed), length(t), removed[i].start) - if(i = 0, 0, removed[i - 1].end) as int))))"
-    )
-    cut_out = f"if(removed is null or `{text_col}` is null, `{text_col}`, transform(array(`{text_col}`), t -> {keep})[0])"
+    pieces = "transform(_keep, k -> substring(t, cast(k.a + 1 as int), cast(k.b - k.a as int)))"
+    rest = "concat_ws('', concat(" + pieces + ", array(substring(t, cast(_last + 1 as int)))))"
+    cut_out = f"if(removed is null or `{text_col}` is null, `{text_col}`, transform(array(`{text_col}`), t -> {rest})[0])"
     none = "cast(array() as array<struct<start: bigint, end: bigint>>)"
-    return joined.withColumn(text_col, F.expr(cut_out)).withColumn("removed", F.expr(f"coalesce(removed, {none})"))
+    out = joined.withColumn(text_col, F.expr(cut_out)).withColumn("removed", F.expr(f"coalesce(removed, {none})"))
+    return out.drop("_keep", "_last")

@@ -154,13 +154,18 @@ o AS (SELECT *, array_to_string(kept, chr(10)) AS out FROM k)
 SELECT doc_id, source, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n - len(kept), 0)::BIGINT AS n_dropped,
        length(out)::BIGINT AS kept_chars, md5(out) AS kept_md5 FROM o""",
     "op4_substring_dedup": r"""
-WITH t AS (SELECT doc_id, regexp_extract_all(text, '\n|[^\n.!?]+[.!?]*|[.!?]+') AS u FROM documents),
+WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '\n|[^\n.!?]+[.!?]*|[.!?]+') AS u FROM documents),
 x AS (SELECT doc_id, unnest(u) AS s, unnest(range(1, len(u) + 1)) AS i FROM t),
-y AS (SELECT *, sum(length(s)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM x),
-z AS (SELECT doc_id, e - length(s) AS st, e, trim(regexp_replace(lower(s), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS n FROM y),
-w AS (SELECT *, len(string_split(n, ' ')) AS n_words FROM z WHERE len(string_split(n, ' ')) >= 8),
-f AS (SELECT *, first_value(doc_id) OVER o AS kd, first_value(st) OVER o AS ks FROM w
-      WINDOW o AS (PARTITION BY n ORDER BY doc_id, st))
+y AS (SELECT doc_id, i, s, sum(length(s)) OVER w AS e, len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) AS n FROM x
+      WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+z AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM y),
+j AS (SELECT z.doc_id, z.e - length(z.s) AS st, min(v.e) AS e, min(v.c) - (z.c - z.n) AS n_words
+      FROM z JOIN z v ON z.doc_id = v.doc_id AND v.i >= z.i AND v.c >= z.c - z.n + 8 AND v.n > 0
+      WHERE z.n > 0 GROUP BY z.doc_id, z.i, z.e, z.s, z.c, z.n),
+k AS (SELECT j.*, trim(regexp_replace(lower(substr(text, st::BIGINT + 1, (e - st)::BIGINT)), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm
+      FROM j JOIN t USING (doc_id)),
+f AS (SELECT *, first_value(doc_id) OVER o AS kd, first_value(st) OVER o AS ks FROM k
+      WINDOW o AS (PARTITION BY norm ORDER BY doc_id, st))
 SELECT doc_id, st::BIGINT AS unit_start, e::BIGINT AS unit_end, n_words::BIGINT AS n_words,
        kd AS kept_doc_id, ks::BIGINT AS kept_start
 FROM f WHERE doc_id <> kd OR st <> ks""",
