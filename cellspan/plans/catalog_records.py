@@ -335,7 +335,7 @@ query(
 from ..operators import scope  # noqa: E402
 
 _GROUPS = {"g1": ["405-51-834-0001", "405 51 834 0002"], "g2": ["405-51-834-0099", "999-99-1-1"], "g3": ["999-99-1-2"]}
-_GSQL = "(VALUES " + ", ".join(f"('{g}', '{c.replace('-', '').replace(' ', '')}')" for g, cs in _GROUPS.items() for c in cs) + ") g(group_id, k)"
+_GSQL = "(VALUES " + ", ".join(f"('{g}', '{c.replace('-', '').replace(' ', '')}')" for g, cs in _GROUPS.items() for c in cs) + ") gg(group_id, k)"
 query("scope_loaded_cells", on(C, scope.loaded_cells), "SELECT replace(sc, '-', '') AS cell_key, arg_min(sc, event_id) AS cell, count(*) AS events FROM c WHERE sc IS NOT NULL GROUP BY 1")
 query("scope_loaded_spots", on(C, scope.loaded_spots), "SELECT spot_id, min(spot_name) AS spot_name, count(*) AS events, count(DISTINCT sc) AS cells, count(DISTINCT source_file) AS files FROM c GROUP BY 1")
 query("scope_in_spot", lambda s, d: scope.in_spot(C(s, d), spot_name="spot 2").select("event_id"), "SELECT event_id FROM c WHERE spot_id = 'SPOT-02'")
@@ -354,7 +354,7 @@ query(
     "scope_sighting_events",
     lambda s, d: scope.sighting_events(C(s, d), scope.sightings(s, _SEEN), scope.cell_groups(s, _GROUPS)).select("sighting_id", "event_id"),
     "SELECT sighting_id, event_id FROM c JOIN (VALUES " + ", ".join(f"('{i}', TIMESTAMP '{a}', TIMESTAMP '{b}', {repr(g) if g else 'NULL'})" for i, _, a, b, g in _SEEN)
-    + f") s(sighting_id, a, b, g) ON call_datetime >= a AND call_datetime < b AND (g IS NULL OR EXISTS (SELECT 1 FROM {_GSQL} WHERE group_id = g AND (k = replace(searched_cell_id, '-', '') OR k = replace(first_cell_id, '-', ''))))",
+    + f") s(sighting_id, a, b, g) ON call_datetime >= a AND call_datetime < b AND (s.g IS NULL OR EXISTS (SELECT 1 FROM {_GSQL} WHERE group_id = s.g AND (k = replace(searched_cell_id, '-', '') OR k = replace(first_cell_id, '-', ''))))",
 )
 query(
     "scope_sessions_without_standard_id",
