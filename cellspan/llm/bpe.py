@@ -17,8 +17,12 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces, and half of the transducer moves, that one worker remembers; beyond it, a table is emptied and filled anew.
-REMEMBERED = 400_000
+#: Pieces that one worker remembers, and 2.5 times as many moves of the transducer (about 200 MB together); beyond it, a
+#: table is emptied and filled anew.
+REMEMBERED = 200_000
+
+#: Bytes of ids after which a worker hands its rows on.
+FLUSH = 2 << 20
 
 #: White space as the tokenizer library's engine has it (Unicode White_Space), for engines that have it otherwise.
 WHITE = r"\t-\r \x85\xa0  -     　"
@@ -112,7 +116,7 @@ class Transducer:
             raise ValueError(f"the vocabulary has no token for byte {byte}")
         kept = [(s, x) for s, x in grown if s in self.begins]
         key = (kept[0][0] if kept else b"", (*[x for _, x in kept], here))
-        if len(self.moves) >= 2 * self.remembered:
+        if len(self.moves) >= 5 * self.remembered // 2:
             self._empty(key)
             return self.states[key]
         to = self.moves[state << 8 | byte] = self._state(key)
@@ -251,23 +255,28 @@ def encode_documents(
         import pyarrow as pa
 
         tok = tokenizer(path, pattern)
+        names = [*[f"c{i}" for i in range(len(fields))], "ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+        def one(text):
+            ids, decoded, stream = array("I"), hashlib.sha256(), Utf8Stream()
+            for part in tok.encode_parts(text):
+                ids.extend(part)
+                decoded.update(stream.feed(tok.decode_bytes(part)).encode())
+            decoded.update(stream.feed(b"", final=True).encode())
+            raw = ids.tobytes()
+            return raw, len(ids), hashlib.sha256(raw).hexdigest(), decoded.hexdigest()
+
         for b in batches:
-            ids_out, n_out, sha, back = [], [], [], []
-            for text in b.column(b.num_columns - 1):
-                ids, decoded, stream = array("I"), hashlib.sha256(), Utf8Stream()
-                for part in tok.encode_parts(text.as_py() or ""):
-                    ids.extend(part)
-                    decoded.update(stream.feed(tok.decode_bytes(part)).encode())
-                decoded.update(stream.feed(b"", final=True).encode())
-                raw = ids.tobytes()
-                ids_out.append(raw)
-                n_out.append(len(ids))
-                sha.append(hashlib.sha256(raw).hexdigest())
-                back.append(decoded.hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array(ids_out, pa.binary()), pa.array(n_out, pa.int64()), pa.array(sha), pa.array(back)],
-                [*[f"c{i}" for i in range(len(fields))], "ids", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            texts, begin, rows, size = b.column(b.num_columns - 1), 0, [], 0
+            for end in range(1, b.num_rows + 1):
+                rows.append(one(texts[end - 1].as_py() or ""))
+                size += len(rows[-1][0])
+                if size >= FLUSH or end == b.num_rows:
+                    head = [c.slice(begin, end - begin) for c in b.columns[:-1]]
+                    ids, n, sha, back = zip(*rows)
+                    out = [pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.array(sha), pa.array(back)]
+                    yield pa.RecordBatch.from_arrays([*head, *out], names)
+                    begin, rows, size = end, [], 0
 
     names = [id_col, *keep]
     flat = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], F.col(text_col).alias("text"))
