@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import cut
+
 #: Pieces tile a text: a line break, or a run up to and with the marks that end a sentence. A passage that was put into
 #: the middle of a line shares no whole line with other documents, but its inner sentences; so pieces end at both.
 PIECE = r"\n|[^\n.!?]+[.!?]*|[.!?]+"
@@ -73,18 +75,18 @@ def repeated_units(
     """``(id, start, end, n_words, kept_id, kept_start)``: every unit to remove, and the occurrence that stays.
 
     Occurrences of a digest are ranked by document id (null last), then by offset; the first one stays. The first is a
-    map-side minimum, so a passage of a third of all documents sends one row per task; the join that marks the rest has
-    one row per digest on the other side and can be split by AQE. Rows that share an id count as one document: equal
-    rows keep or lose the same units.
+    map-side minimum, so a passage of a third of all documents sends one row per task. What repeats is written before
+    the join that marks the rest: then both sides of it are plain shuffles, and AQE splits the one with the passage.
+    Rows that share an id count as one document: equal rows keep or lose the same units.
     """
     u = units(docs, min_words, id_col, text_col)
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "start")
-    first = (
+    first = cut(
         u.groupBy("d1", "d2")
         .agg(F.min(rank).alias("f"), F.max(rank).alias("l"))
         .where("f <> l")
         .select("d1", "d2", F.col("f.id").alias("kept_id"), F.col("f.start").alias("kept_start"))
-    )
+    ).hint("merge")
     same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("start") == F.col("kept_start"))
     return u.join(first, ["d1", "d2"]).where(~same).select("id", "start", "end", "n_words", "kept_id", "kept_start")
 
