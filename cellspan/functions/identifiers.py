@@ -373,3 +373,28 @@ def canonical_ip(c: Column | str, keep_invalid: bool = False) -> Column:
         return values.map({v: one(v) for v in values.unique()})
 
     return F.pandas_udf(canonical, "string", F.PandasUDFType.SCALAR)(col(c).cast("string"))
+
+
+def is_target(c: Column | str, target: Column | str) -> Column:
+    """Whether a number is the target's, by party key."""
+    t = party_key(F.lit(target) if isinstance(target, str) else target)
+    return (party_key(c) == t) & (t != "")
+
+
+def address_lat_lon(c: Column | str) -> Column:
+    """Coordinates named in an address text (``lat …``, ``long …``), where both are in range."""
+    t = text(c)
+    number = r"\s*[-:=]?\s*(-?\d+(?:\.\d+)?)"
+    lat = F.regexp_extract(t, "(?i)lat(?:itude)?" + number, 1).try_cast("double")
+    lon = F.regexp_extract(t, "(?i)lon(?:g|gitude)?" + number, 1).try_cast("double")
+    return F.when(lat.between(-90, 90) & lon.between(-180, 180), F.struct(lat.alias("lat"), lon.alias("lon")))
+
+
+def local_time(c: Column | str, zone: str = "Asia/Kolkata") -> Column:
+    """Text of a UTC time in a zone."""
+    return F.date_format(F.from_utc_timestamp(col(c).cast("timestamp"), zone), "dd-MM-yyyy HH:mm:ss")
+
+
+def filled_from(c: Column | str, other: Column | str) -> Column:
+    """The value, or where it is blank the other one."""
+    return F.coalesce(blank_to_null(c), col(other))

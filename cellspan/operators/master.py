@@ -107,3 +107,31 @@ def search(df: DataFrame, text: str, columns: list[str], order: list[Column], li
     for c in columns:
         hit = hit | F.col(c).cast("string").ilike(f"%{text}%")
     return df.where(hit).orderBy(*order).limit(limit)
+
+
+def enrich_bundle(bundle: dict[str, DataFrame], numbers: DataFrame, cells: DataFrame, specs: dict[str, dict[str, list[str]]]) -> dict[str, DataFrame]:
+    """Every table of a bundle with master columns of the number and cell columns that ``specs`` names for it.
+
+    ``specs``: table to ``{"numbers": [...], "cells": [...]}``; each column's master columns carry its name as prefix.
+    """
+    out = {}
+    for name, df in bundle.items():
+        spec = specs.get(name, {})
+        for c in spec.get("numbers", []):
+            df = enrich_number(df, numbers, c, prefix=f"{c}_").withColumnRenamed("lookup_status", f"{c}_lookup")
+        for c in spec.get("cells", []):
+            df = enrich_cell(df, cells, c, prefix=f"{c}_").withColumnRenamed("cell_status", f"{c}_lookup")
+        out[name] = df
+    return out
+
+
+def bundle_missing_cells(bundle: dict[str, DataFrame], cells: DataFrame, specs: dict[str, dict[str, list[str]]]) -> DataFrame:
+    """Cells of a bundle's tables that the master does not know: ``(table_name, cell_key, records)``."""
+    out = None
+    for name, df in bundle.items():
+        for c in specs.get(name, {}).get("cells", []):
+            one = missing_cells(df, cells, c).select(F.lit(name).alias("table_name"), "cell_key", F.col("events").alias("records"))
+            out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no cell columns are named")
+    return out.groupBy("table_name", "cell_key").agg(F.sum("records").alias("records"))

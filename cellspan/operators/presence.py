@@ -223,3 +223,31 @@ def moment_counts(df: DataFrame, at, unit: str = "minute", time: str = "event_ti
     return df.where(F.date_trunc(unit, time).cast("timestamp_ntz") == F.lit(at)).agg(
         F.count("*").alias("records_found"), n_distinct("subscriber_number").alias("numbers_found"), n_distinct("searched_cell_id").alias("cells_involved")
     )
+
+
+def separate_identifiers(leads: dict[str, DataFrame], limit: int = 200) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Leads of valid mobile numbers, ``limit`` a list, and one table of the other identifiers with their best score."""
+    valid = F.col("subscriber_number").rlike(r"^[6-9]\d{9}$")
+    kept = {n: df.where(valid).orderBy(F.desc("priority_score"), "subscriber_number").limit(limit) for n, df in leads.items()}
+    rest = None
+    for n, df in leads.items():
+        one = df.where(~valid).select(F.lit(n).alias("lead_list"), "subscriber_number", "priority_score")
+        rest = one if rest is None else rest.unionByName(one)
+    if rest is None:
+        raise ValueError("no lead lists")
+    best = F.min(F.struct(-F.col("priority_score"), F.col("lead_list").alias("l")))
+    return kept, rest.groupBy("subscriber_number").agg(F.max("priority_score").alias("priority_score"), best["l"].alias("lead_list"))
+
+
+def moment_bundle(df: DataFrame, at, unit: str = "minute", time: str = "event_time") -> dict[str, DataFrame]:
+    """What one moment holds: counts, numbers, cells, devices, and the numbers seen then only."""
+    now = df.where(F.date_trunc(unit, time).cast("timestamp_ntz") == F.lit(at))
+    per = lambda c: now.where(filled(c).isNotNull()).groupBy(c).agg(F.count("*").alias("records"), n_distinct(filled("subscriber_number")).alias("numbers"))
+    return {
+        "summary": moment_counts(df, at, unit, time),
+        "numbers": per("subscriber_number"),
+        "cells": per("searched_cell_id"),
+        "devices": per("imei"),
+        "sims": per("imsi"),
+        "only_now": only_now(df, at, unit, time),
+    }

@@ -361,3 +361,48 @@ query(
     lambda s, d: S(s, d).where("identifier_type <> 'MSISDN'").groupBy("identifier_type").agg(F.count("*").alias("sessions")),
     "SELECT identifier_type, count(*) AS sessions FROM s WHERE identifier_type <> 'MSISDN' GROUP BY 1",
 )
+
+# ---- what builds on the above -------------------------------------------------------------------------------------
+from datetime import datetime  # noqa: E402
+
+from ..operators import cdr, presence  # noqa: E402
+
+_SPEC = {"towers": {"cells": ["first_cell_id"]}, "contacts": {"numbers": ["other_party"]}}
+
+
+def small_bundle(spark, sf_dir):
+    calls = C(spark, sf_dir)
+    return {"towers": calls.groupBy("first_cell_id").agg(F.count("*").alias("n")), "contacts": calls.groupBy("other_party").agg(F.count("*").alias("n"))}
+
+
+query(
+    "master_enrich_bundle_numbers",
+    lambda s, d: master.enrich_bundle(small_bundle(s, d), D.number_master(s, d), D.cell_master(s, d), _SPEC)["contacts"],
+    "SELECT other_party, n, name AS other_party_name, circle AS other_party_circle, CASE WHEN ms IS NULL THEN 'INVALID_KEY' WHEN mobile_number IS NOT NULL THEN 'FOUND' ELSE 'NOT_FOUND' END AS other_party_lookup FROM (SELECT other_party, ms, count(*) AS n FROM c GROUP BY 1, 2) LEFT JOIN nm ON ms = mobile_number",
+)
+query(
+    "master_bundle_missing_cells",
+    lambda s, d: master.bundle_missing_cells(small_bundle(s, d), D.cell_master(s, d), _SPEC),
+    "SELECT 'towers' AS table_name, first_cell_id AS cell_key, 1::BIGINT AS records FROM (SELECT DISTINCT first_cell_id FROM c WHERE vc) WHERE first_cell_id NOT IN (SELECT cgi FROM cm)",
+)
+_M0 = datetime(2024, 1, 1, 0, 8)
+_MSQL = "SELECT {0}, count(*) AS records, count(DISTINCT sub) AS numbers FROM i WHERE {0} <> '' AND date_trunc('minute', event_time) = TIMESTAMP '2024-01-01 00:08:00' GROUP BY 1"
+for _k, _c in (("numbers", "subscriber_number"), ("cells", "searched_cell_id"), ("devices", "imei"), ("sims", "imsi")):
+    query(f"ip_moment_{_k}", lambda s, d, k=_k: presence.moment_bundle(IP(s, d), _M0)[k], _MSQL.format(_c))
+
+
+def session_leads(spark, sf_dir):
+    rolled = presence.rollup(S(spark, sf_dir), "session_start", "total_volume")
+    return {n: presence.bucket(rolled, n, 10_000) for n in ("common_numbers", "priority_leads")}
+
+
+query(
+    "presence_other_identifiers",
+    lambda s, d: presence.separate_identifiers(session_leads(s, d))[1],
+    """, x AS (SELECT sub AS subscriber_number, count(*) AS n, least(count(*), 50) + count(DISTINCT sc) * 10 + CASE WHEN count(DISTINCT im) > 1 THEN 25 ELSE 0 END + CASE WHEN count(DISTINCT imsi) > 1 THEN 25 ELSE 0 END
+ + CASE WHEN count(*) FILTER (WHERE hour(session_start) >= 22 OR hour(session_start) <= 5) > 0 THEN 15 ELSE 0 END + CASE WHEN sum(total_volume) > 0 THEN 5 ELSE 0 END AS priority_score FROM s WHERE sub IS NOT NULL AND identifier_type <> 'MSISDN' GROUP BY 1)
+SELECT subscriber_number, priority_score, CASE WHEN n >= 2 THEN 'common_numbers' ELSE 'priority_leads' END AS lead_list FROM x""",
+)
+query("function_is_target", lambda s, d: C(s, d).where(I.is_target("other_party", "91" + "9000000008")).select("event_id"), "SELECT event_id FROM c WHERE other_party = '9000000008'")
+query("cdr_human_contacts", lambda s, d: cdr.only_category(C(s, d), cdr.HUMAN).select("event_id", "other_party"), "SELECT event_id, other_party FROM c WHERE cat = 'human_mobile'")
+query("cdr_last_event", lambda s, d: cdr.latest_by(C(s, d).where("call_datetime is not null"), ("target",)).select("target", "event_id"), "SELECT target, arg_max(event_id, (call_datetime, event_id)) AS event_id FROM c WHERE call_datetime IS NOT NULL GROUP BY 1")

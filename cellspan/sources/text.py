@@ -269,3 +269,38 @@ def read_sessions(spark: SparkSession, path: str, sample: str | None = None) ->
     df = df.withColumn("session_duration_seconds", F.timestamp_diff("SECOND", F.col("session_start"), F.col("session_end")).cast("double"))
     accepted, more = quarantine(S.normalise(df).withColumn("source_row", F.lit(None).cast("long")), F.col("session_start").isNull(), "NO_SESSION_START")
     return accepted.drop("source_row"), bad.unionByName(more), status
+
+
+def read_call_folder(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame, dict[str, str]]:
+    """Call records of files with different layouts: ``(accepted, rejected, status by path)``.
+
+    Files are grouped by their header, and each group is read at once; a file without a header is left out and said so.
+    Byte-identical files are the caller's to drop (``folders.distinct_files``).
+    """
+    groups: dict[tuple, list[str]] = {}
+    status = {}
+    for p in paths:
+        try:
+            skip, sep, names = sniff(head(spark, p), ("party", "call", "imei", "imsi", "cell", "cgi", "date", "time", "dur"))
+            groups.setdefault((skip, sep, *names), []).append(p)
+            status[p] = "LOADED"
+        except Exception as e:  # noqa: BLE001  the status says which file and why
+            status[p] = f"FAILED: {str(e)[:200]}"
+    if not groups:
+        raise ValueError("no file has a header")
+    good = bad = None
+    for files in groups.values():
+        g, b = read_calls(spark, files, files[0])
+        good = g if good is None else good.unionByName(g, allowMissingColumns=True)
+        bad = b if bad is None else bad.unionByName(b)
+    return good, bad, status
+
+
+def with_targets(calls: DataFrame) -> DataFrame:
+    """``calls`` with the target of each file: the number that most of the file's rows have, on either side."""
+    from ..functions import identifiers as I
+
+    sides = F.explode(F.array_distinct(F.array_compact(F.array(I.msisdn("a_party"), I.msisdn("b_party")))))
+    counts = calls.select("source_file", sides.alias("number")).groupBy("source_file", "number").agg(F.count("*").alias("n"))
+    best = counts.groupBy("source_file").agg(F.min(F.struct(-F.col("n"), "number"))["number"].alias("target"))
+    return calls.drop("target").join(F.broadcast(best) if best.limit(100_001).count() <= 100_000 else best, "source_file", "left")

@@ -176,3 +176,13 @@ def test_ip_report(spark, tmp_path):
     r = good.first()
     assert (r["translated_ip"], r["destination_port"], r["event_time"]) == ("2001:db8::1", 443, dt.datetime(2026, 6, 11, 10)) and bad.count() == 1
     assert reports.device_evidence(good, "35000000000000").first()["match_relation"] == "BASE14_MATCH"
+
+
+def test_call_folder_with_two_layouts(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(REPORT)
+    (tmp_path / "b.txt").write_text("A Party|B Party|Date|Time|Duration|Type\n9811111111|9822222222|01/06/2026|10:00|5|OUT\n9833333333|9811111111|01/06/2026|11:00|5|IN\n")
+    (tmp_path / "none.csv").write_text("nothing\n")
+    good, bad, status = text.read_call_folder(spark, [str(tmp_path / x) for x in ("a.csv", "b.txt", "none.csv")])
+    assert sorted(s.split(":")[0] for s in status.values()) == ["FAILED", "LOADED", "LOADED"]
+    got = {r["source_file"]: r["target"] for r in text.with_targets(good).collect()}
+    assert got == {"a.csv": "9876543210", "b.txt": "9811111111"} and bad.count() == 1
