@@ -77,8 +77,10 @@ def activity(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 def hourly(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """All 24 hours with events, share and rank (equal counts share the best rank)."""
     seen = df.where("call_datetime is not null").groupBy(*by, F.hour("call_datetime").alias("hour")).agg(F.count("*").alias("n"))
-    hours = df.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))
-    frame = seen.select(*by).distinct().crossJoin(F.broadcast(hours)) if by else hours
+    if by:
+        frame = seen.select(*by).distinct().withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    else:
+        frame = df.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))
     out = frame.join(seen, [*by, "hour"], "left").withColumn("total_events", F.coalesce("n", F.lit(0)).cast("long"))
     w = Window.partitionBy(*by)
     return out.select(
@@ -373,9 +375,9 @@ def observations(df: DataFrame) -> DataFrame:
 def common_contacts(df: DataFrame, target: str = "target") -> DataFrame:
     """Contacts of every target: the distinct targets of a contact are counted and compared with all of them."""
     pairs = df.select(target, I.msisdn("other_party").alias("contact")).where("contact is not null").distinct()
-    n = df.select(F.countDistinct(target).alias("n_targets"))
+    n = df.agg(F.countDistinct(target).alias("n"))
     counts = pairs.groupBy("contact").agg(F.count("*").alias("targets"))
-    return counts.join(F.broadcast(n)).where("targets = n_targets").select("contact", "targets")
+    return counts.where(F.col("targets") == n.scalar())
 
 
 def movement(df: DataFrame, by: tuple[str, ...] = ("target",)) -> DataFrame:
@@ -452,9 +454,9 @@ def detect_target(df: DataFrame, a: str = "a_party", b: str = "b_party", min_sha
     keys = F.array_distinct(F.array_compact(F.array(I.msisdn(a), I.msisdn(b))))
     n = df.agg(F.count("*").alias("rows"))
     top = df.select(F.explode(keys).alias("number")).groupBy("number").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "number").limit(2)
-    both = top.join(F.broadcast(n)).agg(
-        F.max_by("number", F.struct("n", F.col("number"))).alias("number"), F.max("n").alias("n"), F.min("n").alias("second"), F.count("*").alias("k"), F.max("rows").alias("rows")
-    )
+    both = top.agg(
+        F.min(F.struct(-F.col("n"), "number"))["number"].alias("number"), F.max("n").alias("n"), F.min("n").alias("second"), F.count("*").alias("k")
+    ).withColumn("rows", n.scalar())
     second = F.when(F.col("k") > 1, F.col("second")).otherwise(F.lit(0))
     ok = (F.col("rows") >= min_rows) & (F.col("n") >= min_share * F.col("rows")) & (F.col("n") - second >= lead * F.col("rows"))
     return both.where(ok).select(F.col("number").alias("target"), "n", "rows")

@@ -39,7 +39,7 @@ def with_most_frequent(result: DataFrame, df: DataFrame, by: list[str], picks: d
     """``result`` with a most frequent value per group for each ``name: (column, condition)``."""
     for name, (value, when) in picks.items():
         top = most_frequent(df, by, value, name, when)
-        result = result.join(top, by, "left") if by else result.join(F.broadcast(top), how="left")
+        result = result.join(top, by, "left") if by else result.withColumn(name, top.scalar())
     return result
 
 

@@ -117,11 +117,10 @@ def frame_presence(df: DataFrame, volume: str | None = None, time: str = "call_d
         + _when(c("night_event_count") >= 1, 15)
     )
     if volume:
-        edge = out.agg(F.percentile("total_volume", 0.9).alias("_edge"))
-        out = out.join(F.broadcast(edge))
-        score = score + _when((c("total_volume") > 0) & (c("total_volume") >= c("_edge")), 15)
+        edge = out.agg(F.percentile("total_volume", 0.9).alias("edge")).scalar()
+        score = score + _when((c("total_volume") > 0) & (c("total_volume") >= edge), 15)
     sure = F.when((c("cells_seen") >= 2) & (c("event_count") >= 2), "High").when(c("event_count") >= 2, "Medium").otherwise("Low")
-    out = out.withColumn("priority_score", score.cast("long")).drop("_edge")
+    out = out.withColumn("priority_score", score.cast("long"))
     return out.withColumns({"priority": label(c("priority_score"), FRAME_LABELS), "confidence": sure})
 
 

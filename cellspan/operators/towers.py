@@ -178,7 +178,7 @@ def indicators(df: DataFrame) -> DataFrame:
     text = lambda *p: F.concat(*[F.lit(x) if i % 2 == 0 else F.col(x).cast("string") for i, x in enumerate(p)])
     subs = subscriber_summary(df)
     edge = subs.agg(F.greatest(F.percentile("total_events", 0.99), F.lit(25.0)).alias("edge"))
-    high = subs.join(F.broadcast(edge)).where("total_events >= edge")
+    high = subs.where(F.col("total_events") >= edge.scalar())
     return (
         rule(shared_identifiers(df, "imei"), "SHARED_IMEI", "imei", "HIGH", text("IMEI linked with ", "unique_subscribers", " subscribers; cells=", "unique_cells"))
         .union(rule(shared_identifiers(df, "imsi"), "SHARED_IMSI", "imsi", "HIGH", text("IMSI linked with ", "unique_subscribers", " subscriber numbers.")))
