@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, maybe_broadcast
+from .common import let
 
 # Texts of well-known licenses and the notices that stand for them.
 KNOWN = (
@@ -33,6 +33,9 @@ Unless required by applicable law or agreed to in writing, software distributed
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
 )
 
+#: Known licenses that a scan takes; beyond it the scan is refused.
+MAX_KNOWN = 10_000
+
 # Spellings that count as equal (the left one is replaced).
 SPELLINGS = (
     ("licence", "license"),
@@ -64,20 +67,20 @@ def scan(docs: DataFrame, known: DataFrame, text_col: str = "text") -> DataFrame
     """``docs`` with ``canonical_digest``, ``license`` and ``notices array<string>``.
 
     ``license``: the known license that the entire text is, by a hash join of canonical digests (null: none). ``known``
-    is broadcast while it has at most 100,000 rows. ``notices``: the licenses that single lines of the text are, sorted;
-    for these the lines are joined by digest in the same way. Null texts have a null digest and no notices; empty texts
-    the digest of the empty string, which is no license. Every row stays, also repeated ones; columns of the three names
-    are replaced.
+    has at most ``MAX_KNOWN`` rows and is broadcast. ``notices``: the licenses that single lines of the text are, sorted,
+    by the same digests. Null texts have a null digest and no notices; empty texts the digest of the empty string, which
+    is no license. Every row stays, also repeated ones; columns of the three names are replaced.
     """
+    rows = known.select("digest", "license").limit(MAX_KNOWN + 1).collect()
+    if len(rows) > MAX_KNOWN:
+        raise ValueError(f"more than {MAX_KNOWN} known licenses")
     base = docs.drop("canonical_digest", "license", "notices")
-    names = base.columns
     whole = base.withColumn("canonical_digest", F.expr(f"sha2({canonical(f'`{text_col}`')}, 256)"))
-    small = maybe_broadcast(known.select(F.col("digest").alias("_digest"), "license"))
+    small = F.broadcast(known.select(F.col("digest").alias("_digest"), "license"))
     whole = whole.join(small, F.col("canonical_digest") == F.col("_digest"), "left").drop("_digest")
-    # Lines: the known notices are few and of bounded size (checked above for the broadcast), so they travel as one map.
-    notices = known.agg(F.map_from_entries(F.collect_list(F.struct("digest", "license"))).alias("_known"))
-    line = let(canonical("x"), "y", "if(y = '', null, _known[sha2(y, 256)])")
+    quote = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    pairs = ", ".join(f"{quote(r['digest'])}, {quote(r['license'])}" for r in rows)
+    hit = f"try_element_at(map({pairs}), sha2(y, 256))" if rows else "cast(null as string)"
+    line = let(canonical("x"), "y", f"if(y = '', null, {hit})")
     found = f"sort_array(array_distinct(filter(transform(split(coalesce(`{text_col}`, ''), '\\n'), x -> {line}), x -> x is not null)))"
-    return whole.join(F.broadcast(notices)).withColumn("notices", F.expr(found)).select(
-        *names, "canonical_digest", "license", "notices"
-    )
+    return whole.withColumn("notices", F.expr(found))
