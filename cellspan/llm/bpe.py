@@ -17,9 +17,9 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces that one worker remembers, and 2.5 times as many moves of the transducer (about 200 MB together); beyond it, a
-#: table is emptied and filled anew.
-REMEMBERED = 200_000
+#: Pieces in a worker's table; the transducer's has 2.5 times as many moves. A full table becomes the old one, from which
+#: the new one takes over what is used again: so memory is bounded (some 100 MB) and what is frequent stays.
+REMEMBERED = 80_000
 
 #: Bytes of ids after which a worker hands its rows on.
 FLUSH = 2 << 20
@@ -48,23 +48,24 @@ class Transducer:
             self.usable = ranks
         self.begins = {t[:k] for t in self.usable for k in range(len(t) + 1)}
         self.length = {r: len(t) for t, r in ranks.items()}
-        self._empty()
-
-    def _empty(self, known: tuple[bytes, tuple[int, ...]] = (b"", (-1,))):
-        """Forget all but the start and one state that is in use, which becomes the last state."""
-        self.states: dict[tuple[bytes, tuple[int, ...]], int] = {}
-        self.known: list[tuple[bytes, tuple[int, ...]]] = []
+        self.states, self.known, self.moves = {}, [], {}
+        self._renew()
+
+    def _renew(self):
+        """Start new tables; the full ones become the old ones."""
+        self.old = self.states, self.known, self.moves
+        self.states: dict[tuple, int] = {}
+        self.known: list[tuple] = []  # longest suffix, then the last id before each suffix that begins a token
         self.ends: list[int] = []
         self.moves: dict[int, int] = {}
-        for key in dict.fromkeys([(b"", (-1,)), known]):
-            self._state(key)
+        self._state((b"", -1))
 
-    def _state(self, key: tuple[bytes, tuple[int, ...]]) -> int:
+    def _state(self, key: tuple) -> int:
         state = self.states.get(key)
         if state is None:
             state = self.states[key] = len(self.known)
             self.known.append(key)
-            self.ends.append(key[1][-1])
+            self.ends.append(key[-1])
         return state
 
     def _suffixes(self, longest: bytes) -> list[bytes]:
@@ -102,11 +103,10 @@ class Transducer:
             else:
                 return True
 
-    def _move(self, state: int, byte: int) -> int:
-        """The state after one more byte: the first suffix that makes a token which fits gives the id that ends here."""
-        longest, last = self.known[state]
+    def _next(self, key: tuple, byte: int) -> tuple:
+        """The key after one more byte: the first suffix that makes a token which fits gives the id that ends here."""
         one, here = bytes([byte]), -1
-        grown = [(s + one, x) for s, x in zip(self._suffixes(longest), last)]
+        grown = [(s + one, x) for s, x in zip(self._suffixes(key[0]), key[1:])]
         for s, x in grown:
             t = self.usable.get(s)
             if t is not None and self._fits(x, t):
@@ -115,11 +115,19 @@ class Transducer:
         if here < 0:
             raise ValueError(f"the vocabulary has no token for byte {byte}")
         kept = [(s, x) for s, x in grown if s in self.begins]
-        key = (kept[0][0] if kept else b"", (*[x for _, x in kept], here))
+        return (kept[0][0] if kept else b"", *[x for _, x in kept], here)
+
+    def _move(self, state: int, byte: int) -> int:
+        """The state after one more byte, made or taken over from the old tables."""
+        key = self.known[state]
+        states, known, moves = self.old
+        was = states.get(key)
+        to = None if was is None else moves.get(was << 8 | byte)
+        new = self._next(key, byte) if to is None else known[to]
         if len(self.moves) >= 5 * self.remembered // 2:
-            self._empty(key)
-            return self.states[key]
-        to = self.moves[state << 8 | byte] = self._state(key)
+            self._renew()
+            return self._state(new)
+        to = self.moves[state << 8 | byte] = self._state(new)
         return to
 
     def _path(self, ends: list[int], at: int) -> list[int]:
@@ -186,6 +194,7 @@ class Tokenizer:
         self.split = regex.compile(split)
         self.transducer = Transducer(ranks, remembered)
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.old_memo: dict[str, tuple[int, ...]] = {}
 
     def encode(self, text: str) -> list[int]:
         return [i for part in self.encode_parts(text) for i in part]
@@ -204,18 +213,21 @@ class Tokenizer:
                     if m.end() - at > 1 << 20:
                         break
                 at = m.end() if pieces else n
-            get = self.memo.get
             for p in pieces:
-                got = get(p)
+                got = self.memo.get(p)
                 if got is None:
-                    got = tuple(self.transducer.encode(p.encode()))
-                    if len(p) < 64:
-                        if len(self.memo) >= self.transducer.remembered:
-                            self.memo.clear()
-                        self.memo[p] = got
+                    got = self._piece(p)
                 ids += got
             yield ids
 
+    def _piece(self, p: str) -> tuple[int, ...]:
+        got = self.old_memo.get(p) or tuple(self.transducer.encode(p.encode()))
+        if len(p) < 64:
+            if len(self.memo) >= self.transducer.remembered:
+                self.old_memo, self.memo = self.memo, {}
+            self.memo[p] = got
+        return got
+
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.transducer.token.__getitem__, ids))
 
