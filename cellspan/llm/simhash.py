@@ -12,6 +12,8 @@ HOT_VARIANT = 256
 
 
 def _fingerprint_batches(batches):
+    from itertools import islice
+
     import numpy as np
     import pyarrow as pa
     import xxhash
@@ -32,7 +34,7 @@ def _fingerprint_batches(batches):
     def fingerprint(text):
         total, n, source = np.zeros(64, np.int64), 0, iter(hashes(text))
         while True:
-            h = np.fromiter((x for x, _ in zip(source, range(1 << 15))), dtype="<u8")
+            h = np.fromiter(islice(source, 1 << 15), dtype="<u8")
             if not h.size:
                 break
             n += h.size

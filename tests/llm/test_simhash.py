@@ -64,6 +64,13 @@ def test_matches_brute_force(spark):
     assert len({c for *_, c in got}) < len(got)
 
 
+def test_blocks_of_long_texts_lose_no_shingle(spark):
+    texts = [" ".join(map(str, random.Random(2).choices(range(10**6), k=300_000))), " ".join(map(str, range((1 << 15) + 2)))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r["fp"] % (1 << 64) for r in simhash.fingerprints(df).collect()}
+    assert got == {i: fingerprint(t) for i, t in enumerate(texts)}
+
+
 def test_hot_variants_lose_no_link(spark, monkeypatch):
     r = random.Random(5)
     base = r.getrandbits(64)
