@@ -140,13 +140,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fp.join(by_fp, F.col("fp") == F.col("node")).select("id", "fp", "component")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: the one of smallest id.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", grouped=near_duplicates) -> DataFrame:
+    """``docs`` with one document of each near-duplicate group that ``grouped`` makes: the one of smallest id.
 
     Of rows that repeat a surviving id, the one with the smallest content stays. Rows without an id stay. Texts are
     shuffled only where the ids to drop are too many to broadcast.
     """
-    groups = cut(near_duplicates(docs, id_col, text_col).where("id is not null").select("id", "component"))
+    groups = cut(grouped(docs, id_col, text_col).where("id is not null").select("id", "component"))
     drop = groups.where("id <> component").select("id").distinct()
     left = docs.join(maybe_broadcast(drop), docs[id_col] == drop["id"], "left_anti")
     again = cut(groups.where("id = component").groupBy("id").count().where("count > 1").select("id"))
