@@ -81,9 +81,11 @@ BUCKETS = {
 }
 
 
-def bucket(rolled: DataFrame, name: str, top: int = 200) -> DataFrame:
-    """One of the six review lists: a filter and a top list of ``top`` rows."""
+def bucket(rolled: DataFrame, name: str, top: int | None = 200) -> DataFrame:
+    """One of the six review lists: a filter and a top list of ``top`` rows (None: all rows, in no order)."""
     cond, order = BUCKETS[name]
+    if top is None:
+        return rolled.where(cond)
     by = [F.desc_nulls_last(o.split()[0]) if o.endswith("desc") else F.asc_nulls_last(o.split()[0]) for o in order]
     return rolled.where(cond).orderBy(*by, "subscriber_number").limit(top)
 
@@ -225,7 +227,10 @@ def moment_counts(df: DataFrame, at, unit: str = "minute", time: str = "event_ti
 
 
 def separate_identifiers(leads: dict[str, DataFrame], limit: int = 200) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Leads of valid mobile numbers, ``limit`` a list, and one table of the other identifiers with their best score."""
+    """Leads of valid mobile numbers, ``limit`` a list, and one table of the other identifiers with their best score.
+
+    The table has what the lists hold: give them whole (``bucket`` without ``top``) for all other identifiers.
+    """
     valid = F.col("subscriber_number").rlike(r"^[6-9]\d{9}$")
     kept = {n: df.where(valid).orderBy(F.desc("priority_score"), "subscriber_number").limit(limit) for n, df in leads.items()}
     rest = None

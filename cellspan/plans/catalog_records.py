@@ -393,7 +393,7 @@ for _k, _c in (("numbers", "subscriber_number"), ("cells", "searched_cell_id"),
 
 def session_leads(spark, sf_dir):
     rolled = presence.rollup(S(spark, sf_dir), "session_start", "total_volume")
-    return {n: presence.bucket(rolled, n, 10_000) for n in ("common_numbers", "priority_leads")}
+    return {n: presence.bucket(rolled, n, None) for n in ("common_numbers", "priority_leads")}
 
 
 query(
