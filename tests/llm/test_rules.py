@@ -71,6 +71,17 @@ def test_license_scan(spark):
     assert licenses.scan(df.limit(0), licenses.known_licenses(spark)).count() == 0
 
 
+def test_license_files_with_titles(spark):
+    texts = {}
+    for n, t in licenses.KNOWN:
+        texts.setdefault(n, t)
+    files = [(n, f"{title}\n\nCopyright (c) 2020 Somebody\n\n{texts[n]}\n") for n, titles in licenses.TITLES.items() for title in titles]
+    assert ("BSD-3-Clause" in texts) and len({n for n, _ in files}) == 6
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(files)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(df, licenses.known_licenses(spark)).collect()}
+    assert got == {i: n for i, (n, _) in enumerate(files)}
+
+
 PAGES = "page_id long, url string, host int"
 
 
