@@ -2,27 +2,35 @@
 
 Each pre-token is encoded by a finite-state transducer that reads one byte at a time. Two facts of BPE vocabularies in
 which every token encodes to itself make it finite: a token sequence is the encoding of its bytes iff every adjacent
-pair is the encoding of its own bytes, and each prefix of a text has exactly one encoding. A state is the longest
-suffix read that still begins some token, with the last id before each place where such a suffix starts; it fixes the
-token that ends at the byte just read. States and moves are made the first time they are needed. A token is emitted
-once all encodings that can still go on agree on it: at the end of a piece, or within long pieces after each block.
+pair is the encoding of its own bytes, and each prefix of a text has exactly one encoding. A state is a node of the trie
+of tokens (the longest suffix read that still begins some token), with the last id before each place where such a suffix
+starts; it fixes the token that ends at the byte just read. A state is made when a move comes to it for the second time;
+until then the nodes of the trie alone are followed. A token is emitted once all encodings that can still go on agree
+on it: at the end of a piece, or within long pieces after each block.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces in a worker's table; the transducer's has 2.5 times as many moves. A full table becomes the old one, from which
-#: the new one takes over what is used again: so memory is bounded (some 100 MB) and what is frequent stays.
-REMEMBERED = 80_000
+from .common import small_batches
 
-#: Bytes of ids after which a worker hands its rows on.
-FLUSH = 2 << 20
+#: Pieces in a worker's table. A full table becomes the old one, from which the new one takes over what is used again:
+#: so memory is bounded and what is frequent stays.
+REMEMBERED = 100_000
+
+#: Moves, jumps and tested pairs of the transducer: each table starts anew when it is full.
+MOVES, JUMPS, PAIRS = 100_000, 50_000, 200_000
+
+#: Bytes of ids after which a worker hands its rows on, and of the batches of texts that it is given.
+FLUSH, BATCH = 2 << 20, 8 << 20
 
 #: White space as the tokenizer library's engine has it (Unicode White_Space), for engines that have it otherwise.
 WHITE = r"\t-\r \x85\xa0  -     　"
@@ -35,41 +43,23 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    """Encoder of pre-tokens. ``encode(piece)`` gives the ids that merging by rank gives."""
-
-    def __init__(self, ranks: dict[bytes, int], remembered: int = REMEMBERED):
-        self.ranks, self.remembered = ranks, remembered
-        self.token = {r: t for t, r in ranks.items()}
-        self.halves: dict[int, tuple[int, int]] = {}  # the two ids that the last merge of a token joins
-        self.whole = {t for t in ranks if len(t) > 1 and not self._split(t)}
-        if self.whole:  # tokens that no merge makes occur only as whole pieces
-            self.usable = {t: r for t, r in ranks.items() if t not in self.whole}
-        else:
-            self.usable = ranks
-        self.begins = {t[:k] for t in self.usable for k in range(len(t) + 1)}
-        self.length = {r: len(t) for t, r in ranks.items()}
-        self.states, self.known, self.moves = {}, [], {}
-        self._renew()
-
-    def _renew(self):
-        """Start new tables; the full ones become the old ones."""
-        self.old = self.states, self.known, self.moves
-        self.states: dict[tuple, int] = {}
-        self.known: list[tuple] = []  # longest suffix, then the last id before each suffix that begins a token
-        self.ends: list[int] = []
-        self.moves: dict[int, int] = {}
-        self._state((b"", -1))
+    """Encoder of pre-tokens. ``encode(piece)`` gives the ids that merging by rank gives.
 
-    def _state(self, key: tuple) -> int:
-        state = self.states.get(key)
-        if state is None:
-            state = self.states[key] = len(self.known)
-            self.known.append(key)
-            self.ends.append(key[-1])
-        return state
+    All tables are flat: arrays by token or by node, and dictionaries from whole numbers to whole numbers.
+    """
 
-    def _suffixes(self, longest: bytes) -> list[bytes]:
-        return [longest[k:] for k in range(len(longest) + 1) if longest[k:] in self.begins]
+    def __init__(self, ranks: dict[bytes, int], moves: int = MOVES):
+        self.ranks, self.most = ranks, moves
+        size = max(ranks.values(), default=-1) + 1
+        self.token: list[bytes] = [b""] * size
+        for t, r in ranks.items():
+            self.token[r] = t
+        self.left, self.right = array("i", [-1]) * size, array("i", [-1]) * size  # what the last merge of a token joins
+        self.whole = {t for t in ranks if len(t) > 1 and not self._split(t)}  # no merge makes them: whole pieces only
+        self._trie()
+        self.jumps: dict[int, int] = {}
+        self.pairs: dict[int, bool] = {}
+        self._renew()
 
     def _split(self, token: bytes) -> bool:
         """Note the halves of the last merge that makes ``token``; false if merging by rank does not make it."""
@@ -79,8 +69,69 @@ class Transducer:
             if rank == 1 << 60:
                 return False
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        self.halves[self.ranks[token]] = self.ranks[parts[0]], self.ranks[parts[1]]
-        return True
+        r = self.ranks[token]
+        self.left[r], self.right[r] = self.ranks.get(parts[0], -1), self.ranks.get(parts[1], -1)
+        return self.left[r] >= 0 and self.right[r] >= 0
+
+    def _trie(self):
+        """Nodes for all beginnings of tokens: ``child``, the ``depth`` of each, the node of its longest proper suffix
+        (``suffix``), and the nearest node on that chain, itself included, that is a token (``ends_here``)."""
+        self.child: dict[int, int] = {}
+        self.depth, self.of_token = array("i", [0]), array("i", [-1])
+        for t, r in self.ranks.items():
+            if t in self.whole:
+                continue
+            node = 0
+            for byte in t:
+                to = self.child.get(node << 8 | byte)
+                if to is None:
+                    to = self.child[node << 8 | byte] = len(self.depth)
+                    self.depth.append(self.depth[node] + 1)
+                    self.of_token.append(-1)
+                node = to
+            self.of_token[node] = r
+        n = len(self.depth)
+        self.suffix, self.ends_here = array("i", [0]) * n, array("i", [0]) * n
+        for key, node in sorted(self.child.items(), key=lambda kv: self.depth[kv[1]]):
+            up, byte = key >> 8, key & 255
+            if up:
+                s = self.suffix[up]
+                while s and (s << 8 | byte) not in self.child:
+                    s = self.suffix[s]
+                self.suffix[node] = self.child.get(s << 8 | byte, 0)
+            self.ends_here[node] = node if self.of_token[node] >= 0 else self.ends_here[self.suffix[node]]
+
+    def _renew(self):
+        """Start new tables of states and moves."""
+        self.states: dict[tuple, int] = {}
+        self.node, self.last = array("i"), array("i")  # of each state: its node, and the id that ends there
+        self.moves: dict[int, int] = {}  # state and byte to state; -1: came by once
+        self._state(0, [-1])
+
+    def _state(self, node: int, ends: list[int]) -> int:
+        """The state of ``node`` after the bytes of ``ends``."""
+        n, key, s = len(ends) - 1, [node], node
+        while s:
+            key.append(ends[n - self.depth[s]])
+            s = self.suffix[s]
+        key = (*key, ends[n])
+        state = self.states.get(key)
+        if state is None:
+            state = self.states[key] = len(self.node)
+            self.node.append(node)
+            self.last.append(ends[n])
+        return state
+
+    def _jump(self, node: int, byte: int) -> int:
+        """The node of the longest suffix that still begins a token, where ``node`` itself has no such child."""
+        s = node
+        while s and (s << 8 | byte) not in self.child:
+            s = self.suffix[s]
+        to = self.child.get(s << 8 | byte, 0)
+        if len(self.jumps) >= JUMPS:
+            self.jumps.clear()
+        self.jumps[node << 8 | byte] = to
+        return to
 
     def _fits(self, a: int, b: int) -> bool:
         """Whether ``b`` may follow ``a``: merging their bytes together never joins across the boundary.
@@ -89,74 +140,107 @@ class Transducer:
         changes one of them has rank ``until``; a merge of ``x`` with ``y`` that comes before it would have happened.
         Of equal ranks the leftmost merge comes first, so one in ``b`` does not forestall it, but one in ``a`` does.
         """
-        if a < 0:
-            return True
-        x, y, until = a, b, 1 << 60
+        x, y, until, fits = a, b, 1 << 60, True
+        ranks, token, left, right = self.ranks, self.token, self.left, self.right
         while True:
-            if self.ranks.get(self.token[x] + self.token[y], 1 << 60) < until:
-                return False
-            left, right = self.halves.get(x), self.halves.get(y)
-            if left and (not right or x > y):
-                x, until = left[1], x
-            elif right:
-                y, until = right[0], y + 1
+            if ranks.get(token[x] + token[y], 1 << 60) < until:
+                fits = False
+                break
+            inner_x, inner_y = right[x], left[y]
+            if inner_x >= 0 and (inner_y < 0 or x > y):
+                x, until = inner_x, x
+            elif inner_y >= 0:
+                y, until = inner_y, y + 1
             else:
-                return True
-
-    def _next(self, key: tuple, byte: int) -> tuple:
-        """The key after one more byte: the first suffix that makes a token which fits gives the id that ends here."""
-        one, here = bytes([byte]), -1
-        grown = [(s + one, x) for s, x in zip(self._suffixes(key[0]), key[1:])]
-        for s, x in grown:
-            t = self.usable.get(s)
-            if t is not None and self._fits(x, t):
-                here = t
                 break
-        if here < 0:
-            raise ValueError(f"the vocabulary has no token for byte {byte}")
-        kept = [(s, x) for s, x in grown if s in self.begins]
-        return (kept[0][0] if kept else b"", *[x for _, x in kept], here)
-
-    def _move(self, state: int, byte: int) -> int:
-        """The state after one more byte, made or taken over from the old tables."""
-        key = self.known[state]
-        states, known, moves = self.old
-        was = states.get(key)
-        to = None if was is None else moves.get(was << 8 | byte)
-        new = self._next(key, byte) if to is None else known[to]
-        if len(self.moves) >= 5 * self.remembered // 2:
-            self._renew()
-            return self._state(new)
-        to = self.moves[state << 8 | byte] = self._state(new)
-        return to
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        self.pairs[a << 32 | b] = fits
+        return fits
+
+    def _follow(self, node: int, data: bytes, ends: list[int]) -> int:
+        """Follow the trie from ``node`` over ``data``, adding the id that ends at each byte to ``ends``: of the suffixes
+        that are tokens the longest that fits what comes before it. Returns the node reached."""
+        child, jumps, pairs = self.child, self.jumps, self.pairs
+        here, suffix, of_token, depth = self.ends_here, self.suffix, self.of_token, self.depth
+        n = len(ends)
+        for byte in data:
+            key = node << 8 | byte
+            node = child.get(key)
+            if node is None:
+                node = jumps.get(key)
+                if node is None:
+                    node = self._jump(key >> 8, byte)
+            s = here[node]
+            while s:
+                t, x = of_token[s], ends[n - depth[s]]
+                if x < 0:
+                    break
+                fits = pairs.get(x << 32 | t)
+                if fits is None:
+                    fits = self._fits(x, t)
+                if fits:
+                    break
+                s = here[suffix[s]]
+            else:
+                raise ValueError(f"the vocabulary has no token for byte {byte}")
+            ends.append(t)
+            n += 1
+        return node
 
     def _path(self, ends: list[int], at: int) -> list[int]:
-        """The ids that encode the first ``at`` bytes: each byte's state has the id that ends there."""
-        ids = []
+        """The ids that encode the first ``at`` bytes: each byte has the id that ends there."""
+        ids, token = [], self.token
         while at > 0:
-            ids.append(ends[at - 1])
-            at -= self.length[ids[-1]]
-        return ids[::-1]
+            ids.append(ends[at])
+            at -= len(token[ends[at]])
+        ids.reverse()
+        return ids
+
+    def _block(self, state: int, data: bytes, ends: list[int]) -> int:
+        """Read ``data`` from ``state``; returns the node reached."""
+        get, last, begin = self.moves.get, self.last, len(ends)
+        for byte in data:
+            key = state << 8 | byte
+            to = get(key, -2)
+            if to >= 0:
+                state = to
+                ends.append(last[to])
+                continue
+            at, node = len(ends) - begin, self.node[state]
+            if to == -2:  # comes by for the first time: no states for what may never come again
+                if len(self.moves) >= self.most:
+                    self._renew()
+                else:
+                    self.moves[key] = -1
+                return self._follow(node, data[at:], ends)
+            state = self.moves[key] = self._state(self._follow(node, data[at : at + 1], ends), ends)
+        return self.node[state]
 
     def encode(self, piece: bytes, block: int = 4096) -> list[int]:
         if piece in self.whole:
             return [self.ranks[piece]]
+        ends = [-1]  # the id before what has not been emitted, then the id that ends at each byte since
+        if len(piece) <= block:
+            self._block(0, piece, ends)
+            return self._path(ends, len(piece))
         ids: list[int] = []
-        ends: list[int] = []  # the id that ends at each byte since what was emitted
         state = 0
         for begin in range(0, len(piece), block):
-            for byte in piece[begin : begin + block]:
-                to = self.moves.get(state << 8 | byte)
-                state = self._move(state, byte) if to is None else to
-                ends.append(self.ends[state])
-            if begin + block < len(piece):
-                paths = [self._path(ends, len(ends) - len(s)) for s in self._suffixes(self.known[state][0])]
-                shared = 0
-                while all(len(p) > shared and p[shared] == paths[0][shared] for p in paths):
-                    shared += 1
-                ids += paths[0][:shared]
-                del ends[: sum(self.length[t] for t in paths[0][:shared])]
-        return ids + self._path(ends, len(ends))
+            node = self._block(state, piece[begin : begin + block], ends)
+            paths, s = [self._path(ends, len(ends) - 1)], node
+            while s:
+                paths.append(self._path(ends, len(ends) - 1 - self.depth[s]))
+                s = self.suffix[s]
+            shared = 0
+            while all(len(p) > shared and p[shared] == paths[0][shared] for p in paths):
+                shared += 1
+            ids += paths[0][:shared]
+            del ends[: sum(len(self.token[t]) for t in paths[0][:shared])]
+            if len(self.states) > self.most:
+                self._renew()
+            state = self._state(node, ends)
+        return ids + self._path(ends, len(ends) - 1)
 
 
 class Utf8Stream:
@@ -187,23 +271,22 @@ class Utf8Stream:
 class Tokenizer:
     """Splits texts by ``pattern``, encodes each match separately and decodes ids in a stream."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED, moves: int = MOVES):
         import regex
 
         split = pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")
         self.split = regex.compile(split)
-        self.transducer = Transducer(ranks, remembered)
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.old_memo: dict[str, tuple[int, ...]] = {}
+        self.transducer, self.remembered = Transducer(ranks, moves), remembered
+        self.memo: dict[str, bytes] = {}  # packed ids of pieces
+        self.old_memo: dict[str, bytes] = {}
 
     def encode(self, text: str) -> list[int]:
-        return [i for part in self.encode_parts(text) for i in part]
+        return [i for part in self.encode_parts(text) for i in unpacked(part)]
 
-    def encode_parts(self, text: str) -> Iterator[list[int]]:
-        """Ids of ``text`` in blocks of about a million characters that end where a match ends."""
+    def encode_parts(self, text: str) -> Iterator[bytes]:
+        """Packed ids of ``text`` in blocks of about a million characters that end where a match ends."""
         at, n = 0, len(text)
         while at < n:
-            ids: list[int] = []
             if n - at <= 1 << 20:
                 pieces, at = self.split.findall(text, at), n
             else:
@@ -213,25 +296,22 @@ class Tokenizer:
                     if m.end() - at > 1 << 20:
                         break
                 at = m.end() if pieces else n
-            for p in pieces:
-                got = self.memo.get(p)
-                if got is None:
-                    got = self._piece(p)
-                ids += got
-            yield ids
-
-    def _piece(self, p: str) -> tuple[int, ...]:
-        got = self.old_memo.get(p) or tuple(self.transducer.encode(p.encode()))
+            get, make = self.memo.get, self._piece
+            yield b"".join([get(p) or make(p) for p in pieces])
+
+    def _piece(self, p: str) -> bytes:
+        got = self.memo.get(p) or self.old_memo.get(p) or packed(self.transducer.encode(p.encode()))
         if len(p) < 64:
-            if len(self.memo) >= self.transducer.remembered:
-                self.old_memo, self.memo = self.memo, {}
+            if len(self.memo) >= self.remembered:
+                self.old_memo = dict(self.memo)
+                self.memo.clear()
             self.memo[p] = got
         return got
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.transducer.token.__getitem__, ids))
 
-    def decode_parts(self, parts: Iterable[list[int]]) -> Iterator[str]:
+    def decode_parts(self, parts: Iterable[Iterable[int]]) -> Iterator[str]:
         """Text of a stream of id blocks, each block giving the characters complete so far."""
         stream = Utf8Stream()
         for ids in parts:
@@ -239,6 +319,23 @@ class Tokenizer:
         yield stream.feed(b"", final=True)
 
 
+def packed(ids: Iterable[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    a = array("I", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
+
+
+def unpacked(data: bytes) -> array:
+    """The ids that ``packed`` packed."""
+    a = array("I")
+    a.frombytes(data)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a
+
+
 _made: dict[tuple[str, str], Tokenizer] = {}
 
 
@@ -255,28 +352,29 @@ def encode_documents(
     """One row per document: id, the ``keep`` columns, ``ids binary`` (little-endian unsigned 32-bit), ``n_tokens``,
     ``ids_sha256`` and ``decoded_sha256`` (of the bytes that the ids decode to, by the stream decoder).
 
-    Null and empty texts have no tokens. Texts of any length are encoded whole, in blocks. No shuffle.
+    Null and empty texts have no tokens. Texts of any length are encoded whole, in blocks. No shuffle. Unless the session
+    sets ``spark.sql.execution.arrow.maxBytesPerBatch`` itself, workers are given batches of ``BATCH`` bytes.
     """
+    small_batches(docs.sparkSession, BATCH)
     fields = [docs.schema[id_col], *[docs.schema[c] for c in keep]]
     head = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields))
     schema = f"{head}, ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def run(batches):
-        from array import array
-
         import pyarrow as pa
 
         tok = tokenizer(path, pattern)
         names = [*[f"c{i}" for i in range(len(fields))], "ids", "n_tokens", "ids_sha256", "decoded_sha256"]
 
         def one(text):
-            ids, decoded, stream = array("I"), hashlib.sha256(), Utf8Stream()
+            ids, sha, decoded, stream = [], hashlib.sha256(), hashlib.sha256(), Utf8Stream()
             for part in tok.encode_parts(text):
-                ids.extend(part)
-                decoded.update(stream.feed(tok.decode_bytes(part)).encode())
+                ids.append(part)
+                sha.update(part)
+                decoded.update(stream.feed(tok.decode_bytes(unpacked(part))).encode())
             decoded.update(stream.feed(b"", final=True).encode())
-            raw = ids.tobytes()
-            return raw, len(ids), hashlib.sha256(raw).hexdigest(), decoded.hexdigest()
+            raw = b"".join(ids)
+            return raw, len(raw) // 4, sha.hexdigest(), decoded.hexdigest()
 
         for b in batches:
             texts, begin, rows, size = b.column(b.num_columns - 1), 0, [], 0

@@ -31,6 +31,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, size: int) -> None:
+    """Bound the bytes of an Arrow batch, where the session sets no bound of its own; rows alone do not bound long texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(size))
+
+
 def words(text: str) -> str:
     """SQL for the array of words of a text column (null: no words)."""
     return rf"array_remove(split(coalesce({text}, ''), r'{SPACE}'), '')"

@@ -28,7 +28,7 @@ def test_random_texts(both):
 def test_every_token_and_long_pieces(both):
     tok, enc = both
     r = random.Random(2)
-    for t in r.sample(sorted(tok.transducer.token.values()), 3000):
+    for t in r.sample(sorted(tok.transducer.ranks), 3000):
         s = t.decode("utf-8", "ignore")
         assert tok.encode(s + s) == enc.encode_ordinary(s + s)
     for s in ("a" * 9001, "the" * 5000, " " * 5000 + "x", "é" * 5000, "<|endoftext|>"):
@@ -37,7 +37,7 @@ def test_every_token_and_long_pieces(both):
 
 def test_small_tables_are_refilled(both):
     _, enc = both
-    tok = bpe.Tokenizer(bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), P.PATTERN, remembered=20)
+    tok = bpe.Tokenizer(bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), P.PATTERN, remembered=20, moves=20)
     s = "Onhalyti the in erthst orth it " * 9 + "antidisestablishmentarianism" * 30
     assert tok.encode(s) == enc.encode_ordinary(s)
 
@@ -66,3 +66,26 @@ def test_documents(spark, both):
         assert got[i]["ids_sha256"] == hashlib.sha256(raw).hexdigest()
         assert got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
     assert bpe.encode_documents(df.limit(0), path, P.PATTERN).count() == 0
+
+
+def test_tables_stay_small(both):
+    """Hundreds of thousands of different pieces: what a worker keeps stays under 150 MB."""
+    import subprocess
+    import sys
+
+    code = """
+import random, public_tokenizers as P
+from cellspan.llm import bpe
+def resident():
+    return int(next(x for x in open('/proc/self/status') if x.startswith('VmRSS')).split()[1]) / 1024
+before = resident()
+tok = bpe.Tokenizer(bpe.read_ranks(P.path('byte_bpe_50k.tiktoken')), P.PATTERN)
+r = random.Random(5)
+for _ in range(400):
+    tok.encode(' '.join(''.join(r.choices('etaoinshrdlucmfwypvé漢', k=r.randint(1, 14))) for _ in range(1000)))
+assert len(tok.memo) <= tok.remembered and len(tok.old_memo) <= tok.remembered
+assert len(tok.transducer.moves) <= bpe.MOVES and len(tok.transducer.pairs) <= bpe.PAIRS
+print(resident() - before)
+"""
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert float(got.stdout) < 150
