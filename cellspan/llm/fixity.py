@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, maybe_broadcast
+from .common import cut, maybe_broadcast, ordinal
 
-#: Ids of one leaf, and children of one inner node: 2 to the power of this.
+#: Places of one leaf, and children of one inner node: 2 to the power of this.
 BITS = 6
 
 
@@ -24,8 +24,8 @@ def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     return pages.select(F.col(id_col).cast("long").alias("id"), F.expr(record).alias("record"))
 
 
-def digests(records: DataFrame, first: int) -> DataFrame:
-    """``(slot, id, n, length, digest)``: one row for each id; ``slot`` is its distance from ``first`` (null id: -1 + 1).
+def digests(records: DataFrame, places: DataFrame) -> DataFrame:
+    """``(slot, id, n, length, digest)``: one row for each id; ``slot`` is its place in ``places (id, slot)``.
 
     Repeated records of an id are combined by sums of parts of their SHA-256, which map-side aggregation bounds and
     which no order changes.
@@ -35,8 +35,9 @@ def digests(records: DataFrame, first: int) -> DataFrame:
     by = sha.groupBy("id").agg(
         F.count("*").alias("n"), F.sum("l").alias("length"), *[part(i).alias(f"p{i}") for i in range(4)]
     )
-    return by.select(
-        F.coalesce(F.col("id") - F.lit(first) + 1, F.lit(0)).alias("slot"),
+    at = places.withColumnRenamed("id", "_id")
+    return by.join(at, F.col("id").eqNullSafe(F.col("_id"))).select(
+        "slot",
         "id",
         "n",
         "length",
@@ -56,21 +57,22 @@ def parents(level: DataFrame) -> DataFrame:
 def audit(a: DataFrame, b: DataFrame) -> DataFrame:
     """``(id, kind, file, offset, length)``: records in which two replicas ``(id, record binary)`` differ.
 
-    Each replica's records are hashed into a tree over ranges of ids: a leaf has 64 ids in order, a node 64 children,
-    each child as its offset range within the node and its digest. Roots are compared first; only nodes that differ are
+    The ids of both replicas are numbered in order, and each replica's records are hashed into a tree over these places:
+    a leaf has 64 places, a node 64 children, each child as its offset range within the node and its digest. Roots are compared first; only nodes that differ are
     descended, and at the end only records of leaves that differ are compared. ``kind``: missing (only in ``a``), extra
-    (only in ``b``) or changed. ``file`` is a run of 4096 ids, ``offset`` and ``length`` the place in it of the id's
-    records in ``a`` (of an extra record: in ``b``). Records of a null id come first, as one id. Equal or empty replicas:
-    no rows. Repeated records count as often as they occur. No group is larger than 64 rows.
+    (only in ``b``) or changed. ``file`` is a run of 4096 places, ``offset`` and ``length`` the place in it of the id's
+    records in ``a`` (of an extra record: in ``b``). Records of a null id come last, as one id. Ids may be any longs: the
+    height of the trees follows their number, not their range. Equal or empty replicas: no rows. Repeated records count
+    as often as they occur. No group is larger than 64 rows.
     """
-    ends = a.select("id").union(b.select("id")).agg(F.min("id"), F.max("id")).first()
-    first, last = (x or 0 for x in ends)
+    places = cut(ordinal(a.select("id").union(b.select("id")).distinct(), "id", "slot").select("id", "slot"))
+    ids = places.count()
     height = 1
-    while (last - first + 1) >> (BITS * height):
+    while max(0, ids - 1) >> (BITS * height):
         height += 1
     trees = []
     for records in (a, b):
-        levels = [cut(digests(records, first))]
+        levels = [cut(digests(records, places))]
         for _ in range(height):
             levels.append(cut(parents(levels[-1])))
         trees.append(levels)

@@ -43,3 +43,10 @@ def test_offsets_are_places_in_the_file(spark):
     sizes = {r["id"]: len(r["record"]) for r in df.collect()}
     for r in fixity.audit(df, frame(spark, b)).collect():
         assert r["offset"] == sum(n for i, n in sizes.items() if i < r["id"]) and r["length"] == sizes[r["id"]]
+
+
+def test_ids_over_the_whole_range(spark):
+    a = [(i, "u", "h") for i in (-(1 << 63), -5, 0, 7, (1 << 63) - 1)] + [(None, "u", "h")]
+    assert run(spark, a, a) == []
+    assert run(spark, a, a[1:-1]) == sorted([(-(1 << 63), "missing"), (None, "missing")], key=str)
+    assert run(spark, a[:2], a) == sorted([(i, "extra") for i, *_ in a[2:]], key=str)
