@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, cut, let, words
 
-#: Rows of the sample on which cost and selectivity are estimated.
-SAMPLE_ROWS = 2000
+#: Rows of the sample on which cost and selectivity are estimated, and how often each rule is timed on it.
+SAMPLE_ROWS, REPEATS = 2000, 3
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``reject``: SQL over the columns of the table, true where a document is rejected; null counts as false."""
+    """``reject``: SQL over a text ``t`` (null is empty) and its words ``w``, true where a document is rejected; null
+    counts as false."""
 
     name: str
     reject: str
@@ -74,56 +75,94 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 #: Base rule of the contract over the counts.
 BASE_FAILED = "(n_words < 50 or 100 * n_repeat_words > 50 * n_words)"
 
-#: Rules over the counts of ``base_counts``: too many symbols, odd word lengths, repeated lines (the bounds are those
-#: of published web-corpus filters).
-COUNT_RULES = (
-    Rule("symbols", "10 * n_symbols > n_words"),
-    Rule("short_words", "word_chars < 3 * n_words"),
-    Rule("long_words", "word_chars > 10 * n_words"),
-    Rule("repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+_LINES = r"filter(split(t, '\\n'), x -> x rlike r'[^\x20\x09-\x0D]')"
+_CHARS = rf"length(regexp_replace(t, r'{SPACE}', ''))"
+
+
+def _lines_like(pattern: str, share: str) -> str:
+    """SQL: more than ``share`` tenths of the lines that have a word match ``pattern``."""
+    return let(_LINES, "l", f"10 * size(filter(l, x -> x rlike r'{pattern}')) > {share} * size(l)")
+
+
+#: The base rule of the contract.
+BASE_RULES = (
+    Rule("too_short", "size(w) < 50"),
+    Rule("repeats", f"100 * {repeat_words('w')} > 50L * size(w)"),
 )
 
+#: Rules beyond the base, with the bounds of published web-corpus filters: many symbols, odd word lengths, words without
+#: letters, repeated lines, lines that break off, lists. Each does its own work on the text.
+MORE_RULES = (
+    Rule("symbols", "10 * size(regexp_extract_all(t, '[#*$%&|<>]', 0)) > size(w)"),
+    Rule("short_words", f"{_CHARS} < 3 * size(w)"),
+    Rule("long_words", f"{_CHARS} > 10 * size(w)"),
+    Rule("no_letters", r"10 * size(filter(w, x -> x rlike r'\p{L}')) < 8 * size(w)"),
+    Rule("repeated_lines", let(_LINES, "l", "10 * (size(l) - size(array_distinct(l))) > 3 * size(l)")),
+    Rule("broken_lines", _lines_like(r"(\.\.\.|…)[\x20\x09-\x0D]*$", "3")),
+    Rule("lists", _lines_like(r"^[\x20\x09-\x0D]*[-*•]", "9")),
+)
 
-def text_rules(text_col: str = "text") -> tuple[Rule, ...]:
-    """The base rule and ``COUNT_RULES`` as rules straight over the text, each counting only what it needs."""
-    t = f"coalesce(`{text_col}`, '')"
-    w = words(f"`{text_col}`")
-    n = f"size({w})"
-    chars = rf"length(regexp_replace({t}, r'{SPACE}', ''))"
-    lines = rf"filter(split({t}, '\\n'), x -> x rlike r'[^\x20\x09-\x0D]')"
-    return (
-        Rule("too_short", f"{n} < 50"),
-        Rule("repeats", let(w, "v", f"100 * {repeat_words('v')} > 50L * size(v)")),
-        Rule("symbols", f"10 * size(regexp_extract_all({t}, '[#*$%&|<>]', 0)) > {n}"),
-        Rule("short_words", f"{chars} < 3 * {n}"),
-        Rule("long_words", f"{chars} > 10 * {n}"),
-        Rule("repeated_lines", let(lines, "l", "10 * (size(l) - size(array_distinct(l))) > 3 * size(l)")),
-    )
+ALL_RULES = BASE_RULES + MORE_RULES
+
+
+def over_text(sql: str, text_col: str) -> Column:
+    """``sql`` over a text ``t`` and its words ``w``; the words are split once for a row, whatever the rules need of them."""
+    return F.expr(let(f"coalesce(`{text_col}`, '')", "t", let(words("t"), "w", sql)))
 
 
-def order_rules(docs: DataFrame, rules: tuple[Rule, ...], sample_rows: int = SAMPLE_ROWS, prepare=None) -> list[Rule]:
+def rate_rules(sample: DataFrame, rules: tuple[Rule, ...], text_col: str = "text", repeats: int = REPEATS) -> tuple[list[float], dict[tuple[bool, ...], int]]:
+    """Seconds that each rule needs for ``sample``, and how many rows have which verdicts of the rules.
+
+    A rule's time is the shortest of ``repeats`` passes over the raw texts, less that of a pass which only splits words.
+    """
+
+    def seconds(sql):
+        best = float("inf")
+        for _ in range(repeats):
+            began = time.perf_counter()
+            sample.agg(F.count_if(over_text(sql, text_col))).first()
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    idle = seconds("size(w) < 0")
+    cost = [max(seconds(r.reject) - idle, 1e-4) for r in rules]
+    if not rules:
+        return cost, {}
+    flags = over_text("array(" + ", ".join(f"coalesce({r.reject}, false)" for r in rules) + ")", text_col)
+    counted = sample.groupBy(flags.alias("f")).agg(F.count("*").alias("n")).collect()
+    return cost, {tuple(r["f"]): r["n"] for r in counted}
+
+
+def rank_rules(rules: tuple[Rule, ...], cost: list[float], verdicts: dict[tuple[bool, ...], int]) -> list[Rule]:
+    """``rules`` ordered: each time the one that rejects most per second of what the earlier ones let through."""
+    ordered, left, rows = [], list(range(len(rules))), dict(verdicts)
+    while left:
+        rejects = {i: sum(n for f, n in rows.items() if f[i]) for i in left}
+        best = max(left, key=lambda i: ((rejects[i] + 0.01) / cost[i], -i))
+        ordered.append(rules[best])
+        left.remove(best)
+        rows = {f: n for f, n in rows.items() if not f[best]}
+    return ordered
+
+
+def order_rules(docs: DataFrame, rules: tuple[Rule, ...], sample_rows: int = SAMPLE_ROWS, text_col: str = "text") -> list[Rule]:
     """``rules`` by rejections per second on a sample of about ``sample_rows`` rows, the most effective first.
 
-    ``prepare`` makes the columns that the rules read; only the sample goes through it. The verdict of a cascade does
-    not depend on the order; only its cost does.
+    The verdict of a cascade does not depend on the order; only its cost does. What reaches the driver are one time for
+    each rule, and counts of verdicts of the bounded sample.
     """
     n = docs.count()
-    sample = docs if n <= sample_rows else docs.sample(fraction=sample_rows / n, seed=1)
-    sample = cut(prepare(sample) if prepare else sample)
-    rated = []
-    for i, rule in enumerate(rules):
-        began = time.perf_counter()
-        rejected = sample.agg(F.count_if(F.expr(rule.reject))).first()[0]
-        rated.append((-(rejected + 0.01) / (time.perf_counter() - began), i))
-    return [rules[i] for _, i in sorted(rated)]
+    sample = docs.select(text_col) if n <= sample_rows else docs.select(text_col).sample(fraction=sample_rows / n, seed=1)
+    sample = cut(sample.coalesce(docs.sparkSession.sparkContext.defaultParallelism))
+    return rank_rules(rules, *rate_rules(sample, rules, text_col))
 
 
-def verdict(ordered: list[Rule]) -> Column:
+def verdict(ordered: list[Rule], text_col: str = "text") -> Column:
     """True where no rule rejects; a later rule is evaluated only for what the earlier ones let through."""
     case = "".join(f" when {r.reject} then false" for r in ordered)
-    return F.expr(f"case{case} else true end" if ordered else "true")
+    return over_text(f"case{case} else true end", text_col) if ordered else F.lit(True)
 
 
-def cascade(docs: DataFrame, rules: tuple[Rule, ...], sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def cascade(docs: DataFrame, rules: tuple[Rule, ...] = ALL_RULES, sample_rows: int = SAMPLE_ROWS, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that every rule lets through. Null texts have no words; equal rows get equal verdicts."""
-    return docs.where(verdict(order_rules(docs, rules, sample_rows)))
+    return docs.where(verdict(order_rules(docs, rules, sample_rows, text_col), text_col))

@@ -34,14 +34,20 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = passages.repeated_units(_table(spark, sf_dir, "documents"))
-    return out.select(
-        F.col("id").alias("doc_id"),
-        F.col("start").alias("unit_start"),
-        F.col("end").alias("unit_end"),
+    """One row per removed passage, with the size and digest of what is left of its document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = passages.remove_spans(docs, passages.repeated_passages(docs)).where(F.size("removed") > 0)
+    spans = out.select("doc_id", F.length("text").cast("long").alias("left_chars"), F.md5("text").alias("left_md5"), F.inline("removed"))
+    return spans.select(
+        "doc_id",
+        F.col("start").alias("passage_start"),
+        F.col("end").alias("passage_end"),
         "n_words",
+        "n_units",
         F.col("kept_id").alias("kept_doc_id"),
         "kept_start",
+        "left_chars",
+        "left_md5",
     )
 
 
@@ -55,9 +61,9 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    ordered = quality.order_rules(docs, quality.COUNT_RULES, prepare=quality.base_counts)
-    counted = quality.base_counts(docs)
-    judged = counted.withColumn("base_failed", F.expr(quality.BASE_FAILED))
+    ordered = quality.order_rules(docs, quality.MORE_RULES)
+    judged = quality.base_counts(docs).withColumn("base_failed", F.expr(quality.BASE_FAILED))
+    # What the base rejects goes through no further rule, and what a rule rejects through none after it.
     kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(quality.verdict(ordered))
     return judged.withColumn("kept", kept).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -153,22 +159,32 @@ k AS (SELECT t.doc_id, t.source, t.text, len(list_filter(l, lambda x: trim(x, ws
 o AS (SELECT *, array_to_string(kept, chr(10)) AS out FROM k)
 SELECT doc_id, source, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n - len(kept), 0)::BIGINT AS n_dropped,
        length(out)::BIGINT AS kept_chars, md5(out) AS kept_md5 FROM o""",
-    "op4_substring_dedup": r"""
-WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '\n|[^\n.!?]+[.!?]*|[.!?]+') AS u FROM documents),
+    "op4_substring_dedup": rf"""
+WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '{passages.PIECE}') AS u FROM documents),
 x AS (SELECT doc_id, unnest(u) AS s, unnest(range(1, len(u) + 1)) AS i FROM t),
 y AS (SELECT doc_id, i, s, sum(length(s)) OVER w AS e, len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) AS n FROM x
       WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 z AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM y),
-j AS (SELECT z.doc_id, z.e - length(z.s) AS st, min(v.e) AS e, min(v.c) - (z.c - z.n) AS n_words
+j AS (SELECT z.doc_id, z.e - length(z.s) AS st, min(v.e) AS e, z.c - z.n AS a, min(v.c) AS b
       FROM z JOIN z v ON z.doc_id = v.doc_id AND v.i >= z.i AND v.c >= z.c - z.n + 8 AND v.n > 0
       WHERE z.n > 0 GROUP BY z.doc_id, z.i, z.e, z.s, z.c, z.n),
 k AS (SELECT j.*, trim(regexp_replace(lower(substr(text, st::BIGINT + 1, (e - st)::BIGINT)), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm
       FROM j JOIN t USING (doc_id)),
 f AS (SELECT *, first_value(doc_id) OVER o AS kd, first_value(st) OVER o AS ks FROM k
-      WINDOW o AS (PARTITION BY norm ORDER BY doc_id, st))
-SELECT doc_id, st::BIGINT AS unit_start, e::BIGINT AS unit_end, n_words::BIGINT AS n_words,
-       kd AS kept_doc_id, ks::BIGINT AS kept_start
-FROM f WHERE doc_id <> kd OR st <> ks""",
+      WINDOW o AS (PARTITION BY norm ORDER BY doc_id, st)),
+g AS (SELECT *, max(b) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached
+      FROM f WHERE doc_id <> kd OR st <> ks),
+h AS (SELECT *, sum(CASE WHEN a <= reached THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY a) AS run FROM g),
+r AS (SELECT doc_id, min(st)::BIGINT AS st, max(e)::BIGINT AS e, (max(b) - min(a))::BIGINT AS n, count(*) AS m,
+             arg_min(kd, a) AS kd, arg_min(ks, a)::BIGINT AS ks
+      FROM h GROUP BY doc_id, run HAVING max(b) - min(a) >= 30),
+l AS (SELECT r.*, text, coalesce(lag(e) OVER q, 0) AS p, lead(st) OVER q IS NULL AS final FROM r JOIN t USING (doc_id)
+      WINDOW q AS (PARTITION BY doc_id ORDER BY st)),
+o AS (SELECT doc_id, string_agg(substr(text, p + 1, st - p) || CASE WHEN final THEN substr(text, e + 1) ELSE '' END, '' ORDER BY st) AS left_text
+      FROM l GROUP BY doc_id)
+SELECT doc_id, st AS passage_start, e AS passage_end, n AS n_words, m AS n_units, kd AS kept_doc_id, ks AS kept_start,
+       length(left_text)::BIGINT AS left_chars, md5(left_text) AS left_md5
+FROM r JOIN o USING (doc_id)""",
     "op7_license_scan": rf"""
 WITH k AS (SELECT sha256({_canonical('t')}) AS digest, min(n) AS license FROM (VALUES {_known_rows()}) v(n, t) GROUP BY 1),
 l AS (SELECT doc_id, license FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents)
@@ -178,7 +194,7 @@ d AS (SELECT doc_id, sha256({_canonical('text')}) AS canonical_digest FROM docum
 SELECT d.doc_id, canonical_digest, license, coalesce(notices, '') AS notices
 FROM d LEFT JOIN k ON canonical_digest = digest LEFT JOIN n ON d.doc_id = n.doc_id""",
     "op8_merkle_fixity": r"""
-WITH p AS (SELECT page_id, page_id - min(page_id) OVER () + 1 AS slot,
+WITH p AS (SELECT page_id, dense_rank() OVER (ORDER BY page_id) - 1 AS slot,
                   strlen('WARC/1.0__WARC-Type: resource__WARC-Record-ID: <urn:page:' || page_id || '>__')
                   + coalesce(strlen('WARC-Target-URI: ' || url || '__'), 0)
                   + strlen('Content-Type: text/html__Content-Length: ' || strlen(coalesce(html, '')) || '____')
@@ -204,11 +220,15 @@ c AS (
          length(array_to_string(w, ''))::BIGINT AS word_chars,
          len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
          (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
-         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines
+         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines,
+         len(list_filter(w, lambda x: regexp_matches(x, '\p{L}'))) AS n_letters,
+         len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_broken,
+         len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS n_listed
   FROM t LEFT JOIN p USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words
-            OR word_chars < 3 * n_words OR word_chars > 10 * n_words OR 10 * n_dup_lines > 3 * n_lines) AS kept
+            OR word_chars < 3 * n_words OR word_chars > 10 * n_words OR 10 * n_letters < 8 * n_words
+            OR 10 * n_dup_lines > 3 * n_lines OR 10 * n_broken > 3 * n_lines OR 10 * n_listed > 9 * n_lines) AS kept
 FROM c""",
 }

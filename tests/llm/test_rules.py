@@ -29,26 +29,70 @@ def test_counts_match_brute_force(spark):
         assert got == counts(texts[row["doc_id"]]), texts[row["doc_id"]]
 
 
+def rejected(text):
+    """Brute force of the rules beyond the base."""
+    import re
+
+    n_words, chars, symbols, dup, _ = counts(text)
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    letters = sum(any(c.isalpha() for c in x) for x in w)
+    broken = sum(bool(re.search(r"(\.\.\.|…)[\x20\x09-\x0D]*$", x)) for x in lines)
+    listed = sum(bool(re.match(r"[\x20\x09-\x0D]*[-*•]", x)) for x in lines)
+    return [
+        10 * symbols > n_words, chars < 3 * n_words, chars > 10 * n_words, 10 * letters < 8 * n_words,
+        10 * dup > 3 * len(lines), 10 * broken > 3 * len(lines), 10 * listed > 9 * len(lines),
+    ]
+
+
 def test_cascade_is_order_free(spark):
     good = " ".join(f"word{i}" for i in range(80))
     texts = [good, "too short", "a b c " * 60, "## " * 90, None, "", "same line\n" * 60, good + " é", good]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    rules = quality.text_rules()
+    texts += ["\n".join(f"- {good} {i}" for i in range(9)), "\n".join(f"{good} {i}..." for i in range(9)), good + " 12 34" * 60]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, t string")
+    rules = quality.ALL_RULES
     ordered = quality.order_rules(df, rules)
     assert sorted(x.name for x in ordered) == sorted(x.name for x in rules)
     want = {0, 7, 8}
-    assert {r["doc_id"] for r in quality.cascade(df, rules).collect()} == want
+    assert {r["doc_id"] for r in quality.cascade(df).collect()} == want
     assert {r["doc_id"] for r in df.where(quality.verdict(list(reversed(ordered)))).collect()} == want
-    assert quality.cascade(df.limit(0), rules).count() == 0
+    assert quality.cascade(df.limit(0)).count() == 0
 
 
-def test_text_rules_agree_with_counts(spark):
+def test_rules_match_brute_force(spark):
     r = random.Random(3)
-    texts = [" ".join(r.choices(["#", "aa", "bbb", "ccccccccccccccccc", "\n", "x y z"], k=r.randint(0, 150))) for _ in range(150)]
+    parts = ["#", "aa", "bbb", "ccccccccccccccccc", "\n", "x y z", "12", "…\n", "- é", "\n* ", "words of a text "]
+    texts = [" ".join(r.choices(r.sample(parts, r.randint(1, 5)), k=r.randint(0, 150))) for _ in range(300)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    by_counts = quality.base_counts(df).where(f"not {quality.BASE_FAILED}").where(quality.verdict(list(quality.COUNT_RULES)))
-    by_text = df.where(quality.verdict(list(quality.text_rules())))
-    assert {x["doc_id"] for x in by_counts.collect()} == {x["doc_id"] for x in by_text.collect()}
+    flags = [quality.over_text(x.reject, "text").alias(x.name) for x in quality.MORE_RULES]
+    got = {x["doc_id"]: list(x)[1:] for x in df.select("doc_id", *flags).collect()}
+    assert got == {i: rejected(t) for i, t in enumerate(texts)}
+    assert all(any(v[k] for v in got.values()) for k in range(len(flags)))
+    base = quality.base_counts(df).where(f"not {quality.BASE_FAILED}")
+    assert {x["doc_id"] for x in base.collect()} == {x["doc_id"] for x in df.where(quality.verdict(list(quality.BASE_RULES))).collect()}
+
+
+def test_rules_are_ranked_by_rejections_per_cost():
+    rules = tuple(quality.Rule(x, "") for x in "abcd")
+    verdicts = {(True, True, False, False): 50, (False, False, True, False): 10, (False,) * 4: 40}
+    # b rejects what a does at a tenth of its cost; after it a has nothing left to reject.
+    got = quality.rank_rules(rules, [1.0, 0.1, 0.5, 0.2], verdicts)
+    assert [r.name for r in got] == ["b", "c", "d", "a"]
+
+
+def test_costs_are_measured_over_texts(spark):
+    df = spark.createDataFrame([(f"word{i} " * 3000,) for i in range(400)], "text string").repartition(8)
+    dear = quality.Rule("dear", "size(array_distinct(transform(w, x -> sha2(concat(x, t), 256)))) > 9")
+    cheap = quality.Rule("cheap", "t like 'word1%'")
+    cost, verdicts = quality.rate_rules(df.limit(20), (dear, cheap))
+    assert cost[0] > 3 * cost[1] and sum(verdicts.values()) == 20
+
+
+def test_rejected_rows_go_through_no_later_rule(spark):
+    df = spark.createDataFrame([("short",), ("word " * 60,)], "text string")
+    boom = quality.Rule("boom", "if(size(w) < 50, raise_error('evaluated'), false)")
+    first = quality.BASE_RULES[0]
+    assert df.where(quality.verdict([first, boom])).count() == 1
 
 
 def test_license_scan(spark):
