@@ -90,9 +90,9 @@ def near_links(fps: DataFrame) -> DataFrame:
             " & ~shiftleft(1L, k % 32))"
         ).alias("key"),
     )
-    shared = cut(
-        keyed.withColumn("n", F.expr("count(*) over (partition by key)")).where("n > 1")
-    )
+    # Counted map-side and joined back, so that AQE can split a variant that very many fingerprints share.
+    counts = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")).hint("merge")
+    shared = cut(keyed.join(counts, "key"))
     diff = "array((a ^ b) & 4294967295L, shiftrightunsigned(a ^ b, 32))"
     seg, pos = "cast(shiftright(key, 37) as int)", "cast(shiftright(key, 32) & 31 as int)"
     close = f"a < b and bit_count(a ^ b) <= 3 and {_first_shared(diff, seg, pos, 2)}"
@@ -143,18 +143,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", grouped=near_duplicates) -> DataFrame:
     """``docs`` with one document of each near-duplicate group that ``grouped`` makes: the one of smallest id.
 
-    Of rows that repeat a surviving id, the one with the smallest content stays. Rows without an id stay. Texts are
-    shuffled only where the ids to drop are too many to broadcast.
+    Rows are told apart by id and text: rows that share an id but no group are all judged on their own. A null id counts
+    as larger than all others; of equal ids the smallest text hash stays. Of rows that repeat a surviving id and text, the
+    one with the smallest content stays. Texts are shuffled only where the rows to drop are too many to broadcast.
     """
-    groups = cut(grouped(docs, id_col, text_col).where("id is not null").select("id", "component"))
-    drop = groups.where("id <> component").select("id").distinct()
-    left = docs.join(maybe_broadcast(drop), docs[id_col] == drop["id"], "left_anti")
-    again = cut(groups.where("id = component").groupBy("id").count().where("count > 1").select("id"))
+    id_, h = F.col(id_col), F.xxhash64(text_col)
+    key = F.struct(id_.isNull().alias("none"), id_.alias("id"), h.alias("h"))
+    groups = cut(grouped(docs.select(key.alias("id"), F.col(text_col).alias("text")), "id", "text").select("id", "component"))
+    same = lambda t: docs[id_col].eqNullSafe(t["_id"]) & (F.xxhash64(docs[text_col]) == t["_h"])
+    flat = lambda t: maybe_broadcast(cut(t.select(F.col("id.id").alias("_id"), F.col("id.h").alias("_h"))))
+    drop = flat(groups.where("id <> component").select("id").distinct())
+    left = docs.join(drop, same(drop), "left_anti")
+    again = flat(groups.where("id = component").groupBy("id").count().where("count > 1"))
     if again.isEmpty():
         return left
-    again = maybe_broadcast(again)
-    single = left.join(again, left[id_col] == again["id"], "left_anti")
+    single = left.join(again, same(again), "left_anti")
     rest = [c for c in docs.columns if c != id_col]
-    first = F.min(F.struct(*[F.col(c) for c in rest])).alias("_row") if rest else F.count("*").alias("_row")
-    one = left.join(again, left[id_col] == again["id"], "left_semi").groupBy(id_col).agg(first)
+    first = F.min(F.struct(*[F.col(c) for c in rest])).alias("_row")
+    one = left.join(again, same(again), "left_semi").groupBy(id_col, F.xxhash64(text_col).alias("_h")).agg(first)
     return single.union(one.select(*[F.col(id_col) if c == id_col else F.col("_row")[c].alias(c) for c in docs.columns]))

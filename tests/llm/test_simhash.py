@@ -98,10 +98,17 @@ def test_keep_one(spark):
     got = simhash.keep_one(df)
     assert got.columns == df.columns
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(
-        [(1, "a b c d"), (3, "other words are here"), (None, "a b c d")], key=str
+        [(1, "a b c d"), (3, "other words are here")], key=str
     )
 
 
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    rows = [(5, "one text of its own"), (5, "quite other words here"), (3, "quite other words here"), (None, "a third text is here"), (None, None), (None, "")]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = {(r["doc_id"], r["text"]) for r in got}
+    assert len(got) == 4 and {(5, rows[0][1]), (3, rows[1][1]), (None, rows[3][1])} < kept
+
+
 @pytest.mark.parametrize("n", [1, 2, 40])
 def test_components_of_paths(spark, n):
     edges = [(i * 7 % (n + 1), (i + 1) * 7 % (n + 1)) for i in range(n)]
