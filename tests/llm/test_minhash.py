@@ -58,6 +58,30 @@ def test_matches_brute_force(spark):
     assert got == components(rows)
 
 
+def edited(text, places, mark):
+    w = text.split(" ")
+    for k in places:
+        w[k] = f"{mark}{k}"
+    return " ".join(w)
+
+
+def test_large_group_of_edited_copies(spark):
+    """Copies too far from the text they come from, some of which are near to each other by edits that they share."""
+    r = random.Random(11)
+    base = " ".join(f"v{r.randrange(400)}" for _ in range(120))
+    out = [base]
+    out += [edited(base, r.sample(range(120), 5), f"x{i}_") for i in range(80)]  # near to the base or to nothing
+    for c in range(4):
+        shared = edited(base, r.sample(range(120), 6), f"c{c}_")
+        out += [edited(shared, r.sample(range(120), k), f"y{c}_{i}_") for i, k in enumerate([0, 1, 1, 2, 2, 3, 4])]
+        deep = edited(shared, r.sample(range(120), 6), f"d{c}_")
+        out += [edited(deep, r.sample(range(120), k), f"z{c}_{i}_") for i, k in enumerate([1, 1, 2, 2])]
+    rows = list(zip(r.sample(range(10_000), len(out)), out))
+    want = components(rows)
+    got = {x["id"]: x["component"] for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and 10 < len(set(want.values())) < len(out) - 20
+
+
 def test_stage_drops_near_copies(spark, tmp_path):
     rows = docs()
     df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)
