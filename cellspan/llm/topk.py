@@ -91,8 +91,9 @@ def top_k(
     ``queries`` has the same columns as ``vectors``; a query's candidates are the rows of other ids. Both are dealt by
     hash into blocks of bounded size, and each block of queries meets each block of candidates in one task, as an
     equality join of block numbers; each such cell gives ``k`` rows a query, and a ranked window merges them. Nothing is
-    broadcast. Missing components of shorter vectors count zero. Rows that repeat an id and a vector count once; other
-    rows of one id are candidates each, and queries each (``query_hash`` tells them apart). Scores beyond 64 bits are
+    broadcast. Missing components of shorter vectors count zero. Every row is a candidate, also one that repeats an id,
+    a vector or both. Queries that repeat an id and a vector are one query; those of one id with different vectors are
+    queries each (``query_hash`` tells them apart). Scores beyond 64 bits are
     clipped. No candidates or no queries: no rows.
     """
     c, q = scaled(vectors, id_col, vec_col), scaled(queries, id_col, vec_col)
@@ -112,7 +113,7 @@ def top_k(
         import pandas as pd
 
         empty = pd.DataFrame({"query_id": [], "query_hash": [], "id": [], "score": []})
-        a, b = (x.sort_values(["id", "h"]).drop_duplicates(["id", "h"]) for x in (a, b))
+        a, b = a.sort_values(["id", "h"]), b.sort_values(["id", "h"]).drop_duplicates(["id", "h"])
         if a.empty or b.empty:
             return empty
         width = max(max(map(len, a["v"])), max(map(len, b["v"])), 1)

@@ -39,6 +39,19 @@ def test_odd_vectors(spark):
 def test_empty_and_repeated(spark):
     assert run(spark, [], {0}) == []
     assert run(spark, [(0, [1.0])], {0}) == []
-    assert run(spark, [(0, [1.0])] * 3 + [(1, [2.0])] * 2, {0}) == [(0, 1, 1, 131072)]
+    assert run(spark, [(0, [1.0])] * 3 + [(1, [2.0])] * 2, {0}) == [(0, 1, 1, 131072), (0, 2, 1, 131072)]
     df = spark.createDataFrame([(0, [1.0], 7, 7), (1, [2.0], 8, 8)], "vec_id long, embedding array<float>, score long, block int")
     assert topk.top_k(df, df).count() == 2
+
+
+def test_repeated_rows_and_ties_over_cells(spark):
+    """Every row is a candidate: copies of an id, in whatever cells they are; very long vectors."""
+    r = random.Random(7)
+    rows = [(i % 70, [float(i % 3)] * 5) for i in range(400)] + [(500 + i, [0.125] * 20_000) for i in range(3)]
+    r.shuffle(rows)
+    ids = {500, 501, 69}
+    want, fine = [], [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    for q, a in {(i, tuple(v)) for i, v in fine if i in ids}:
+        scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in fine if i != q)
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:5])]
+    assert run(spark, rows, ids, candidates=32, block=2) == sorted(want)
