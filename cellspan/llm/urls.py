@@ -17,6 +17,9 @@ RULES = (
 )
 BAD = "<bad>"
 
+#: Rows that a mined rule must have at least, and how much likelier than on average it must make the label.
+MIN_ROWS, MIN_LIFT = 20, 1.5
+
 
 def host_path(url: str) -> tuple[Column, Column]:
     """Host (after the first ``://`` up to ``/ ? #``, A-Z in lower case) and path (then up to ``? #``); else both empty."""
@@ -61,22 +64,32 @@ def tokens(url: str) -> Column:
     return F.array_distinct(F.filter(F.concat(one, domains, segments, queries), lambda x: x.isNotNull()))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.8, url_col: str = "url", bad_col: str = "bad") -> DataFrame:
-    """``(rule_id, tokens, n, confidence, support)``: token sets that imply the label ``bad``, by FP-growth.
-
-    ``labelled`` has a url and a boolean; all its rows are mined. Rules under either bound are pruned, and so are rules
-    that contain another of the same confidence or more. A table without bad rows has no rules.
+def mine(
+    labelled: DataFrame,
+    min_support: float = 0.002,
+    min_confidence: float = 0.8,
+    min_rows: int = MIN_ROWS,
+    min_lift: float = MIN_LIFT,
+    url_col: str = "url",
+    bad_col: str = "bad",
+) -> DataFrame:
+    """``(rule_id, tokens, n, confidence, support, lift)``: token sets that imply the label ``bad``, by FP-growth.
+
+    ``labelled`` has a url and a boolean; all its rows with a label are mined. A rule's tokens and the label occur
+    together in ``min_support`` of the rows and in ``min_rows`` of them at least, so that no single urls are learnt by
+    heart; ``min_confidence`` of the rows with the tokens are bad, and that is ``min_lift`` times the share of all rows.
+    Rules that contain another of the same confidence or more are pruned. A table without bad rows has no rules.
     """
     from pyspark.ml.fpm import FPGrowth
 
     items = F.when(F.col(bad_col), F.concat(tokens(url_col), F.array(F.lit(BAD)))).otherwise(tokens(url_col))
     baskets = cut(labelled.where(F.col(bad_col).isNotNull()).select(items.alias("items")))
-    none = labelled.sparkSession.createDataFrame([], "rule_id long, tokens array<string>, n int, confidence double, support double")
-    if baskets.where(F.array_contains("items", BAD)).isEmpty():
-        return none
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD)))
-    rules = cut(rules.select(F.sort_array("antecedent").alias("tokens"), "confidence", "support").where(F.size("tokens") > 0))
+    n, bad = baskets.agg(F.count("*"), F.count_if(F.array_contains("items", BAD))).first()
+    if bad < max(1, min_rows):
+        return labelled.sparkSession.createDataFrame([], "rule_id long, tokens array<string>, n int, confidence double, support double, lift double")
+    model = FPGrowth(itemsCol="items", minSupport=max(min_support, (min_rows - 0.5) / n), minConfidence=min_confidence).fit(baskets)
+    rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD))).where((F.size("antecedent") > 0) & (F.col("lift") >= min_lift))
+    rules = cut(rules.select(F.sort_array("antecedent").alias("tokens"), "confidence", "support", "lift"))
     # A rule is dominated if a proper subset implies the label as surely: subsets share their first token, among others.
     r = rules.select(F.explode("tokens").alias("first"), "tokens", "confidence")
     s = rules.select(F.col("tokens")[0].alias("first"), F.col("tokens").alias("t"), F.col("confidence").alias("c"))
@@ -84,7 +97,7 @@ def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float
         (F.size("t") < F.size("tokens")) & (F.col("c") >= F.col("confidence")) & (F.size(F.array_except("t", "tokens")) == 0)
     )
     kept = rules.join(dominated.select("tokens").distinct(), "tokens", "left_anti")
-    return kept.select(F.xxhash64("tokens").alias("rule_id"), "tokens", F.size("tokens").alias("n"), "confidence", "support")
+    return cut(kept.select(F.xxhash64("tokens").alias("rule_id"), "tokens", F.size("tokens").alias("n"), "confidence", "support", "lift"))
 
 
 def judge(pages: DataFrame, rules: DataFrame, stated=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -98,10 +111,13 @@ def judge(pages: DataFrame, rules: DataFrame, stated=RULES, id_col: str = "page_
     base = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), tokens(url_col).alias("tokens"))
     rule, verdict = stated_rule(stated)
     base = base.withColumn("rule", rule).withColumn("stated", verdict)
-    open_sets = base.where("stated is null").select("tokens").distinct()
+    decided = F.coalesce("stated", F.lit("allow")).alias("verdict")
+    if rules.isEmpty():
+        return base.select("id", "host", "path", "rule", decided)
+    open_ = base.where("stated is null")
     index = rules.select(F.explode("tokens").alias("token"), "rule_id", "n")
-    met = open_sets.withColumn("token", F.explode("tokens")).join(maybe_broadcast(index), "token")
+    met = open_.select("tokens").distinct().withColumn("token", F.explode("tokens")).join(maybe_broadcast(index), "token")
     fits = met.groupBy("tokens", "rule_id", "n").agg(F.count("*").alias("m")).where("m = n")
     blocked = cut(fits.select("tokens").distinct().withColumn("mined", F.lit("block")))
-    joined = base.join(maybe_broadcast(blocked), "tokens", "left")
-    return joined.select("id", "host", "path", "rule", F.coalesce("stated", "mined", F.lit("allow")).alias("verdict"))
+    mined = open_.join(maybe_broadcast(blocked), "tokens", "left").select("id", "host", "path", "rule", F.coalesce("mined", F.lit("allow")).alias("verdict"))
+    return base.where("stated is not null").select("id", "host", "path", "rule", decided).union(mined)
