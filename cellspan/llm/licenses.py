@@ -53,8 +53,8 @@ TITLES = {
 }
 KNOWN += tuple((n, f"{title}\n{t}") for n, t in KNOWN if "\n" in t for title in TITLES.get(n, ()))
 
-#: Known licenses that a scan takes; beyond it the scan is refused.
-MAX_KNOWN = 10_000
+#: Known licenses that a scan takes, as their digests become part of its plan; beyond it the scan is refused.
+MAX_KNOWN = 1000
 
 # Spellings that count as equal (the left one is replaced).
 SPELLINGS = (
@@ -65,6 +65,44 @@ SPELLINGS = (
     ("per cent", "percent"),
     ("copyright owner", "copyright holder"),
     ("https://", "http://"),
+    ("artefact", "artifact"),
+    ("authorisation", "authorization"),
+    ("authorised", "authorized"),
+    ("catalogue", "catalog"),
+    ("centre", "center"),
+    ("favour", "favor"),
+    ("fulfilment", "fulfillment"),
+    ("judgement", "judgment"),
+    ("labour", "labor"),
+    ("offence", "offense"),
+    ("organisation", "organization"),
+    ("practise", "practice"),
+    ("programme", "program"),
+    ("recognised", "recognized"),
+    ("utilisation", "utilization"),
+    ("whilst", "while"),
+    ("wilful", "willful"),
+)
+
+
+# SHA-256 of the canonical form (see ``canonical``) of whole license texts as distributions ship them;
+# Apache-2.0 with and without its appendix.
+DIGESTS = (
+    ("Apache-2.0", "0b8c1a9e0ec99ab3b27e123e667fe4843df4dd7e6c667ccdc634dd6878c5dd6c"),
+    ("Apache-2.0", "67e6c9864a42fc797b7f0244a9e5402dbe5d51fd1cbfdbca4f454f8892ab077d"),
+    ("Apache-2.0", "84ed161685d232dab5187a7a7101279668d583e8fcead2d41433e4fd4a1dbe68"),
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b"),
+    ("GFDL-1.3", "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d"),
+    ("GPL-1.0", "98db0b473e0a45a62b04a39b6b864b4e079a58d513e2196f94fe7252fa8574a6"),
+    ("GPL-2.0", "e95eb1718f9f373d56cc586a5f7d1bfa11668867f6e85e982d2b6108b97d90a1"),
+    ("GPL-3.0", "5e06bcb7b8c914d3ffb433229937b503a624ae6c7bb9ac1cad01e35a324bcb6d"),
+    ("LGPL-2.0", "e4deecd0730802431ad09f00ae3793f3703c8e4dba639586545d9f958405614d"),
+    ("LGPL-2.1", "d3826e4e563a04a354453ff139a32b19d6c3fe283f518eb566107c54e18cd01f"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "fcb579371133afd771fed87cd5d8c6dc5648746c9945d4adf08ec5c79aba5c61"),
+    ("MPL-2.0", "9e79a7d513376f6fa1500e4df4f6276c6e7e61c5c3e28dcdb1acee24033acc56"),
 )
 
 
@@ -77,10 +115,15 @@ def canonical(text: str) -> str:
     return rf"trim(regexp_replace({out}, r'[^\p{{L}}\p{{N}}]+', ' '))"
 
 
-def known_licenses(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """``(license, digest)`` of ``(license, text)`` pairs; of licenses with one canonical text the first by name."""
-    rows = spark.createDataFrame(list(known), "license string, text string")
-    return rows.groupBy(F.expr(f"sha2({canonical('text')}, 256)").alias("digest")).agg(F.min("license").alias("license"))
+def known_licenses(
+    spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN, digests: tuple[tuple[str, str], ...] = DIGESTS
+) -> DataFrame:
+    """``(license, digest)`` of ``(license, text)`` pairs and of ``(license, digest)`` pairs; of licenses with one canonical
+    text the first by name."""
+    texts = spark.createDataFrame(list(known), "license string, text string")
+    rows = texts.select("license", F.expr(f"sha2({canonical('text')}, 256)").alias("digest"))
+    rows = rows.union(spark.createDataFrame(list(digests), "license string, digest string"))
+    return rows.groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, known: DataFrame, text_col: str = "text") -> DataFrame:

@@ -130,8 +130,8 @@ def _canonical(text: str) -> str:
     return rf"trim(regexp_replace({out}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' ')"
 
 
-def _known_rows() -> str:
-    return ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in licenses.KNOWN)
+def _rows(pairs) -> str:
+    return ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in pairs)
 
 
 ORACLES: dict[str, str] = {
@@ -140,10 +140,11 @@ WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT DISTINCT vec_id, e FROM v WHERE vec_id % 50 = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+  SELECT q.vec_id AS query_id, q.e AS query, c.vec_id, list_inner_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
+  FROM q JOIN v c ON q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, query ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
     "op3_line_dedup": r"""
 WITH t AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS l,
@@ -186,7 +187,9 @@ SELECT doc_id, st AS passage_start, e AS passage_end, n AS n_words, m AS n_units
        length(left_text)::BIGINT AS left_chars, md5(left_text) AS left_md5
 FROM r JOIN o USING (doc_id)""",
     "op7_license_scan": rf"""
-WITH k AS (SELECT sha256({_canonical('t')}) AS digest, min(n) AS license FROM (VALUES {_known_rows()}) v(n, t) GROUP BY 1),
+WITH k AS (SELECT digest, min(n) AS license FROM (
+  SELECT n, sha256({_canonical('t')}) AS digest FROM (VALUES {_rows(licenses.KNOWN)}) v(n, t)
+  UNION ALL SELECT * FROM (VALUES {_rows(licenses.DIGESTS)}) w(n, digest)) GROUP BY 1),
 l AS (SELECT doc_id, license FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents)
       JOIN k ON sha256({_canonical('x')}) = digest WHERE {_canonical('x')} <> ''),
 n AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM l GROUP BY 1),

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from cellspan.llm import licenses, quality, urls
@@ -126,6 +127,45 @@ def test_license_files_with_titles(spark):
     assert got == {i: n for i, (n, _) in enumerate(files)}
 
 
+def canonical(text):
+    """The canonical form in plain Python."""
+    import regex
+
+    t = regex.sub(r"(?m)^[^\p{L}\p{N}\n]*(copyright\b[^\n]*(\d{4}|\(c\)|©)|\(c\)|©|all rights reserved)[^\n]*$", "", text.lower())
+    for a, b in licenses.SPELLINGS:
+        t = t.replace(a, b)
+    return regex.sub(r"[^\p{L}\p{N}]+", " ", t).strip()
+
+
+def test_digests_of_license_files(spark):
+    """Whole license texts that this machine has are found by the join with the digest table, and only by it."""
+    import hashlib
+    import os
+
+    folder = "/usr/share/common-licenses"
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    here = {k: v for k, v in names.items() if os.path.exists(f"{folder}/{k}")}
+    if not here:
+        pytest.skip("no license texts on this machine")
+    texts = {v: open(f"{folder}/{k}", encoding="utf-8").read() for k, v in here.items()}
+    for v, t in texts.items():
+        assert (v, hashlib.sha256(canonical(t).encode()).hexdigest()) in licenses.DIGESTS
+    rows = [(i, v, t.upper().replace("LICENSE", "LICENCE").replace(",", " , ")) for i, (v, t) in enumerate(texts.items())]
+    df = spark.createDataFrame([(i, t) for i, _, t in rows] + [(99, rows[0][2] + " one more word")], "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(df, licenses.known_licenses(spark)).collect()}
+    assert got == {i: v for i, v, _ in rows} | {99: None}
+    none = {r["license"] for r in licenses.scan(df, licenses.known_licenses(spark, digests=())).collect()}
+    assert none == {None}
+
+
+def test_licenses_of_one_text_and_too_many(spark):
+    known = licenses.known_licenses(spark, (("B", "Same Text."), ("A", "same, text"), ("C", "other")), ())
+    assert sorted((r["license"], len(r["digest"])) for r in known.collect()) == [("A", 64), ("C", 64)]
+    many = spark.range(licenses.MAX_KNOWN + 1).select(F.col("id").cast("string").alias("license"), F.sha2(F.col("id").cast("string"), 256).alias("digest"))
+    with pytest.raises(ValueError):
+        licenses.scan(spark.createDataFrame([(1, "x")], "doc_id long, text string"), many)
+
+
 PAGES = "page_id long, url string, host int"
 
 
@@ -159,3 +199,42 @@ def test_mined_rules_block(spark):
     got = urls.judge(df, rules)
     assert got.count() == 401
     assert all((r["verdict"] == "block") == r["path"].startswith("/ads/") for r in got.collect())
+
+
+def brute_rules(sets, bad, least, confidence, lift):
+    """All token sets by enumeration: those under a bound and those with a proper subset as sure are left out."""
+    from itertools import combinations
+
+    found = {}
+    for size in range(1, max(map(len, sets)) + 1):
+        for t in {c for s in sets for c in combinations(sorted(s), size)}:
+            have = [b for s, b in zip(sets, bad) if set(t) <= s]
+            if sum(have) >= least and sum(have) >= confidence * len(have) and sum(have) / len(have) >= lift * sum(bad) / len(bad):
+                found[t] = sum(have) / len(have)
+    return {t for t, c in found.items() if not any(set(o) < set(t) and k >= c for o, k in found.items())}
+
+
+def test_mining_and_matching_match_brute_force(spark):
+    r = random.Random(9)
+    rows, bad = [], []
+    for i in range(900):
+        host, path, query = r.choice(["a.org", "b.org", "ads.c.org"]), r.choice(["news", "win", "shop"]), r.choice(["", "?ref=1", "?id=2"])
+        rows.append((i, f"http://{host}/{path}/{i}{query}", 1))
+        sure = host == "ads.c.org" or (path == "win" and query == "?ref=1")
+        bad.append(r.random() < (0.95 if sure else 0.1))
+    df = spark.createDataFrame([(*x, b) for x, b in zip(rows, bad)], PAGES + ", bad boolean")
+    sets = [set(x["t"]) for x in df.orderBy("page_id").select(urls.tokens("url").alias("t")).collect()]
+    want = brute_rules(sets, bad, 20, 0.8, 1.5)
+    rules = urls.mine(df, min_support=0.002)
+    assert {tuple(x["tokens"]) for x in rules.collect()} == want and 2 <= len(want)
+    blocked = {i for i, s in enumerate(sets) if any(set(t) <= s for t in want)}
+    assert {x["id"] for x in urls.judge(df, rules).where("verdict = 'block'").collect()} == blocked and blocked
+
+
+def test_single_urls_are_not_learnt_by_heart(spark):
+    df = spark.createDataFrame([(i, f"http://a.org/{i}?k{i}=1", 1) for i in range(100)], PAGES)
+    labelled = df.select("url", (F.col("page_id") % 10 == 0).alias("bad"))
+    assert urls.mine(labelled, min_support=0.0).count() == 0
+    mostly = df.select("url", (F.col("page_id") % 10 != 0).alias("bad"))  # confident only because most are bad
+    assert urls.mine(mostly).count() == 0
+    assert urls.mine(labelled.limit(0)).count() == 0 and urls.mine(labelled.select("url", F.lit(None).cast("boolean").alias("bad"))).count() == 0
