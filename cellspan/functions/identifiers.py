@@ -14,6 +14,14 @@ CALL_TYPE_LABELS = {
     "smsout": "Outgoing SMS",
     "sms": "SMS Event",
 }
+# operators' labels of each call type.
+CALL_TYPES = {
+    "outgoing": ("a_out", "moc", "mo", "out", "outgoing", "outgoing_call", "v_out", "vdo_out", "voice_out"),
+    "incoming": ("a_in", "mtc", "mt", "in", "incoming", "incoming_call", "v_in", "vdo_in", "voice_in"),
+    "smsin": ("a2p_smsin", "p2p_smsin", "smt", "smsin", "sms_in", "sms_mt", "incoming_sms"),
+    "smsout": ("p2pout", "p2aout", "p2p_smsout", "smo", "smsout", "sms_out", "sms_mo", "outgoing_sms"),
+    "sms": ("sms", "sms_generic"),
+}
 #: A service header such as AB-BANKXX-S.
 SENDER_PATTERN = "(?i)^[A-Z]{2}-[A-Z0-9][A-Z0-9-]{2,}-[A-Z]$"
 
@@ -189,20 +197,21 @@ def call_meaning(c: Column | str, blank: str = "Missing / Blank Call Type") -> C
 
 
 def canonical_call_type(raw: Column | str, service: Column | str | None = None) -> Column:
-    """Call type from an operator's label; a service of SMS makes a voice label an SMS of the same direction."""
-    t = F.regexp_replace(call_type(raw), "[^a-z0-9]+", "_")
+    """Call type from an operator's label: by the table of labels, else by the words in it.
+
+    A service of SMS makes a voice label an SMS of the same direction. A label without a direction stays as it is.
+    """
+    t = F.regexp_replace(F.regexp_replace(call_type(raw), "[^a-z0-9]+", "_"), "^_|_$", "")
     s = call_type(service) if service is not None else F.lit("")
-    inward = t.rlike("(^|_)(in|mt|mtc|incoming|term|terminating|received?)(_|$)|smsin|a_in|smt")
-    outward = t.rlike("(^|_)(out|mo|moc|outgoing|orig|originating|sent|dialled)(_|$)|smsout|a_out|smo")
-    sms = t.contains("sms") | s.contains("sms")
-    return (
-        F.when(sms & inward, "smsin")
-        .when(sms & outward, "smsout")
-        .when(sms, "sms")
-        .when(inward, "incoming")
-        .when(outward, "outgoing")
-        .otherwise(call_type(raw))
-    )
+    inward = t.rlike("(^|_)(in|mt|mtc|incoming|term|terminating|received?)(_|$)|smsin")
+    outward = t.rlike("(^|_)(out|mo|moc|outgoing|orig|originating|sent|dialled)(_|$)|smsout")
+    guessed = F.when(inward & t.contains("sms"), "smsin").when(outward & t.contains("sms"), "smsout").when(t.contains("sms"), "sms")
+    guessed = guessed.when(inward, "incoming").when(outward, "outgoing").otherwise(call_type(raw))
+    out = guessed
+    for kind, labels in CALL_TYPES.items():
+        out = F.when(t.isin(*labels), kind).otherwise(out)
+    by_service = F.when(out == "incoming", "smsin").when(out == "outgoing", "smsout").when(out.startswith("sms"), out).otherwise("sms")
+    return F.when(s.contains("sms"), by_service).otherwise(out)
 
 
 def is_incoming_voice(c: Column | str) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import identifiers as I
-from .common import filled, joined, latest, metric_rows, n_distinct, n_if, night, with_most_frequent
+from .common import average, filled, joined, latest, metric_rows, n_distinct, n_if, night, total, with_most_frequent
 
 # Rule set, weights and thresholds of the review rules.
 RULESET = "CDR-RULES-1.0"
@@ -48,7 +48,7 @@ def summary(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         n_if(t.rlike("smsin|sms_mt|a2p_smsin")).alias("incoming_sms"),
         n_if(t.rlike("smsout|sms_mo|p2p_smsout")).alias("outgoing_sms"),
         n_if(~known & (t != "")).alias("other_call_types"),
-        F.floor(F.coalesce(F.round(F.sum("call_duration"), 6), F.lit(0.0))).alias("duration_seconds"),
+        F.floor(F.coalesce(total("call_duration", 6), F.lit(0.0))).alias("duration_seconds"),
         n_distinct(filled("other_party")).alias("unique_counterparties"),
         n_distinct(filled("other_party"), category(HUMAN)).alias("unique_human_contacts"),
         n_if(category(SENDER)).alias("sender_records"),
@@ -68,8 +68,8 @@ def activity(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     out = df.groupBy(*by).agg(
         F.count("*").alias("total_events"),
         n_distinct("other_party").alias("unique_numbers"),
-        F.round(F.sum(d), 4).alias("duration_seconds"),
-        F.round(F.avg(d), 4).alias("average_duration"),
+        total(d).alias("duration_seconds"),
+        average(d).alias("average_duration"),
     )
     return with_most_frequent(out, df, list(by), {"most_active": ("other_party", None)})
 
@@ -167,7 +167,7 @@ def _contact_metrics(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
         n_if(I.is_incoming_voice("call_type")).alias("incoming"),
         n_if(I.is_outgoing_voice("call_type")).alias("outgoing"),
         n_if(I.is_sms("call_type")).alias("sms"),
-        F.round(F.coalesce(F.sum("call_duration"), F.lit(0.0)), 4).alias("total_duration"),
+        total("call_duration", zero=True).alias("total_duration"),
         n_distinct("first_cell_id").alias("unique_towers"),
     )
 
@@ -196,7 +196,7 @@ def contact_detail(df: DataFrame, number: str) -> DataFrame:
         F.count("*").alias("total_events"),
         n_if(I.is_incoming_voice("call_type")).alias("incoming"),
         n_if(I.is_outgoing_voice("call_type")).alias("outgoing"),
-        F.round(F.coalesce(F.sum("call_duration"), F.lit(0.0)), 4).alias("total_duration"),
+        total("call_duration", zero=True).alias("total_duration"),
         F.min("call_datetime").alias("first_seen"),
         F.max("call_datetime").alias("last_seen"),
         n_distinct(filled("first_cell_id")).alias("unique_towers"),
@@ -244,7 +244,7 @@ def tower_profile(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         n_if(category(SENDER)).alias("sender_events"),
         n_if(category(SHORT)).alias("short_code_events"),
         n_distinct(filled("imei")).alias("unique_imei"),
-        F.round(F.coalesce(F.sum("call_duration"), F.lit(0.0)), 4).alias("duration_seconds"),
+        total("call_duration", zero=True).alias("duration_seconds"),
     )
     picks = {
         "most_used_imei": ("imei", F.trim("imei") != ""),
@@ -304,7 +304,7 @@ def device_summary(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         F.count("*").alias("total_events"),
         n_distinct("_human").alias("unique_human_contacts"),
         n_distinct("_cell").alias("unique_valid_towers"),
-        F.round(F.coalesce(F.sum("call_duration"), F.lit(0.0)), 4).alias("duration_seconds"),
+        total("call_duration", zero=True).alias("duration_seconds"),
         joined(F.when(F.col("_status") == "VALID_IMEI", F.col("_imei"))).alias("valid_imei"),
         joined(F.when(F.col("_status") == "INVALID_IMEI", F.col("_imei"))).alias("invalid_imei"),
     )

@@ -21,6 +21,20 @@ def n_if(cond: Column) -> Column:
     return F.count_if(cond)
 
 
+def total(c: Column | str, digits: int = 4, zero: bool = False) -> Column:
+    """Rounded sum, exact in decimals, so that it does not depend on the order of rows; ``zero`` in place of null."""
+    c = F.col(c) if isinstance(c, str) else c
+    out = F.sum(c.cast("decimal(28,6)"))
+    return F.round(F.coalesce(out, F.lit(0).cast("decimal(28,6)")) if zero else out, digits).cast("double")
+
+
+def average(c: Column, digits: int = 4) -> Column:
+    """Mean of a column that is never null or negative, rounded half up in whole numbers."""
+    n, unit = F.count("*").cast("decimal(20,0)"), 10 ** (6 - digits)
+    over, under = 2 * F.sum(F.round(c * 1e6).cast("decimal(28,0)")) + unit * n, 2 * unit * n
+    return ((over - over % under) / under).cast("double") / 10**digits
+
+
 def joined(c: Column | str, limit: int | None = None) -> Column:
     """Distinct values in order, joined by a comma; blanks and nulls left out."""
     c = F.col(c) if isinstance(c, str) else c
@@ -76,5 +90,31 @@ def matrix(df: DataFrame, item: str, across: str, values: list[str]) -> DataFram
     return p.select(item, *[c.alias(v) for c, v in zip(cells, values)], total.alias("total"), hits.alias("n_present"))
 
 
+#: Days of all intervals together up to which they are binned by day.
+MAX_BINS = 1_000_000
+
+
+def join_intervals(df: DataFrame, few: DataFrame, on: Column, first: str, last: str, start: str, end: str, keep: list) -> DataFrame:
+    """The columns ``keep`` of the inner join of events (alias ``e``), each from ``first`` to ``last``, with few intervals
+    (alias ``p``) whose number the caller has checked.
+
+    Both are binned by day, so that the join is by equality of days and not of each event with each interval. Events are
+    points where ``first`` is ``last``; others that last beyond 31 days are joined without bins, as are all if the
+    intervals have more than ``MAX_BINS`` days together.
+    """
+    plain = lambda e: e.alias("e").join(F.broadcast(few).alias("p"), on).select(*keep)
+    days = few.agg(F.sum(F.date_diff(F.to_date(end), F.to_date(start)) + 1)).first()[0] or 0
+    if days > MAX_BINS:
+        return plain(df)
+    binned = F.broadcast(few.withColumn("_bin", F.explode(F.sequence(F.to_date(start), F.to_date(end))))).alias("p")
+    met = F.col("e._bin") == F.col("p._bin")
+    if first == last:
+        return df.withColumn("_bin", F.to_date(first)).alias("e").join(binned, met & on).select(*keep)
+    span = F.date_diff(F.to_date(last), F.to_date(first))
+    short = df.where(span.between(0, 31)).withColumn("_bin", F.explode(F.sequence(F.to_date(first), F.to_date(last))))
+    once = F.col("e._bin") == F.greatest(F.to_date(f"e.{first}"), F.to_date(f"p.{start}"))
+    return short.alias("e").join(binned, met & once & on).select(*keep).union(plain(df.where(span > 31)))
+
+
 def night(ts: str, start: int = 22, end: int = 6) -> Column:
     return (F.hour(ts) >= start) | (F.hour(ts) < end)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import identifiers as I
-from .common import check_rows, filled, joined, n_distinct, n_if
+from .common import check_rows, filled, joined, n_distinct, n_if, total
 
 
 def matches(df: DataFrame, identifier: str, column: str = "imei") -> DataFrame:
@@ -59,7 +59,7 @@ def indicators(m: DataFrame) -> DataFrame:
 
 def session_bundle(df: DataFrame, identifier: str) -> dict[str, DataFrame]:
     m = matches(df, identifier)
-    span = (F.count("*").alias("sessions"), F.round(F.coalesce(F.sum("total_volume"), F.lit(0.0)), 4).alias("total_volume"))
+    span = (F.count("*").alias("sessions"), total("total_volume", zero=True).alias("total_volume"))
     return {
         "subscribers": m.where(filled("subscriber_number").isNotNull()).groupBy("subscriber_number", "identifier_type").agg(*span),
         "sims": m.where(filled("imsi").isNotNull()).groupBy("imsi").agg(*span),

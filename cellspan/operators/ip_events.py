@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import identifiers as I
-from .common import check_rows, filled, joined, metric_rows, n_distinct, n_if
+from .common import check_rows, filled, joined, metric_rows, n_distinct, n_if, total
 
 FIRST = ("event_time", "event_id")
 
@@ -44,7 +44,7 @@ def subscriber_summary(df: DataFrame) -> DataFrame:
         n_distinct(filled("imei")).alias("imei_count"),
         n_distinct(filled("destination_ip")).alias("destinations"),
     )
-    vol = allocations(df).groupBy("subscriber_number").agg(F.count("*").alias("allocations"), F.round(F.sum("total_volume"), 4).alias("total_volume"))
+    vol = allocations(df).groupBy("subscriber_number").agg(F.count("*").alias("allocations"), total("total_volume").alias("total_volume"))
     return per.join(vol, "subscriber_number", "left").fillna(0, ["allocations", "total_volume"])
 
 

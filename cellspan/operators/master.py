@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import identifiers as I
 from .common import filled, latest, n_if
@@ -23,18 +22,35 @@ def last_per_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return latest(df.where(filled(key).isNotNull()), [key], order)
 
 
-def enrich_number(df: DataFrame, master: DataFrame, number: str = "other_party", key: str = "mobile_number", prefix: str = "subscriber_") -> DataFrame:
-    """``df`` with the master columns of a number and ``lookup_status``; only valid mobile numbers are looked up."""
+def _one_per_key(master: DataFrame, key: Column, cols: list[str], order: list[str] | None, prefix: str) -> DataFrame:
+    """``(_key, prefixed columns, _hit)`` with one row per normalised key: of repeats the last by the columns ``order``
+    (by default ``source_file`` and ``source_row`` where the master has them), then by all columns. Combined map-side."""
+    by = order if order is not None else [c for c in ("source_file", "source_row") if c in cols]
+    last = F.max(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(by)], F.struct(*cols).alias("row")))["row"]
+    one = master.withColumn("_key", key).where("_key is not null").groupBy("_key").agg(last.alias("_row"))
+    return _dimension(one.select("_key", *[F.col("_row")[c].alias(f"{prefix}{c}") for c in cols], F.lit(True).alias("_hit")))
+
+
+def enrich_number(
+    df: DataFrame, master: DataFrame, number: str = "other_party", key: str = "mobile_number", prefix: str = "subscriber_", order: list[str] | None = None
+) -> DataFrame:
+    """``df`` with the master columns of a number and ``lookup_status``; only valid mobile numbers are looked up.
+
+    Each row stays one row: of master rows whose keys normalise alike the last by ``order`` counts (see ``_one_per_key``).
+    """
     cols = [c for c in master.columns if c != key]
-    dim = _dimension(master.select(I.msisdn(key).alias("_key"), *[F.col(c).alias(f"{prefix}{c}") for c in cols], F.lit(True).alias("_hit")).where("_key is not null"))
+    dim = _one_per_key(master, I.msisdn(key), cols, order, prefix)
     out = df.withColumn("_key", I.msisdn(number)).join(dim, "_key", "left")
     status = F.when(F.col("_key").isNull(), "INVALID_KEY").when(F.col("_hit"), "FOUND").otherwise("NOT_FOUND")
     return out.withColumn("lookup_status", status).drop("_key", "_hit")
 
 
-def enrich_cell(df: DataFrame, master: DataFrame, cell: str = "first_cell_id", key: str = "cgi", prefix: str = "cell_") -> DataFrame:
+def enrich_cell(
+    df: DataFrame, master: DataFrame, cell: str = "first_cell_id", key: str = "cgi", prefix: str = "cell_", order: list[str] | None = None
+) -> DataFrame:
+    """``df`` with the master columns of a cell and ``cell_status``; only valid cells are looked up, rows stay one row."""
     cols = [c for c in master.columns if c != key]
-    dim = _dimension(master.select(I.cgi_key(key).alias("_key"), *[F.col(c).alias(f"{prefix}{c}") for c in cols], F.lit(True).alias("_hit")))
+    dim = _one_per_key(master, I.cgi_key(key), cols, order, prefix)
     out = df.withColumn("_key", F.when(I.valid_cell(cell), I.cgi_key(cell))).join(dim, "_key", "left")
     status = F.when(F.col("_key").isNull(), "INVALID_KEY").when(F.col("_hit"), "FOUND").otherwise("NOT_FOUND")
     return out.withColumn("cell_status", status).drop("_key", "_hit")
@@ -85,8 +101,10 @@ def flag_duplicates(df: DataFrame, signature: tuple[str, ...] = SIGNATURE) -> Da
     """All rows, with flag, count and group id of those whose signature repeats; nothing is removed."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in signature]
     key = F.sha2(F.concat_ws("\u001f", *parts), 256)
-    n = F.count("*").over(Window.partitionBy("_signature"))
-    out = df.withColumn("_signature", key).withColumn("duplicate_count", n)
+    signed = df.withColumn("_signature", key)
+    # Counted map-side and joined back: a signature that very many rows share goes through no single task.
+    again = signed.groupBy("_signature").agg(F.count("*").alias("_n")).where("_n > 1")
+    out = signed.join(again, "_signature", "left").withColumn("duplicate_count", F.coalesce("_n", F.lit(1)).cast("long")).drop("_n")
     again = F.col("duplicate_count") > 1
     return out.withColumns(
         {"potential_duplicate": again, "duplicate_group_id": F.when(again, F.concat(F.lit("DUP-"), F.substring("_signature", 1, 16))).otherwise("")}

@@ -6,13 +6,15 @@ events are read once and never shuffled for it.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import identifiers as I
 from ..schema import PARTS
-from .common import filled, joined, n_distinct
+from .common import filled, join_intervals, joined, n_distinct, total
 from .presence import label
 
 MAX_PARTS = 10_000
@@ -53,12 +55,18 @@ def assign(df: DataFrame, parts: DataFrame, time: str = "call_datetime") -> Data
     """Events with each Part that they fall into (half-open, of its Spot if it names one)."""
     t = F.col(f"e.{time}")
     on = _scope((t >= F.col("p.start_time")) & (t < F.col("p.end_time")))
-    return df.alias("e").join(small(parts).alias("p"), on).select("e.*", "p.part_no", "p.part_name")
+    keep = [*[f"e.{c}" for c in df.columns], "p.part_no", "p.part_name"]
+    return join_intervals(df, small(parts), on, time, time, "start_time", "end_time", keep)
+
+
+def _cell(name: str) -> str:
+    """``cell_key`` of a stated cell."""
+    return re.sub("[^A-Z0-9]", "", name.strip().upper())
 
 
 def in_cells(df: DataFrame, cells: list[str], columns: tuple[str, ...] = ("searched_cell_id", "first_cell_id")) -> DataFrame:
     """Events of which any cell column is in a group of cells."""
-    keys = [F.regexp_replace(F.upper(F.trim(F.lit(c))), "[^A-Z0-9]", "") for c in cells]
+    keys = [_cell(c) for c in cells]
     hit = F.lit(False)
     for c in columns:
         hit = hit | I.cell_key(c).isin(*keys)
@@ -137,15 +145,16 @@ def visitors(df: DataFrame, parts: DataFrame, time: str = "call_datetime") -> Da
 def session_overlap(df: DataFrame, parts: DataFrame) -> DataFrame:
     """Sessions that overlap a Part strictly, with the seconds they share; a session that only touches it does not."""
     on = _scope((F.col("e.session_start") < F.col("p.end_time")) & (F.col("e.session_end") > F.col("p.start_time")))
-    out = df.alias("e").join(small(parts).alias("p"), on)
-    begin, end = F.greatest("e.session_start", "p.start_time"), F.least("e.session_end", "p.end_time")
+    keep = [*[f"e.{c}" for c in df.columns], "p.part_no", "p.part_name", F.col("p.start_time").alias("_start"), F.col("p.end_time").alias("_end")]
+    out = join_intervals(df, small(parts), on, "session_start", "session_end", "start_time", "end_time", keep)
+    begin, end = F.greatest("session_start", "_start"), F.least("session_end", "_end")
     micros = F.timestamp_diff("MICROSECOND", begin, end)
-    return out.select("e.*", "p.part_no", "p.part_name", F.greatest(micros / 1e6, F.lit(0.0)).alias("overlap_seconds"))
+    return out.withColumn("overlap_seconds", F.greatest(micros / 1e6, F.lit(0.0))).drop("_start", "_end")
 
 
 def excluded_sessions(df: DataFrame, parts: DataFrame, cells: list[str]) -> DataFrame:
     """Sessions that match a Part in time and Spot but none of its cells."""
-    return session_overlap(df, parts).where(~I.cell_key("searched_cell_id").isin(*[c.upper().replace("-", "") for c in cells])).withColumn(
+    return session_overlap(df, parts).where(~I.cell_key("searched_cell_id").isin(*[_cell(c) for c in cells])).withColumn(
         "exclusion_reason", F.lit("TIME_MATCH_LOCATION_MISMATCH")
     )
 
@@ -154,8 +163,8 @@ def session_presence(df: DataFrame, parts: DataFrame, entity: str = "subscriber_
     return session_overlap(df, parts).where(filled(entity).isNotNull()).groupBy(entity).agg(
         F.countDistinct("part_no").alias("parts_matched"),
         F.count("*").alias("sessions"),
-        F.round(F.sum("overlap_seconds"), 6).alias("overlap_seconds"),
-        F.round(F.sum("total_volume"), 4).alias("total_volume"),
+        total("overlap_seconds", 6).alias("overlap_seconds"),
+        total("total_volume").alias("total_volume"),
     )
 
 
@@ -164,7 +173,8 @@ def allocation_overlap(df: DataFrame, parts: DataFrame) -> DataFrame:
     w = Window.partitionBy("allocation_volume_key").orderBy("event_time", "event_id")
     one = df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
     on = _scope((F.col("e.allocation_start") <= F.col("p.end_time")) & (F.col("e.allocation_end") >= F.col("p.start_time")))
-    return one.alias("e").join(small(parts).alias("p"), on).select("e.*", "p.part_no")
+    keep = [*[f"e.{c}" for c in one.columns], "p.part_no"]
+    return join_intervals(one, small(parts), on, "allocation_start", "allocation_end", "start_time", "end_time", keep)
 
 
 def classify(df: DataFrame, start, end, spot: str | None = None, others: list[tuple] = (), time: str = "event_time") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import identifiers as I
-from .common import filled, joined, n_distinct, n_if
+from .common import filled, joined, n_distinct, n_if, total
 
 # Cut-offs of the labels.
 SQL_LABELS = ((85, "High"), (55, "Medium"))
@@ -37,7 +37,7 @@ def rollup(df: DataFrame, time: str = "call_datetime", volume: str | None = None
     rows = df.withColumn("subscriber_number", filled("subscriber_number")).where("subscriber_number is not null")
     hour = F.hour(time)
     events, cells, imeis, imsis, nights = (F.col(c) for c in ("event_count", "cells_seen", "imei_count", "imsi_count", "night_event_count"))
-    extra = [F.round(F.coalesce(F.sum(volume), F.lit(0.0)), 4).alias("total_volume")] if volume else []
+    extra = [total(volume, zero=True).alias("total_volume")] if volume else []
     party = [n_distinct(filled("other_party")).alias("other_party_count")] if "other_party" in df.columns else []
     agg = rows.groupBy("subscriber_number").agg(
         F.count("*").alias("event_count"),
@@ -106,7 +106,7 @@ def frame_presence(df: DataFrame, volume: str | None = None, time: str = "call_d
         n_distinct("imei").alias("imei_count"),
         n_distinct("imsi").alias("imsi_count"),
         party.cast("long").alias("other_party_count"),
-        F.round(F.coalesce(F.sum(volume), F.lit(0.0)), 4).alias("total_volume") if volume else F.lit(0.0).alias("total_volume"),
+        total(volume, zero=True).alias("total_volume") if volume else F.lit(0.0).alias("total_volume"),
     )
     c = F.col
     score = (

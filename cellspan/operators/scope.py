@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identifiers as I
-from .common import filled, n_distinct
+from .common import filled, join_intervals, n_distinct
 
 SIGHTINGS = "sighting_id string, location_name string, window_start timestamp_ntz, window_end timestamp_ntz, cgi_group_id string"
 CELL_GROUPS = "group_id string, cgi string"
@@ -74,7 +74,8 @@ def sighting_events(df: DataFrame, found: DataFrame, groups: DataFrame, time: st
     s = found.join(g, F.col("cgi_group_id") == F.col("group_id"), "left").drop("group_id")
     t = F.col(f"e.{time}")
     cells = F.array(I.cell_key("e.searched_cell_id"), I.cell_key("e.first_cell_id"))
-    on = (t >= F.col("s.window_start")) & (t < F.col("s.window_end")) & (F.col("s.cgi_group_id").isNull() | F.arrays_overlap(cells, F.col("s._cells")))
+    on = (t >= F.col("p.window_start")) & (t < F.col("p.window_end")) & (F.col("p.cgi_group_id").isNull() | F.arrays_overlap(cells, F.col("p._cells")))
     if found.limit(10_001).count() > 10_000:
         raise ValueError("more than 10000 sightings")
-    return df.alias("e").join(F.broadcast(s).alias("s"), on).select("s.sighting_id", "e.*")
+    keep = ["p.sighting_id", *[f"e.{c}" for c in df.columns]]
+    return join_intervals(df, s, on, time, time, "window_start", "window_end", keep)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import identifiers as I
+from . import common
 from .common import check_rows, filled, joined, metric_rows, n_distinct, n_if
 
 #: Upper edges of the duration bins (right-closed), in seconds.
@@ -31,7 +32,7 @@ def normalise(df: DataFrame) -> DataFrame:
 
 
 def total(c: str) -> Column:
-    return F.round(F.coalesce(F.sum(c), F.lit(0.0)), 4)
+    return common.total(c, zero=True)
 
 
 def summary(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import identifiers as I
-from .common import filled, joined, matrix, n_distinct, n_if, night
+from .common import filled, joined, matrix, n_distinct, n_if, night, total
 
 
 def summary(df: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ def subscriber_summary(df: DataFrame) -> DataFrame:
         n_distinct(I.text("imei")).alias("unique_imei"),
         n_distinct(I.text("imsi")).alias("unique_imsi"),
         n_distinct(I.text("other_party")).alias("unique_other_parties"),
-        F.coalesce(F.round(F.round(F.sum("call_duration"), 4)), F.lit(0.0)).cast("long").alias("total_duration_seconds"),
+        F.coalesce(F.round(total("call_duration")), F.lit(0.0)).cast("long").alias("total_duration_seconds"),
         n_if(I.text("call_type") == "incoming").alias("incoming_calls"),
         n_if(I.text("call_type") == "outgoing").alias("outgoing_calls"),
         n_if(I.text("call_type") == "smsin").alias("incoming_sms"),

@@ -51,7 +51,7 @@ _SUMMARY = f"""count(*) AS total_records, count(*) FILTER (WHERE {IN}) AS incomi
  count(*) FILTER (WHERE regexp_matches(call_type, 'smsin|sms_mt|a2p_smsin')) AS incoming_sms,
  count(*) FILTER (WHERE regexp_matches(call_type, 'smsout|sms_mo|p2p_smsout')) AS outgoing_sms,
  count(*) FILTER (WHERE NOT {IN} AND NOT {OUT} AND NOT {SMS} AND call_type <> '') AS other_call_types,
- floor(coalesce(round(sum(call_duration), 6), 0))::BIGINT AS duration_seconds,
+ floor(coalesce(round(sum((call_duration)::DECIMAL(28,6)), 6)::DOUBLE, 0))::BIGINT AS duration_seconds,
  count(DISTINCT nullif(other_party, '')) AS unique_counterparties,
  count(DISTINCT other_party) FILTER (WHERE {HUMAN}) AS unique_human_contacts,
  count(*) FILTER (WHERE cat = 'service_sender_id') AS sender_records, count(*) FILTER (WHERE cat = 'short_code') AS short_code_records,
@@ -64,7 +64,7 @@ query(
     "cdr_activity",
     on(C, cdr.activity, by=T),
     f"""SELECT a.*, v AS most_active FROM (SELECT target, count(*) AS total_events, count(DISTINCT other_party) AS unique_numbers,
- round(sum(coalesce(call_duration, 0)), 4) AS duration_seconds, round(avg(coalesce(call_duration, 0)), 4) AS average_duration FROM c GROUP BY target) a
+ round(sum((coalesce(call_duration, 0))::DECIMAL(28,6)), 4)::DOUBLE AS duration_seconds, (2 * sum(round(coalesce(call_duration, 0) * 1e6)::HUGEINT) + 100 * count(*)) // (200 * count(*)) / 10000.0::DOUBLE AS average_duration FROM c GROUP BY target) a
  LEFT JOIN {top('c', 'target', 'other_party')} t USING (target)""",
 )
 query(
@@ -106,7 +106,7 @@ _MEANING = """CASE lower(trim(call_type)) WHEN 'incoming' THEN 'Incoming Voice C
 query("cdr_call_types", on(C, cdr.call_type_counts), f"SELECT call_type, count(*) AS total_records, {_MEANING} AS meaning FROM c GROUP BY 1")
 query("cdr_unknown_call_types", on(C, cdr.unknown_call_types), f"SELECT call_type, count(*) AS total_records FROM c WHERE {_MEANING} LIKE 'Other%' AND call_type <> '' GROUP BY 1")
 _CONTACT = f"""SELECT other_party AS contact, count(*) AS total_events, count(*) FILTER (WHERE {IN}) AS incoming, count(*) FILTER (WHERE {OUT}) AS outgoing,
- count(*) FILTER (WHERE {SMS}) AS sms, round(coalesce(sum(call_duration), 0), 4) AS total_duration, count(DISTINCT first_cell_id) AS unique_towers FROM c WHERE {HUMAN} GROUP BY 1"""
+ count(*) FILTER (WHERE {SMS}) AS sms, round(coalesce(sum((call_duration)::DECIMAL(28,6)), 0), 4)::DOUBLE AS total_duration, count(DISTINCT first_cell_id) AS unique_towers FROM c WHERE {HUMAN} GROUP BY 1"""
 query(
     "cdr_contact_ranking",
     on(C, cdr.contact_ranking),
@@ -121,7 +121,7 @@ query(
     "cdr_contact_detail",
     on(C, cdr.contact_detail, "8000000007"),
     f"""SELECT count(*) AS total_events, count(*) FILTER (WHERE {IN}) AS incoming, count(*) FILTER (WHERE {OUT}) AS outgoing,
- round(coalesce(sum(call_duration), 0), 4) AS total_duration, min(call_datetime) AS first_seen, max(call_datetime) AS last_seen,
+ round(coalesce(sum((call_duration)::DECIMAL(28,6)), 0), 4)::DOUBLE AS total_duration, min(call_datetime) AS first_seen, max(call_datetime) AS last_seen,
  count(DISTINCT nullif(first_cell_id, '')) AS unique_towers FROM c WHERE other_party = '8000000007'""",
 )
 query(
@@ -148,7 +148,7 @@ query(
     f"""SELECT a.*, coalesce(b.v, 'N/A') AS most_used_imei, coalesce(d.v, 'N/A') AS most_contacted, coalesce(e.v, 'N/A') AS top_sender FROM
  (SELECT first_cell_id, min(call_datetime) AS first_seen, max(call_datetime) AS last_seen, count(*) AS total_events,
  count(DISTINCT other_party) FILTER (WHERE {HUMAN}) AS unique_human_contacts, count(*) FILTER (WHERE cat = 'service_sender_id') AS sender_events,
- count(*) FILTER (WHERE cat = 'short_code') AS short_code_events, count(DISTINCT im) AS unique_imei, round(coalesce(sum(call_duration), 0), 4) AS duration_seconds
+ count(*) FILTER (WHERE cat = 'short_code') AS short_code_events, count(DISTINCT im) AS unique_imei, round(coalesce(sum((call_duration)::DECIMAL(28,6)), 0), 4)::DOUBLE AS duration_seconds
  FROM c WHERE vc GROUP BY 1) a LEFT JOIN {top('c', 'first_cell_id', 'im', 'vc')} b USING (first_cell_id)
  LEFT JOIN {top('c', 'first_cell_id', 'other_party', f'vc AND {HUMAN}')} d USING (first_cell_id)
  LEFT JOIN {top('c', 'first_cell_id', 'other_party', "vc AND cat = 'service_sender_id'")} e USING (first_cell_id)""",
@@ -165,7 +165,7 @@ SELECT a.*, coalesce(b.v, '') AS most_used_tower, coalesce(d.v, '') AS most_cont
  (SELECT dev AS device_key, {lst('imei')} AS observed_imei, CASE WHEN bool_or(ok) AND bool_or(NOT ok) THEN 'Valid IMEI with check-digit variation'
  WHEN bool_or(ok) THEN 'Valid 15-digit IMEI' ELSE 'IMEI check digit not verified' END AS imei_status,
  min(call_datetime) AS first_seen, max(call_datetime) AS last_seen, count(*) AS total_events, count(DISTINCT ms) FILTER (WHERE {HUMAN}) AS unique_human_contacts,
- count(DISTINCT first_cell_id) FILTER (WHERE vc) AS unique_valid_towers, round(coalesce(sum(call_duration), 0), 4) AS duration_seconds,
+ count(DISTINCT first_cell_id) FILTER (WHERE vc) AS unique_valid_towers, round(coalesce(sum((call_duration)::DECIMAL(28,6)), 0), 4)::DOUBLE AS duration_seconds,
  coalesce(string_agg(DISTINCT imei, ', ' ORDER BY imei) FILTER (WHERE ok), '') AS valid_imei,
  coalesce(string_agg(DISTINCT imei, ', ' ORDER BY imei) FILTER (WHERE NOT ok), '') AS invalid_imei FROM x GROUP BY 1) a
  LEFT JOIN {top('x', 'dev', 'first_cell_id', 'vc')} b ON device_key = b.dev LEFT JOIN {top('x', 'dev', 'ms', HUMAN)} d ON device_key = d.dev""",
@@ -241,7 +241,7 @@ query("tower_cell_summary", on(C, towers.cell_summary), f"SELECT searched_cell_i
 query("tower_call_types", on(C, towers.call_type_summary), "SELECT call_type, count(*) AS total_events, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS share_percent FROM c GROUP BY 1")
 _SUBS = """SELECT sub AS subscriber_number, count(*) AS total_events, min(call_datetime) AS first_seen, max(call_datetime) AS last_seen, count(DISTINCT call_datetime::DATE) AS active_days,
  count(DISTINCT searched_cell_id) AS unique_cells, count(DISTINCT operator) AS unique_operators, count(DISTINCT imei) AS unique_imei, count(DISTINCT imsi) AS unique_imsi,
- count(DISTINCT coalesce(other_party, '')) AS unique_other_parties, coalesce(round(round(sum(call_duration), 4)), 0)::BIGINT AS total_duration_seconds,
+ count(DISTINCT coalesce(other_party, '')) AS unique_other_parties, coalesce(round(round(sum((call_duration)::DECIMAL(28,6)), 4)::DOUBLE), 0)::BIGINT AS total_duration_seconds,
  count(*) FILTER (WHERE call_type = 'incoming') AS incoming_calls, count(*) FILTER (WHERE call_type = 'outgoing') AS outgoing_calls,
  count(*) FILTER (WHERE call_type = 'smsin') AS incoming_sms, count(*) FILTER (WHERE call_type = 'smsout') AS outgoing_sms FROM c WHERE sub IS NOT NULL GROUP BY 1"""
 query("tower_subscriber_summary", on(C, towers.subscriber_summary), _SUBS)
@@ -304,7 +304,7 @@ def _rollup_sql(src: str, time: str, extra: str = "", points: str = "") -> str:
 
 
 _ROLL = f"SELECT * EXCLUDE (pts) FROM ({_rollup_sql('c', 'call_datetime', ', count(DISTINCT nullif(other_party, $$$$)) AS other_party_count')})"
-_SROLL = f"SELECT * EXCLUDE (pts) FROM ({_rollup_sql('s', 'session_start', ', round(coalesce(sum(total_volume), 0), 4) AS total_volume', '+ CASE WHEN total_volume > 0 THEN 5 ELSE 0 END')})"
+_SROLL = f"SELECT * EXCLUDE (pts) FROM ({_rollup_sql('s', 'session_start', ', round(coalesce(sum((total_volume)::DECIMAL(28,6)), 0), 4)::DOUBLE AS total_volume', '+ CASE WHEN total_volume > 0 THEN 5 ELSE 0 END')})"
 query("presence_rollup", on(C, presence.rollup), _ROLL)
 query("presence_session_rollup", on(S, presence.rollup, time="session_start", volume="total_volume"), _SROLL)
 for _name, (_cond, _order) in presence.BUCKETS.items():
@@ -330,7 +330,7 @@ query("presence_frame_score", on(C, presence.frame_presence), _frame_sql("c", "c
 query(
     "presence_session_frame_score",
     on(S, presence.frame_presence, volume="total_volume", time="session_start"),
-    _frame_sql("s", "session_start", "0", "0", "round(coalesce(sum(total_volume), 0), 4)", "CASE WHEN total_volume > 0 AND total_volume >= (SELECT quantile_cont(total_volume, 0.9) FROM a) THEN 15 ELSE 0 END"),
+    _frame_sql("s", "session_start", "0", "0", "round(coalesce(sum((total_volume)::DECIMAL(28,6)), 0), 4)::DOUBLE", "CASE WHEN total_volume > 0 AND total_volume >= (SELECT quantile_cont(total_volume, 0.9) FROM a) THEN 15 ELSE 0 END"),
 )
 W0, W1 = datetime(2024, 1, 28), datetime(2024, 1, 29)
 
@@ -421,7 +421,7 @@ query("parts_excluded_sessions", lambda s, d: parts.excluded_sessions(S(s, d), D
 query(
     "parts_session_presence",
     with_parts(S, parts.session_presence),
-    f"SELECT subscriber_number, count(DISTINCT part_no) AS parts_matched, count(*) AS sessions, round(sum({_OVS}), 6) AS overlap_seconds, round(sum(total_volume), 4) AS total_volume FROM s JOIN p ON {_OV} WHERE sub IS NOT NULL GROUP BY 1",
+    f"SELECT subscriber_number, count(DISTINCT part_no) AS parts_matched, count(*) AS sessions, round(sum(({_OVS})::DECIMAL(28,6)), 6)::DOUBLE AS overlap_seconds, round(sum((total_volume)::DECIMAL(28,6)), 4)::DOUBLE AS total_volume FROM s JOIN p ON {_OV} WHERE sub IS NOT NULL GROUP BY 1",
 )
 query(
     "parts_allocation_overlap",

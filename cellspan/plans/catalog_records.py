@@ -40,7 +40,7 @@ query(
         },
     ),
 )
-_V = "round(coalesce(sum({}), 0), 4)"
+_V = "round(coalesce(sum(({})::DECIMAL(28,6)), 0), 4)::DOUBLE"
 query(
     "session_subscriber_summary",
     on(S, sessions.subscriber_summary),
@@ -48,19 +48,19 @@ query(
  {_V.format('downlink_volume')} AS downlink_volume, {_V.format('uplink_volume')} AS uplink_volume, count(DISTINCT sc) AS unique_cells, count(DISTINCT im) AS unique_imei, count(DISTINCT imsi) AS unique_imsi,
  count(DISTINCT ipv4_address) AS unique_ipv4, {lst('technology')} AS technologies FROM s WHERE sub IS NOT NULL GROUP BY 1""",
 )
-_SI = "SELECT {0}, count(*) AS sessions, count(DISTINCT sub) AS subscribers, count(DISTINCT sc) AS cells, round(coalesce(sum(total_volume), 0), 4) AS total_volume, min(session_start) AS first_seen, max(session_start) AS last_seen FROM s WHERE {0} <> '' GROUP BY 1"
+_SI = "SELECT {0}, count(*) AS sessions, count(DISTINCT sub) AS subscribers, count(DISTINCT sc) AS cells, round(coalesce(sum((total_volume)::DECIMAL(28,6)), 0), 4)::DOUBLE AS total_volume, min(session_start) AS first_seen, max(session_start) AS last_seen FROM s WHERE {0} <> '' GROUP BY 1"
 query("session_imei_summary", on(S, sessions.identity_summary, "imei"), _SI.format("imei"))
 query("session_imsi_summary", on(S, sessions.identity_summary, "imsi"), _SI.format("imsi"))
 query(
     "session_ip_summary",
     on(S, sessions.ip_summary),
-    """SELECT ip_version, ip_address, count(*) AS sessions, count(DISTINCT sub) AS subscribers, round(sum(total_volume), 4) AS total_volume FROM (SELECT 'IPv4' AS ip_version, ipv4_address AS ip_address, sub, total_volume FROM s UNION ALL
+    """SELECT ip_version, ip_address, count(*) AS sessions, count(DISTINCT sub) AS subscribers, round(sum((total_volume)::DECIMAL(28,6)), 4)::DOUBLE AS total_volume FROM (SELECT 'IPv4' AS ip_version, ipv4_address AS ip_address, sub, total_volume FROM s UNION ALL
  SELECT 'IPv6', ipv6_address, sub, total_volume FROM s) WHERE ip_address <> '' GROUP BY 1, 2""",
 )
 query(
     "session_duration_bins",
     on(S, sessions.duration_bins),
-    "SELECT o AS bin_order, b AS bin, count(*) AS sessions, round(sum(total_volume), 4) AS total_volume FROM (SELECT *, CASE WHEN session_duration_seconds IS NULL THEN 99 "
+    "SELECT o AS bin_order, b AS bin, count(*) AS sessions, round(sum((total_volume)::DECIMAL(28,6)), 4)::DOUBLE AS total_volume FROM (SELECT *, CASE WHEN session_duration_seconds IS NULL THEN 99 "
     + " ".join(f"WHEN session_duration_seconds <= {e} THEN {k}" for k, (e, _) in enumerate(sessions.BINS)) + " ELSE 6 END AS o, CASE WHEN session_duration_seconds IS NULL THEN 'unknown' "
     + " ".join(f"WHEN session_duration_seconds <= {e} THEN '{n}'" for e, n in sessions.BINS) + " ELSE 'over 2 h' END AS b FROM s) GROUP BY 1, 2",
 )
@@ -72,7 +72,7 @@ query(
     on(S, sessions.quality),
     checks_sql("s", {"invalid_session_time": "NOT session_time_valid", "missing_volume_fields": "total_volume IS NULL", "volume_mismatch": "volume_mismatch", "non_standard_subscriber": "identifier_type <> 'MSISDN'", "zero_volume": "is_zero_volume", "missing_ipv4": "ipv4_address = ''", "missing_ipv6": "ipv6_address = ''", "missing_imei": "im IS NULL", "missing_imsi": "imsi = ''"}),
 )
-query("session_network_summary", on(S, sessions.network_summary), "SELECT technology, pre_post, roaming_circle, count(*) AS sessions, count(DISTINCT sub) AS subscribers, round(sum(total_volume), 4) AS total_volume FROM s GROUP BY 1, 2, 3")
+query("session_network_summary", on(S, sessions.network_summary), "SELECT technology, pre_post, roaming_circle, count(*) AS sessions, count(DISTINCT sub) AS subscribers, round(sum((total_volume)::DECIMAL(28,6)), 4)::DOUBLE AS total_volume FROM s GROUP BY 1, 2, 3")
 
 # ---- IP events ----------------------------------------------------------------------------------------------------
 _FIRST = "arg_min({0}, (coalesce(event_time, TIMESTAMP '0001-01-01'), event_id)) AS {0}"
@@ -83,7 +83,7 @@ query(
     "ip_subscriber_summary",
     on(IP, ip_events.subscriber_summary),
     f"""SELECT a.*, coalesce(n, 0) AS allocations, coalesce(t, 0) AS total_volume FROM (SELECT subscriber_number, count(*) AS events, min(event_time) AS first_seen, max(event_time) AS last_seen, count(DISTINCT sc) AS cells, count(DISTINCT im) AS imei_count, count(DISTINCT dip) AS destinations
- FROM i WHERE sub IS NOT NULL GROUP BY 1) a LEFT JOIN (SELECT subscriber_number, count(*) AS n, round(sum(total_volume), 4) AS t FROM ({_AL}) GROUP BY 1) b USING (subscriber_number)""",
+ FROM i WHERE sub IS NOT NULL GROUP BY 1) a LEFT JOIN (SELECT subscriber_number, count(*) AS n, round(sum((total_volume)::DECIMAL(28,6)), 4)::DOUBLE AS t FROM ({_AL}) GROUP BY 1) b USING (subscriber_number)""",
 )
 _IPER = "count(*) AS events, count(DISTINCT sub) AS subscribers, min(event_time) AS first_seen, max(event_time) AS last_seen"
 query("ip_imei_summary", on(IP, ip_events.identity_summary, "imei"), f"SELECT imei, {_IPER} FROM i WHERE im IS NOT NULL GROUP BY 1")
@@ -149,7 +149,7 @@ query(
 SELECT 'MULTIPLE_SUBSCRIBERS' AS indicator, su AS value FROM a WHERE su > 1 UNION ALL SELECT 'MULTIPLE_SIMS', si FROM a WHERE si > 1 UNION ALL SELECT 'IDENTIFIER_VARIANTS', ie FROM a WHERE ie > 1""",
 )
 query("device_quality", bundle(C, devices.call_bundle, "quality"), checks_sql(f"(SELECT * FROM c WHERE {_M})", {"missing_time": "call_datetime IS NULL", "missing_imsi": "imsi = ''", "invalid_cell": "NOT vc", "unknown_contact": "cat = 'unknown_contact'"}))
-_SS = "count(*) AS sessions, round(coalesce(sum(total_volume), 0), 4) AS total_volume"
+_SS = "count(*) AS sessions, round(coalesce(sum((total_volume)::DECIMAL(28,6)), 0), 4)::DOUBLE AS total_volume"
 query("device_session_subscribers", bundle(S, devices.session_bundle, "subscribers"), f"SELECT subscriber_number, identifier_type, {_SS} FROM s WHERE {_M} AND sub IS NOT NULL GROUP BY 1, 2")
 query("device_session_cells", bundle(S, devices.session_bundle, "cells"), f"SELECT searched_cell_id, {_SS} FROM s WHERE {_M} AND sc IS NOT NULL GROUP BY 1")
 _IS = "count(*) AS events, min(event_time) AS first_seen, max(event_time) AS last_seen"
@@ -253,12 +253,16 @@ query("master_missing_cells", lambda s, d: master.missing_cells(C(s, d), D.cell_
 _NEW = "CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 7 = 0 THEN upper(c_name) || '!' ELSE c_name END"
 
 
+#: Numbers of incoming rows: others are left out than in the master.
+_IN_KEY = "'9' || lpad(cast(cast(c_custkey + floor(c_custkey / 3) as bigint) as string), 9, '0')"
+
+
 def incoming(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 2 = 0")
-    return c.selectExpr("'9' || lpad(cast(c_custkey as string), 9, '0') as mobile_number", f"{_NEW} as name", "c_mktsegment as circle")
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return c.selectExpr(f"{_IN_KEY} as mobile_number", f"{_NEW} as name", "c_mktsegment as circle")
 
 
-_UP = f""", n2 AS (SELECT '9' || lpad(c_custkey::VARCHAR, 9, '0') AS mobile_number, {_NEW} AS name, c_mktsegment AS circle, TRUE AS hit FROM customer WHERE c_custkey % 2 = 0),
+_UP = f""", n2 AS (SELECT {_IN_KEY} AS mobile_number, {_NEW} AS name, c_mktsegment AS circle, TRUE AS hit FROM customer),
 up AS (SELECT coalesce(o.mobile_number, n2.mobile_number) AS mobile_number, CASE WHEN hit THEN n2.name ELSE o.name END AS name, CASE WHEN hit THEN n2.circle ELSE o.circle END AS circle,
  CASE WHEN hit IS NULL THEN 'KEPT' WHEN o.mobile_number IS NULL THEN 'INSERTED' WHEN o.name IS NOT DISTINCT FROM n2.name AND o.circle IS NOT DISTINCT FROM n2.circle THEN 'UNCHANGED' ELSE 'UPDATED' END AS upsert_action
  FROM nm o FULL JOIN n2 ON o.mobile_number = n2.mobile_number)"""

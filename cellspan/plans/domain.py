@@ -131,14 +131,20 @@ def parts(spark: SparkSession) -> DataFrame:
     return P.build(spark, [(a, b) for a, b, _ in PARTS], [s for *_, s in PARTS])
 
 
+#: Keys of the master tables: of the numbers of events every third one is missing, of the cells every fifth.
+NUMBER_KEY = "'9' || lpad(cast(cast(c_custkey + floor(c_custkey / 2) as bigint) as string), 9, '0')"
+_PART = "cast(cast(p_partkey + floor((p_partkey - 1) / 4) as bigint) as string)"
+CELL_KEY = f"'405-51-834-' || case when length({_PART}) < 4 then lpad({_PART}, 4, '0') else {_PART} end"
+
+
 def number_master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 3 <> 0")
-    return c.selectExpr("'9' || lpad(cast(c_custkey as string), 9, '0') as mobile_number", "c_name as name", "c_mktsegment as circle")
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return c.selectExpr(f"{NUMBER_KEY} as mobile_number", "c_name as name", "c_mktsegment as circle")
 
 
 def cell_master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey < 80")
-    return p.selectExpr(f"{_CELL.format('p_partkey')} as cgi", "p_name as site")
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return p.selectExpr(f"{CELL_KEY} as cgi", "p_name as site")
 
 
 def _select(columns: dict[str, str]) -> str:
@@ -173,6 +179,6 @@ s AS (SELECT *, nullif(trim(subscriber_number), '') AS sub, nullif(searched_cell
 ip AS (SELECT {_select(IP_EVENTS)} FROM events),
 i AS (SELECT *, nullif(trim(subscriber_number), '') AS sub, nullif(searched_cell_id, '') AS sc, nullif(imei, '') AS im, nullif(destination_ip, '') AS dip FROM ip),
 p AS (SELECT * FROM (VALUES {', '.join(f"({n + 1}, 'Part {n + 1}', TIMESTAMP '{a}', TIMESTAMP '{b}', {repr(s) if s else 'NULL'})" for n, (a, b, s) in enumerate(PARTS))}) v(part_no, part_name, start_time, end_time, pspot)),
-nm AS (SELECT '9' || lpad(c_custkey::VARCHAR, 9, '0') AS mobile_number, c_name AS name, c_mktsegment AS circle FROM customer WHERE c_custkey % 3 <> 0),
-cm AS (SELECT {_CELL.format('p_partkey')} AS cgi, p_name AS site FROM part WHERE p_partkey < 80)
+nm AS (SELECT {NUMBER_KEY} AS mobile_number, c_name AS name, c_mktsegment AS circle FROM customer),
+cm AS (SELECT {CELL_KEY} AS cgi, p_name AS site FROM part)
 """
