@@ -29,18 +29,19 @@ def _text(spark: SparkSession, path: str) -> str | None:
 def staged(spark: SparkSession, folder: str, stage: str, name: str, load, required: tuple[str, ...] = ()) -> tuple[DataFrame, bool]:
     """The normalised table of a folder, and whether an earlier stage was reused.
 
-    A stage is reused if the fingerprint of its inputs and its columns are what they were.
+    A stage is reused if the fingerprint of its inputs and its columns are what they were. Each fingerprint has a folder of
+    its own, and the manifest is written last; so data that others may read are never overwritten.
     """
     key = fingerprint(folders.files(spark, folder))
     known = _text(spark, f"{stage}/manifest")
     if known and json.loads(known).get("fingerprint") == key:
-        df = spark.read.parquet(f"{stage}/data")
+        df = spark.read.parquet(f"{stage}/data-{key}")
         sinks.validate(df, required)
         df.createOrReplaceTempView(name)
         return df, True
-    df = sinks.stage(load(folder), f"{stage}/data", name)
+    df = sinks.stage(load(folder), f"{stage}/data-{key}", name)
     sinks.validate(df, required)
-    entry = json.loads(sinks.manifest(df, name, f"{stage}/data")) | {"fingerprint": key}
+    entry = json.loads(sinks.manifest(df, name, f"{stage}/data-{key}")) | {"fingerprint": key}
     spark.createDataFrame([(json.dumps(entry),)], "value string").coalesce(1).write.mode("overwrite").text(f"{stage}/manifest")
     return df, False
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -51,23 +53,36 @@ def new_files(found: DataFrame, manifest: DataFrame) -> DataFrame:
     return distinct_files(found).join(manifest.where("status = 'LOADED'").select("sha256"), "sha256", "left_anti")
 
 
+#: Files of one load.
+BATCH = 500
+
 MANIFEST = "sha256 string, path string, status string, rows long"
 
 
 def ingest(spark: SparkSession, folder: str, target: str, manifest_path: str, read) -> DataFrame:
-    """Append what ``read(paths) -> DataFrame`` makes of new files to the Parquet table ``target``, and log them.
+    """Add what ``read(paths) -> DataFrame`` makes of new files to the Parquet table ``target``, and log them.
 
-    The manifest is keyed by the digest of a file's bytes, so a second run loads nothing again. Returns the new entries.
+    The manifest is keyed by the digest of a file's bytes, so a second run loads nothing again. Each batch of files has a
+    partition ``load`` of its own, named by their digests and overwritten: a run that ended between its rows and its log
+    entry writes the same partition again. Returns the new entries.
     """
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(manifest_path)
     fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     manifest = spark.read.schema(MANIFEST).parquet(manifest_path) if fs.exists(hadoop) else spark.createDataFrame([], MANIFEST)
-    todo = new_files(files(spark, folder), manifest).select("sha256", "path").collect()
-    entries = []
-    for batch in [todo[i : i + 500] for i in range(0, len(todo), 500)]:
-        rows = read([r["path"] for r in batch])
-        rows.write.mode("append").parquet(target)
-        entries += [(r["sha256"], r["path"], "LOADED", None) for r in batch]
-    out = spark.createDataFrame(entries, MANIFEST)
-    out.write.mode("append").parquet(manifest_path)
-    return out
+    entries, batch = [], []
+
+    def load(batch):
+        name = hashlib.sha256("".join(sorted(r["sha256"] for r in batch)).encode()).hexdigest()[:32]
+        read([r["path"] for r in batch]).write.mode("overwrite").parquet(f"{target}/load=b{name}")
+        new = [(r["sha256"], r["path"], "LOADED", None) for r in batch]
+        spark.createDataFrame(new, MANIFEST).coalesce(1).write.mode("append").parquet(manifest_path)
+        entries.extend(new)
+
+    for r in new_files(files(spark, folder), manifest).select("sha256", "path").orderBy("sha256").toLocalIterator():
+        batch.append(r)
+        if len(batch) == BATCH:
+            load(batch)
+            batch = []
+    if batch:
+        load(batch)
+    return spark.createDataFrame(entries, MANIFEST)

@@ -164,8 +164,7 @@ def read_ip_events(spark: SparkSession, path: str, sample: str | None = None) ->
     df = df.withColumns(times | ips)
     if "event_time" not in have and "allocation_start" in have:
         df = df.withColumn("event_time", F.col("allocation_start"))
-    place = df.select("*")
-    df = conform(place, IP_EVENTS).withColumns({"_source_row": F.lit(None).cast("long")})
+    df = conform(df, IP_EVENTS, ("source_row", "source_row_end"))
     key = I.stable_key("subscriber_number", "source_ip", "translated_ip", "allocation_start", "allocation_end")
     df = df.withColumns(
         {
@@ -174,8 +173,8 @@ def read_ip_events(spark: SparkSession, path: str, sample: str | None = None) ->
             "cell_transition_type": I.cell_transition("first_cell_id", "last_cell_id", "searched_cell_id"),
         }
     )
-    accepted, more = quarantine(df.withColumnRenamed("_source_row", "source_row"), F.col("event_time").isNull(), "NO_EVENT_TIME")
-    return accepted.drop("source_row"), bad.unionByName(more)
+    accepted, more = quarantine(df, F.col("event_time").isNull(), "NO_EVENT_TIME")
+    return accepted.drop("source_row", "source_row_end"), bad.unionByName(more)
 
 
 def read_number_master(spark: SparkSession, path: str, sep: str | None = None) -> tuple[DataFrame, DataFrame]:

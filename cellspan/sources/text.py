@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..schema import REJECTS, dedupe_names, rename_aliases, snake
+from ..schema import REJECTS, dedupe_names, rename_aliases, row_id, snake
 
 #: Encodings that are tried in order; the last one takes any byte.
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "latin-1")
@@ -116,41 +116,39 @@ def read_delimited(
     return good, ledger(parsed.where("reason is not null"), "json", F.col("reason"))
 
 
+def fields_of(line: str, sep: str):
+    """Column of the fields of a line: quoted ones without their quotes, empty ones as null."""
+    s = re.escape(sep)
+    raw = F.regexp_extract_all(F.concat(F.lit(sep), F.col(line)), F.lit(f'{s}("(?:[^"]++|"")*+"|[^{s}]*+)'), F.lit(1))
+    plain = lambda x: F.when(x.startswith('"') & x.endswith('"') & (F.length(x) > 1), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x)
+    return F.transform(raw, lambda x: F.when(x != "", plain(x)))
+
+
 def read_lines(
     spark: SparkSession, path: str | list[str], names: list[str], sep: str = ",", skip: int = 1
 ) -> tuple[DataFrame, DataFrame]:
     """As ``read_delimited`` for UTF-8 files without line breaks in fields, of any size: files are split over tasks.
 
-    Lines are counted within each split as they stream by; the splits' counts, a few numbers per file, give each split
-    its first line number. Only the lines up to ``skip`` of each file are left out as header.
+    A line's number is its place in its split plus the lines of the splits before it in the file, which are counted in a
+    pass of their own, a few numbers per file. Only the lines up to ``skip`` of each file are left out as header. All
+    fields of a line are looked at: a row with more than the header has, of which one is not blank, is rejected whole.
     """
     names = dedupe_names(names)
     width = len(names)
-    place = "source_file string, block long, at long"
-
-    def number(batches):
-        import pyarrow as pa
-
-        seen: dict[tuple, int] = {}
-        for b in batches:
-            files, blocks, at = b.column(1).to_pylist(), b.column(2).to_pylist(), []
-            for k in zip(files, blocks):
-                seen[k] = seen.get(k, 0) + 1
-                at.append(seen[k])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(at, pa.int64())], ["value", "source_file", "block", "at"])
-
     file = F.regexp_extract("_metadata.file_path", "([^/]+)$", 1)
-    lines = spark.read.text(path).select("value", file.alias("f"), F.col("_metadata.file_block_start").alias("b")).mapInArrow(number, f"value string, {place}")
+    lines = spark.read.text(path).select(
+        "value", file.alias("source_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")
+    )
     w = Window.partitionBy("source_file").orderBy("block")
-    splits = lines.groupBy("source_file", "block").agg(F.max("at").alias("n")).withColumn("before", F.sum("n").over(w) - F.col("n")).drop("n")
-    placed = lines.join(F.broadcast(splits), ["source_file", "block"]).withColumn("source_row", F.col("at") + F.col("before"))
-    rows = placed.where((F.col("source_row") > skip) & (F.trim("value") != ""))
-    parsed = rows.withColumn("_r", F.from_csv("value", ", ".join(f"c{i} string" for i in range(width + 8)), {"sep": sep, "mode": "PERMISSIVE"}))
-    extra = F.lit(False)
-    for i in range(width, width + 8):
-        extra = extra | (F.trim(F.coalesce(F.col(f"_r.c{i}"), F.lit(""))) != "")
-    good = parsed.where(~extra).select(*[F.col(f"_r.c{i}").alias(n) for i, n in enumerate(names)], "source_file", "source_row", F.col("source_row").alias("source_row_end"))
-    bad = parsed.where(extra).withColumn("_json", F.to_json(F.array(*[F.col(f"_r.c{i}") for i in range(width + 8)])))
+    splits = lines.groupBy("source_file", "block").agg(F.min("at").alias("lo"), F.count("*").alias("n"))
+    splits = splits.withColumn("before", F.sum("n").over(w) - F.col("n")).drop("n")
+    placed = lines.join(splits, ["source_file", "block"]).withColumn("source_row", F.col("at") - F.col("lo") + F.col("before") + 1)
+    rows = placed.where((F.col("source_row") > skip) & (F.trim("value") != "")).withColumn("_r", fields_of("value", sep))
+    extra = F.exists(F.slice("_r", width + 1, 1 << 30), lambda x: F.trim(F.coalesce(x, F.lit(""))) != "")
+    good = rows.where(~extra).select(
+        *[F.try_element_at("_r", F.lit(i + 1)).alias(n) for i, n in enumerate(names)], "source_file", "source_row", F.col("source_row").alias("source_row_end")
+    )
+    bad = rows.where(extra).withColumn("_json", F.to_json(F.transform("_r", lambda x: F.coalesce(x, F.lit("")))))
     return good, ledger(bad, "_json", F.lit("FIELD_COUNT_MISMATCH"))
 
 
@@ -229,6 +227,7 @@ def read_calls(spark: SparkSession, path: str, sample: str | None = None) -> tup
             "call_duration": I.duration_seconds("call_duration"),
         }
     )
+    df = df.withColumn("event_id", row_id())
     empty = F.col("call_datetime").isNull() & F.col("a_party").isNull() & F.col("b_party").isNull()
     accepted, more = quarantine(df, empty, "NO_TIME_AND_PARTIES")
     return accepted, bad.unionByName(more)
@@ -265,9 +264,9 @@ def read_sessions(spark: SparkSession, path: str, sample: str | None = None) ->
     good, bad = read_delimited(spark, path, names, sep, skip + 1)
     df = rename_aliases(good, SESSION_ALIASES)
     times = {c: I.event_time(c) for c in ("session_start", "session_end") if c in df.columns}
-    df = conform(df.withColumns(times), SESSIONS)
+    df = conform(df.withColumns(times), SESSIONS, ("source_row",))
     df = df.withColumn("session_duration_seconds", F.timestamp_diff("SECOND", F.col("session_start"), F.col("session_end")).cast("double"))
-    accepted, more = quarantine(S.normalise(df).withColumn("source_row", F.lit(None).cast("long")), F.col("session_start").isNull(), "NO_SESSION_START")
+    accepted, more = quarantine(S.normalise(df), F.col("session_start").isNull(), "NO_SESSION_START")
     return accepted.drop("source_row"), bad.unionByName(more), status
 
 
