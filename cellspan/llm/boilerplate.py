@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fits_broadcast
+from .common import cut, fits_broadcast, let
 
 #: A line is compared without white space at its ends.
 TRIM = r"' \t\r\f\u000b'"
@@ -52,13 +52,12 @@ def drop_boilerplate(
     lists = often.groupBy("host").agg(F.collect_list("line").alias("_often")).withColumnRenamed("host", "_host")
     lists = F.broadcast(lists) if fits_broadcast(often, 200_000) else lists
     joined = docs.join(lists, docs[host_col].cast("string").eqNullSafe(F.col("_host")), "left")
-    dropped = f"(_often is not null and array_contains(_often, xxhash64(btrim(x, {TRIM}))))"
-    kept = f"filter(_all, x -> btrim(x, {TRIM}) = '' or not {dropped})"
-    # The lines are bound by name, so that they are split once and not again for each line.
-    body = (
-        f"transform(array(split(`{text_col}`, '\\n')), _all -> named_struct("
-        f"'n', size(filter(_all, x -> btrim(x, {TRIM}) <> '')), 'all', size(_all), 'kept', {kept}))[0]"
-    )
+    digest = f"xxhash64(btrim(x, {TRIM}))"
+    kept = f"filter(_all, x -> btrim(x, {TRIM}) = '' or not array_contains(_hit, {digest}))"
+    # The lines, and the page's few boilerplate digests (a hashed intersection), are bound by name: made once for a page.
+    hits = f"array_intersect(transform(_all, x -> {digest}), coalesce(_often, cast(array() as array<bigint>)))"
+    row = f"named_struct('n', size(filter(_all, x -> btrim(x, {TRIM}) <> '')), 'all', size(_all), 'kept', {kept})"
+    body = let(f"split(`{text_col}`, '\\n')", "_all", let(hits, "_hit", row))
     out = joined.withColumn("_lines", F.expr(f"if(`{text_col}` is null, null, {body})"))
     return out.withColumns(
         {

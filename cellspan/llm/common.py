@@ -31,6 +31,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def small_batches(spark: SparkSession, size: int) -> None:
     """Bound the bytes of an Arrow batch, where the session sets no bound of its own; rows alone do not bound long texts."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -94,7 +94,9 @@ def land(p: list[float], size: list[float]) -> list[float]:
 
 
 def balanced_sample(units: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Decide ``units (stratum long, key long, size long, p double)`` by balanced sampling; returns ``p`` 0 or 1.
+    """Decide ``units (stratum long, key long, h long, size long, p double)`` by balanced sampling; returns ``p`` 0 or 1.
+
+    ``h`` tells units of one key apart; it may be left out.
 
     Each stratum keeps its expected count and total size. Strata are cut into hash blocks of about ``block`` units that
     fly on their own; what stays undecided (two a block at most) is pooled, again in blocks, until a stratum's rest fits
@@ -103,22 +105,23 @@ def balanced_sample(units: DataFrame, block: int = BLOCK) -> DataFrame:
 
     def run(last: bool):
         def fly(pdf):
-            pdf = pdf.sort_values(["_h", "key", "size", "p"], kind="stable")
+            pdf = pdf.sort_values(["_h", "key", "h", "size", "p"], kind="stable")
             p = flight(pdf["p"].tolist(), pdf["size"].astype("float64").tolist(), int(pdf["_h"].iloc[0]))
             if last:
                 p = land(p, pdf["size"].astype("float64").tolist())
-            return pdf.assign(p=p)[["stratum", "key", "size", "p"]]
+            return pdf.assign(p=p)[["stratum", "key", "h", "size", "p"]]
 
         return fly
 
-    schema = "stratum long, key long, size long, p double"
-    done, left, level = [], units.select("stratum", "key", "size", "p"), 0
+    schema = "stratum long, key long, h long, size long, p double"
+    units = units if "h" in units.columns else units.withColumn("h", F.lit(0).cast("long"))
+    done, left, level = [], units.select("stratum", "key", "h", "size", "p"), 0
     counts = left.groupBy("stratum").agg(F.count("*").alias("_n"))
     while True:
         counts = cut(counts.withColumn("_blocks", F.ceil(F.col("_n") / block)))
         most = counts.agg(F.max("_blocks")).first()[0]
         small = F.broadcast(counts) if fits_broadcast(counts, 100_000) else counts
-        hashed = left.withColumn("_h", F.xxhash64(F.lit(level), F.coalesce("key", F.lit(-1)), "size"))
+        hashed = left.withColumn("_h", F.xxhash64(F.lit(level), F.coalesce("key", F.lit(-1)), "h", "size"))
         dealt = hashed.join(small, "stratum").withColumn("_b", F.pmod("_h", F.col("_blocks")))
         flown = dealt.drop("_n", "_blocks").groupBy("stratum", "_b").applyInPandas(run((most or 1) <= 1), schema)
         if (most or 1) <= 1:
@@ -145,16 +148,17 @@ def mix(
     source_col: str = "source",
     block: int = BLOCK,
 ) -> DataFrame:
-    """``(doc_id, size, source, source_size, target, copies, taken)`` for every row of ``docs``.
+    """``(doc_id, text_hash, size, source, source_size, target, copies, taken)`` for every row of ``docs``.
 
     A document is taken ``floor(target / source_size)`` times, and once more if the balanced sample picks it; so its
     expected share is the same throughout its source, and each source's total of words and of documents comes within a
-    document or two of its target. Size is the number of words (null text: 0). Equal rows are separate units. The choice
-    depends on ids and sizes only, so reruns agree. A source of size zero has target zero; an empty table gives no rows.
+    document or two of its target. Size is the number of words (null text: 0). Equal rows are separate units; ``text_hash`` (XXH64)
+    tells rows of one id, or of none, apart. The choice depends on ids and texts only, so reruns agree. A source of size zero has target zero; an empty table gives no rows.
     """
     sized = cut(
         docs.select(
             F.col(id_col).cast("long").alias("key"),
+            F.xxhash64(text_col).alias("h"),
             F.expr(f"cast(size({words(f'`{text_col}`')}) as bigint)").alias("size"),
             F.col(source_col).cast("string").alias("source"),
         )
@@ -165,7 +169,7 @@ def mix(
     )
     few = F.broadcast(targets) if fits_broadcast(targets, 100_000) else targets
     named = sized.join(few, sized["source"].eqNullSafe(few["source"])).select(
-        "key", "size", "stratum", (F.col("_rate") - F.floor("_rate")).alias("p")
+        "key", "h", "size", "stratum", (F.col("_rate") - F.floor("_rate")).alias("p")
     )
     picked = balanced_sample(named, block)
     by = targets.select("stratum", "source", "source_size", "target", "_rate")
@@ -173,6 +177,7 @@ def mix(
     copies = (F.floor("_rate") + F.col("p")).cast("long")
     return picked.join(by, "stratum").select(
         F.col("key").alias("doc_id"),
+        F.col("h").alias("text_hash"),
         "size",
         "source",
         "source_size",

@@ -32,6 +32,9 @@ def check(rows, got):
         taken[s] += r["taken"]
     for s, x in taken.items():
         assert abs(x - want[s]) <= 2 * longest, (s, x, want[s])
+        # The documents taken are balanced too: as many as the source's share of its words, within a few.
+        mine = [r["copies"] for r in got if r["source"] == s]
+        assert abs(sum(mine) - len(mine) * want[s] / max(1, size[s])) <= 3, (s, sum(mine))
 
 
 def test_targets_are_met(spark):

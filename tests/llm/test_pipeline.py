@@ -54,3 +54,15 @@ def test_run(spark, folder):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_without_an_id_are_mixed_on_their_own(spark, tmp_path):
+    """Rows that share no id are not taken as often as the one of them that is taken most."""
+    rows = [(None, f"text {i} " + "w " * (20 + i % 7), "en", "s", 1) for i in range(300)] + [(i, "x " * 30, "en", "t", 1) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [r["source"] for r in corpus_pipeline.mix_sources(spark, df, str(tmp_path)).select("source").collect()]
+    size = sum(len(r[1].split()) for r in rows if r[3] == "s"), sum(len(r[1].split()) for r in rows if r[3] == "t")
+    share = [min(2 * size[0], 1.5 * sum(size) * 3 / 4), min(2 * size[1], 1.5 * sum(size) / 4)]
+    share = [share[0], min(2 * size[1], 1.5 * sum(size) - share[0])]
+    for s, n, w in zip("st", (300, 300), range(2)):
+        assert abs(got.count(s) - n * share[w] / size[w]) <= 5
