@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +12,17 @@ from ..functions import identifiers as I
 from .common import filled, joined, matrix, n_distinct, n_if, night
 
 
+# Severity of each alert; and what it says.
+ALERTS = {
+    "COMMON_DEVICES": ("HIGH", "%d devices are used by several targets"),
+    "COMMON_SIMS": ("HIGH", "%d SIMs are used by several targets"),
+    "DIRECT_LINKS": ("MEDIUM", "%d directed links between targets"),
+    "COMMON_NUMBERS": ("REVIEW", "%d numbers are in contact with several targets"),
+    "COMMON_TOWERS": ("REVIEW", "%d towers are used by several targets; that alone does not place them together"),
+    "NOTHING_SHARED": ("INFO", "no item of several targets (%d)"),
+}
+
+
 def prepared(df: DataFrame) -> DataFrame:
     """Events with the looser keys of comparison and a night flag."""
     return df.withColumns(
@@ -126,18 +139,24 @@ def movement_rows(df: DataFrame) -> DataFrame:
 
 
 def alerts(df: DataFrame, minimum: int = 2) -> DataFrame:
-    """One row per kind of common item that was found, with how many there are."""
-
-    def row(name: str, found: DataFrame) -> DataFrame:
-        return found.agg(F.count("*").alias("items")).select(F.lit(name).alias("alert"), "items").where("items > 0")
-
-    return (
-        row("COMMON_NUMBERS", common_numbers(df, minimum))
-        .union(row("DIRECT_LINKS", direct_links(df)))
-        .union(row("COMMON_TOWERS", common_towers(df, minimum)))
-        .union(row("COMMON_DEVICES", common_devices(df, minimum)))
-        .union(row("COMMON_SIMS", common_sims(df, minimum)))
-    )
+    """One row per kind of common item that was found: severity, how many there are, and what was observed; a row that
+    says so where none was found."""
+    found = {
+        "COMMON_DEVICES": common_devices(df, minimum),
+        "COMMON_SIMS": common_sims(df, minimum),
+        "DIRECT_LINKS": direct_links(df),
+        "COMMON_NUMBERS": common_numbers(df, minimum),
+        "COMMON_TOWERS": common_towers(df, minimum),
+    }
+    counts = [t.agg(F.count("*").alias("items")).select(F.lit(name).alias("alert"), "items") for name, t in found.items()]
+    all_ = reduce(DataFrame.union, counts)
+    # Five rows: turned into one, so that "none" is a case of the same pass.
+    rows = all_.agg(F.collect_list(F.when(F.col("items") > 0, F.struct("alert", "items"))).alias("r"))
+    none = F.array(F.struct(F.lit("NOTHING_SHARED").alias("alert"), F.lit(0).cast("long").alias("items")))
+    out = rows.select(F.inline(F.when(F.size("r") > 0, F.col("r")).otherwise(none)))
+    text = F.coalesce(*[F.when(F.col("alert") == k, F.format_string(v[1], "items")) for k, v in ALERTS.items()])
+    severity = F.coalesce(*[F.when(F.col("alert") == k, v[0]) for k, v in ALERTS.items()])
+    return out.select("alert", severity.alias("severity"), "items", text.alias("observation"))
 
 
 def pair_overlap(df: DataFrame, item: Column, minimum: int = 1) -> DataFrame:

@@ -40,21 +40,89 @@ def call_bundle(df: DataFrame, identifier: str) -> dict[str, DataFrame]:
     }
 
 
+def rule_rows(m: DataFrame, rules: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """``(indicator, value)`` for each rule ``name: (value, condition)`` that holds, from one aggregation; ``NO_INDICATOR``
+    with the number of rows where none does. A condition reads the value of its own rule as ``v``."""
+    one = m.agg(F.count("*").alias("events"), *[v.cast("long").alias(f"r{i}") for i, (v, _) in enumerate(rules.values())])
+    row = lambda name, v: F.struct(F.lit(name).alias("indicator"), v.alias("value"))
+    held = [F.transform(F.filter(F.array(F.col(f"r{i}")), lambda v, c=c: c(v)), lambda v, n=n: row(n, v)) for i, (n, (_, c)) in enumerate(rules.items())]
+    all_, none = F.flatten(F.array(*held)), F.array(row("NO_INDICATOR", F.col("events")))
+    return one.select(F.inline(F.when(F.size(all_) > 0, all_).otherwise(none)))
+
+
+def several(c: str) -> tuple[Column, Column]:
+    """More than one value of a column that is not blank."""
+    return n_distinct(filled(c)), lambda v: v > 1
+
+
 def indicators(m: DataFrame) -> DataFrame:
-    """Rule rows about one device's records; a row that says so where no rule holds."""
-    one = m.agg(
-        n_distinct(filled("subscriber_number")).alias("subscribers"), n_distinct(filled("imsi")).alias("sims"), n_distinct(filled("imei")).alias("imeis"), F.count("*").alias("events")
+    """Rule rows about one device's call records; a row that says so where no rule holds."""
+    return rule_rows(m, {"MULTIPLE_SUBSCRIBERS": several("subscriber_number"), "MULTIPLE_SIMS": several("imsi"), "IDENTIFIER_VARIANTS": several("imei")})
+
+
+def session_indicators(m: DataFrame, identifier: str) -> DataFrame:
+    """Rule rows about one device's packet sessions."""
+    return rule_rows(
+        m,
+        {
+            "MULTIPLE_SUBSCRIBERS": several("subscriber_number"),
+            "MULTIPLE_SIMS": several("imsi"),
+            "MULTIPLE_FILES": several("source_file"),
+            "MULTIPLE_SPOTS": several("spot_id"),
+            "VOLUME_MISMATCH": (n_if(F.col("volume_mismatch")), lambda v: v > 0),
+            "FULL_16_DIGITS": (F.count("*"), lambda v: F.lit(len(identifier) == 16)),
+        },
     )
-    rule = lambda cond, name, n: F.when(cond, F.struct(F.lit(name).alias("indicator"), n.cast("long").alias("value")))
-    rules = F.array_compact(
-        F.array(
-            rule(F.col("subscribers") > 1, "MULTIPLE_SUBSCRIBERS", F.col("subscribers")),
-            rule(F.col("sims") > 1, "MULTIPLE_SIMS", F.col("sims")),
-            rule(F.col("imeis") > 1, "IDENTIFIER_VARIANTS", F.col("imeis")),
-        )
+
+
+def ip_indicators(m: DataFrame, identifier: str) -> DataFrame:
+    """Rule rows about one device's IP events; ``REPORT_QUERY_MATCH`` counts rows that only the report's query matches."""
+    rules = {
+        "MULTIPLE_SUBSCRIBERS": several("subscriber_number"),
+        "MULTIPLE_SIMS": several("imsi"),
+        "MULTIPLE_FILES": several("source_file"),
+        "FULL_16_DIGITS": (F.count("*"), lambda v: F.lit(len(identifier) == 16)),
+    }
+    if "match_basis" in m.columns:
+        rules["REPORT_QUERY_MATCH"] = (n_if(F.col("match_basis") == "QUERY_SCOPE"), lambda v: v > 0)
+    return rule_rows(m, rules)
+
+
+def session_quality(m: DataFrame) -> DataFrame:
+    """Checks of one device's packet sessions: records for which each holds."""
+    blank = lambda c: filled(c).isNull()
+    return check_rows(
+        m,
+        {
+            "matched_sessions": F.lit(True),
+            "invalid_time": ~F.coalesce("session_time_valid", F.lit(False)),
+            "missing_subscriber": blank("subscriber_number"),
+            "missing_imsi": I.imsi("imsi") == "",
+            "missing_ip": blank("ipv4_address") & blank("ipv6_address"),
+            "missing_cell": blank("searched_cell_id"),
+            "missing_volume": F.col("downlink_volume").isNull() | F.col("uplink_volume").isNull() | F.col("total_volume").isNull(),
+            "volume_mismatch": F.col("volume_mismatch"),
+            "zero_volume": F.col("is_zero_volume"),
+            "imei_of_16_digits": F.length(I.digits("imei")) == 16,
+        },
+    )
+
+
+def ip_quality(m: DataFrame) -> DataFrame:
+    """Checks of one device's IP events: records for which each holds."""
+    return check_rows(
+        m,
+        {
+            "matched_records": F.lit(True),
+            "missing_time": F.col("event_time").isNull(),
+            "missing_subscriber": filled("subscriber_number").isNull(),
+            "missing_imsi": I.imsi("imsi") == "",
+            "missing_source_ip": filled("source_ip").isNull(),
+            "missing_destination_ip": filled("destination_ip").isNull(),
+            "exact_observed": F.col("match_relation") == "EXACT",
+            "imei_of_16_digits": F.length(I.digits("imei")) == 16,
+        },
     )
-    none = F.array(F.struct(F.lit("NO_INDICATOR").alias("indicator"), F.col("events").cast("long").alias("value")))
-    return one.select(F.explode(F.when(F.size(rules) > 0, rules).otherwise(none)).alias("r")).select("r.*")
 
 
 def session_bundle(df: DataFrame, identifier: str) -> dict[str, DataFrame]:
@@ -65,6 +133,8 @@ def session_bundle(df: DataFrame, identifier: str) -> dict[str, DataFrame]:
         "sims": m.where(filled("imsi").isNotNull()).groupBy("imsi").agg(*span),
         "cells": m.where(I.valid_cell("searched_cell_id")).groupBy("searched_cell_id").agg(*span),
         "timeline": m.select("session_start", "event_id", "subscriber_number", "searched_cell_id", "imei", "match_relation"),
+        "indicators": session_indicators(m, identifier),
+        "quality": session_quality(m),
     }
 
 
@@ -75,6 +145,8 @@ def ip_bundle(df: DataFrame, identifier: str) -> dict[str, DataFrame]:
         "subscribers": m.where(filled("subscriber_number").isNotNull()).groupBy("subscriber_number").agg(*span),
         "endpoints": m.where(filled("destination_ip").isNotNull()).groupBy("destination_ip", "destination_port").agg(*span),
         "timeline": m.select("event_time", "event_id", "subscriber_number", "destination_ip", "searched_cell_id", "imei", "match_relation"),
+        "indicators": ip_indicators(m, identifier),
+        "quality": ip_quality(m),
     }
 
 

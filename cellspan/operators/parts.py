@@ -122,7 +122,22 @@ def visitor_labels(df: DataFrame) -> DataFrame:
         .when(k.isin("REPEAT RELEVANT VISITOR", "RARE VISITOR"), F.when(strong, "HIGH").otherwise("MEDIUM"))
         .otherwise(F.when(strong, "MEDIUM").otherwise("LOW"))
     )
-    return df.withColumns({"visitor_type": kind, "visitor_confidence": sure}).withColumn("visitor_priority", first)
+    seen = {
+        "NEW VISITOR": "not seen outside the Part",
+        "RARE VISITOR": "hardly seen outside the Part",
+        "RARE REPEAT VISITOR": "hardly seen outside the Part",
+        "REPEAT RELEVANT VISITOR": "seldom outside the Part but repeatedly in it",
+        "REGULAR / LOCAL PRESENCE": "seen regularly outside the Part",
+    }
+    why = F.concat_ws(
+        "; ",
+        F.coalesce(*[F.when(k == name, text) for name, text in seen.items()]),
+        F.when(cells >= 2, "several cells in the Part"),
+        F.when(F.col("imei_count") >= 2, "several IMEI"),
+        F.when(F.col("imsi_count") >= 2, "several IMSI"),
+    )
+    labelled = df.withColumns({"visitor_type": kind, "visitor_confidence": sure})
+    return labelled.withColumns({"visitor_priority": first, "visitor_reason": why})
 
 
 def visitors(df: DataFrame, parts: DataFrame, time: str = "call_datetime") -> DataFrame:

@@ -405,7 +405,9 @@ t AS (SELECT *, CASE WHEN baseline_seen_count = 0 THEN 'NEW VISITOR' WHEN baseli
  cells_seen >= 2 OR imei_count >= 2 OR imsi_count >= 2 AS strong FROM b)
 SELECT * EXCLUDE (strong), CASE WHEN current_seen_count >= 2 AND (baseline_seen_count <= 2 OR cells_seen >= 2) THEN 'HIGH' WHEN current_seen_count >= 2 OR baseline_seen_count <= 2 OR cells_seen >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS visitor_confidence,
  CASE WHEN visitor_type IN ('NEW VISITOR', 'RARE REPEAT VISITOR') THEN CASE WHEN current_seen_count >= 2 OR strong THEN 'HIGH' ELSE 'MEDIUM' END
- WHEN visitor_type IN ('REPEAT RELEVANT VISITOR', 'RARE VISITOR') THEN CASE WHEN strong THEN 'HIGH' ELSE 'MEDIUM' END WHEN strong THEN 'MEDIUM' ELSE 'LOW' END AS visitor_priority FROM t""",
+ WHEN visitor_type IN ('REPEAT RELEVANT VISITOR', 'RARE VISITOR') THEN CASE WHEN strong THEN 'HIGH' ELSE 'MEDIUM' END WHEN strong THEN 'MEDIUM' ELSE 'LOW' END AS visitor_priority,
+ concat_ws('; ', CASE visitor_type WHEN 'NEW VISITOR' THEN 'not seen outside the Part' WHEN 'REPEAT RELEVANT VISITOR' THEN 'seldom outside the Part but repeatedly in it' WHEN 'REGULAR / LOCAL PRESENCE' THEN 'seen regularly outside the Part' ELSE 'hardly seen outside the Part' END,
+ CASE WHEN cells_seen >= 2 THEN 'several cells in the Part' END, CASE WHEN imei_count >= 2 THEN 'several IMEI' END, CASE WHEN imsi_count >= 2 THEN 'several IMSI' END) AS visitor_reason FROM t""",
 )
 query("parts_cell_scope", lambda s, d: parts.in_cells(C(s, d), _CELLS[:2]).select("event_id"), f"SELECT event_id FROM c WHERE searched_cell_id IN ('{_CELLS[0]}', '{_CELLS[1]}') OR first_cell_id IN ('{_CELLS[0]}', '{_CELLS[1]}')")
 query(

@@ -225,11 +225,14 @@ query(
     """SELECT target, event_id, from_tower, first_cell_id AS to_tower, from_time, call_datetime AS to_time FROM (SELECT *, lag(first_cell_id) OVER w AS from_tower, lag(call_datetime) OVER w AS from_time FROM c WHERE vc AND call_datetime IS NOT NULL
  WINDOW w AS (PARTITION BY target ORDER BY call_datetime, event_id)) WHERE from_tower <> first_cell_id""",
 )
+_ALERT_ROWS = ", ".join(f"('{k}', '{v[0]}', '{v[1]}')" for k, v in cross_target.ALERTS.items())
 query(
     "cross_alerts",
     on(C, cross_target.alerts),
-    f"""{_LINK} SELECT * FROM (SELECT 'COMMON_NUMBERS' AS alert, count(*) AS items FROM ({_CN}) UNION ALL SELECT 'DIRECT_LINKS', count(*) FROM l UNION ALL SELECT 'COMMON_TOWERS', count(*) FROM ({_CT})
- UNION ALL SELECT 'COMMON_DEVICES', count(*) FROM ({_CI.format('device', 'e', 2)}) UNION ALL SELECT 'COMMON_SIMS', count(*) FROM ({_CI.format('sim', 'e', 2)})) WHERE items > 0""",
+    f"""{_LINK}, n AS (SELECT * FROM (SELECT 'COMMON_NUMBERS' AS alert, count(*) AS items FROM ({_CN}) UNION ALL SELECT 'DIRECT_LINKS', count(*) FROM l UNION ALL SELECT 'COMMON_TOWERS', count(*) FROM ({_CT})
+ UNION ALL SELECT 'COMMON_DEVICES', count(*) FROM ({_CI.format('device', 'e', 2)}) UNION ALL SELECT 'COMMON_SIMS', count(*) FROM ({_CI.format('sim', 'e', 2)})) WHERE items > 0)
+SELECT alert, severity, coalesce(items, 0) AS items, replace(says, '%d', coalesce(items, 0)::VARCHAR) AS observation
+FROM (VALUES {_ALERT_ROWS}) v(alert, severity, says) LEFT JOIN n USING (alert) WHERE items > 0 OR (alert = 'NOTHING_SHARED' AND NOT EXISTS (SELECT * FROM n))""",
 )
 query("cross_pair_overlap", lambda s, d: cross_target.pair_overlap(C(s, d), I.imsi("imsi")), "SELECT a.target AS target_a, b.target AS target_b, count(*) AS shared_items FROM (SELECT DISTINCT target, imsi FROM c) a JOIN (SELECT DISTINCT target, imsi FROM c) b ON a.imsi = b.imsi AND a.target < b.target GROUP BY 1, 2")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import identifiers as I
 from ..operators import sessions as S
 from ..schema import CALLS, IP_EVENTS, SUBSCRIBER_MASTER, conform, rename_aliases
-from .text import CALL_ALIASES, head, quarantine, read_delimited, sniff
+from .text import CALL_ALIASES, head, quarantine, read_delimited, sniff, split_line
 
 # Words by which reports name their operator.
 OPERATORS = ("airtel", "jio", "vodafone", "idea", "vi ", "bsnl")
@@ -189,11 +189,51 @@ def read_number_master(spark: SparkSession, path: str, sep: str | None = None) -
     return conform(one, SUBSCRIBER_MASTER), bad.unionByName(more)
 
 
+#: How values of a cell master look, for files without a header.
+_LOOKS = {
+    "cgi": lambda v: bool(re.fullmatch(r"\d{3}-\d{2,3}-\d{1,6}-\d{1,10}", v.strip())),
+    "latitude": lambda v: _between(v, 6, 38),
+    "longitude": lambda v: _between(v, 67, 98),
+}
+
+
+def _between(value: str, low: float, high: float) -> bool:
+    """Whether a text is a decimal fraction in a range (whole numbers are more likely codes)."""
+    return bool(re.fullmatch(r"\s*\d{1,3}\.\d+\s*", value)) and low <= float(value) <= high
+
+
+def positional_layout(lines: list[str], seps: tuple[str, ...] = (",", "|", "\t", ";", "^")) -> tuple[str, list[str]]:
+    """Separator and names of a cell master without a header: the columns of which most values look like a cell, a latitude
+    and a longitude; the longest text of the others is the address."""
+    for sep in seps:
+        rows = [split_line(x, sep) for x in lines[:200] if x.strip()]
+        width = max((len(r) for r in rows), default=0)
+        columns = [[r[i] for r in rows if i < len(r)] for i in range(width)]
+        names = [f"column_{i}" for i in range(width)]
+        for name, looks in _LOOKS.items():
+            share = [sum(map(looks, c)) / len(c) if names[i].startswith("column_") else 0.0 for i, c in enumerate(columns)]
+            if share and max(share) >= 0.6:
+                names[share.index(max(share))] = name
+        if "cgi" in names:
+            rest = [i for i in range(width) if names[i].startswith("column_")]
+            if rest:
+                names[max(rest, key=lambda i: sum(map(len, columns[i])))] = "address"
+            return sep, names
+    raise ValueError("no column looks like a cell")
+
+
 def read_cell_master(spark: SparkSession, path: str, sep: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Cell master ``(cgi, mcc, mnc, lac, cell_id, latitude, longitude, site, address)`` by key, coordinates in range."""
+    """Cell master ``(cgi, mcc, mnc, lac, cell_id, latitude, longitude, site, address)`` by key, coordinates in range.
+
+    A file without a header is read by how its columns look.
+    """
     from ..operators.common import latest
 
-    skip, found, names = sniff(head(spark, path), ("cgi", "cell", "lat", "lon", "site", "address"))
+    lines = head(spark, path)
+    try:
+        skip, found, names = sniff(lines, ("cgi", "cell", "lat", "lon", "site", "address"))
+    except ValueError:
+        skip, (found, names) = -1, positional_layout(lines)
     good, bad = read_delimited(spark, path, names, sep or found, skip + 1)
     df = rename_aliases(good, CELL_ALIASES)
     for c in ("latitude", "longitude", "site", "address"):

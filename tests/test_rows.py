@@ -98,3 +98,11 @@ def test_totals_do_not_depend_on_order(spark):
     assert len(got) == 1
     one = spark.createDataFrame([(1.00005,), (1.00005,)], "d double").agg(common.average(F.col("d")), common.total("d")).first()
     assert one[:] == (1.0001, 2.0001)
+
+
+def test_cell_master_without_a_header(spark, tmp_path):
+    rows = [f"{i}|Sector {i % 3}, some street {i} of the town|19.{100 + i}|72.{200 + i}|405-51-834-{i}" for i in range(1, 9)]
+    (tmp_path / "c.txt").write_text("\n".join(rows) + "\nbroken|line\n")
+    good, bad = reports.read_cell_master(spark, str(tmp_path / "c.txt"))
+    got = sorted(tuple(r) for r in good.select("cgi", "latitude", "longitude", "address").collect())
+    assert got[0] == ("405-51-834-1", 19.101, 72.201, "Sector 1, some street 1 of the town") and len(got) == 8 and bad.count() == 1
