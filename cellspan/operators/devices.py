@@ -45,7 +45,8 @@ def rule_rows(m: DataFrame, rules: dict[str, tuple[Column, Column]]) -> DataFram
     with the number of rows where none does. A condition reads the value of its own rule as ``v``."""
     one = m.agg(F.count("*").alias("events"), *[v.cast("long").alias(f"r{i}") for i, (v, _) in enumerate(rules.values())])
     row = lambda name, v: F.struct(F.lit(name).alias("indicator"), v.alias("value"))
-    held = [F.transform(F.filter(F.array(F.col(f"r{i}")), lambda v, c=c: c(v)), lambda v, n=n: row(n, v)) for i, (n, (_, c)) in enumerate(rules.items())]
+    rule = lambda i, name, cond: F.transform(F.filter(F.array(F.col(f"r{i}")), lambda v: cond(v)), lambda v: row(name, v))
+    held = [rule(i, name, cond) for i, (name, (_, cond)) in enumerate(rules.items())]
     all_, none = F.flatten(F.array(*held)), F.array(row("NO_INDICATOR", F.col("events")))
     return one.select(F.inline(F.when(F.size(all_) > 0, all_).otherwise(none)))
 
