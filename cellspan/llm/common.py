@@ -49,6 +49,12 @@ def words(text: str) -> str:
     return rf"array_remove(split(coalesce({text}, ''), r'{SPACE}'), '')"
 
 
+def ascii_lower(text: str) -> str:
+    """SQL that lower-cases A-Z of a text column and leaves all other characters (null stays null)."""
+    other = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"case when octet_length({text}) = length({text}) then lower({text}) else {other} end"
+
+
 def let(value: str, name: str, body: str) -> str:
     """SQL that evaluates ``value`` once per row and binds it to ``name`` in ``body``."""
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import boilerplate, bpe, fixity, licenses, mixing, passages, quality, simhash, topk, urls
+from . import boilerplate, bpe, codebooks, decontaminate, fixity, licenses, mixing, passages, quality, simhash, spelling, topk, urls
+from .common import cut
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,6 +104,29 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = cut(spelling.dictionary(_table(spark, sf_dir, "documents")))
+    return spelling.group_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = codebooks.compress(_table(spark, sf_dir, "embeddings"))
+    out = codes.withColumn("codebooks_sha256", F.lit(codebooks.digest(books)))
+    return out.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.contaminated_words(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_mix_sources": op2_mix_sources,
@@ -114,9 +138,46 @@ QUERIES = {
     "op8_merkle_fixity": op8_merkle_fixity,
     "op9_url_filter": op9_url_filter,
     "op10_simhash": op10_simhash,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_decontaminate": op13_decontaminate,
     "pipeline": corpus_pipeline.run,
 }
 
+def _codebook_sql(parts: int = codebooks.PARTS, entries: int = codebooks.ENTRIES, rounds: int = codebooks.ROUNDS) -> str:
+    """All rounds, each as relations of its own; one row for each component."""
+    steps = [
+        rf"""
+WITH k AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor({codebooks.SCALE} * x::DOUBLE)::BIGINT) AS e,
+         row_number() OVER (ORDER BY vec_id, embedding) AS rid
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS (SELECT rid, unnest(e) AS x, unnest(range(0, len(e))) AS i, len(e) // {parts} AS width FROM k),
+v AS (SELECT rid, i // width AS part, i % width AS pos, x FROM u),
+c0 AS (SELECT part, rid - 1 AS entry, pos, x FROM v WHERE rid <= {entries})"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            rf"""
+d{r} AS (SELECT rid, v.part, entry, sum((v.x - c.x) * (v.x - c.x)) AS d FROM v JOIN c{r} c ON v.part = c.part AND v.pos = c.pos GROUP BY ALL),
+r{r} AS (SELECT *, row_number() OVER (PARTITION BY rid, part ORDER BY d, entry) AS place FROM d{r}),
+a{r} AS (SELECT rid, part, entry, d FROM r{r} WHERE place = 1)"""
+        )
+        if r < rounds:
+            steps.append(
+                rf"""
+s{r} AS (SELECT v.part, entry, pos, sum(x)::BIGINT AS s, count(*)::BIGINT AS n FROM v JOIN a{r} a ON v.rid = a.rid AND v.part = a.part GROUP BY ALL),
+c{r + 1} AS (SELECT c.part, c.entry, c.pos, CASE WHEN n IS NULL THEN x ELSE (s - ((s % n) + n) % n) // n END AS x
+        FROM c{r} c LEFT JOIN s{r} s ON c.part = s.part AND c.entry = s.entry AND c.pos = s.pos)"""
+            )
+    last = rf"""
+f AS (SELECT rid, string_agg(lpad(lower(to_hex(entry)), 2, '0'), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY rid)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, pos)) FROM c{rounds}) AS codebooks_sha256
+FROM f JOIN k USING (rid)"""
+    return ",".join([*steps, last])
+
+
 #: The canonical form of a text for DuckDB; its engine needs the options of a pattern apart.
 _CANON = (
     r"regexp_replace(lower({0}), '(?m)^[^\p{{L}}\p{{N}}\n]*(copyright\b[^\n]*([0-9]{{4}}|\(c\)|©)|\(c\)|©|all rights reserved)[^\n]*$', '', 'g')"
@@ -234,4 +295,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
             OR word_chars < 3 * n_words OR word_chars > 10 * n_words OR 10 * n_letters < 8 * n_words
             OR 10 * n_dup_lines > 3 * n_lines OR 10 * n_broken > 3 * n_lines OR 10 * n_listed > 9 * n_lines) AS kept
 FROM c""",
+    "op12_vector_codes": _codebook_sql(),
+    "op13_decontaminate": r"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+s AS (SELECT item_id, w, unnest(range(0, greatest(0, len(w) - 10) + 1)) AS i FROM b WHERE len(w) > 0),
+x AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i + 1:i + 10], ' ') AS g FROM s),
+y AS (SELECT row, n, w, unnest(range(0, len(w) - n + 1)) AS i FROM t, (SELECT DISTINCT n FROM x) WHERE len(w) >= n),
+z AS (SELECT row, n, i, array_to_string(w[i + 1:i + n], ' ') AS g FROM y),
+m AS (SELECT row, z.n, i, item_id FROM z JOIN x ON z.g = x.g AND z.n = x.n),
+h AS (SELECT row, count(DISTINCT j)::BIGINT AS n_hit FROM (SELECT row, unnest(range(i, i + n)) AS j FROM (SELECT DISTINCT row, n, i FROM m)) GROUP BY row),
+o AS (SELECT row, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT row, item_id::VARCHAR AS item FROM m WHERE item_id IS NOT NULL) GROUP BY row)
+SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM t LEFT JOIN h USING (row) LEFT JOIN o USING (row)""",
 }
