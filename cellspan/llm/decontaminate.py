@@ -33,14 +33,15 @@ def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", w
 
 def _shingles(df: DataFrame, array: str, size: int, *keep: str) -> DataFrame:
     """``df`` exploded into the shingles of an array of words: position ``i`` and hash ``h``."""
-    at = df.where(f"size({array}) >= {size}").select(*keep, array, F.explode(F.expr(f"sequence(0, size({array}) - {size})")).alias("i"))
+    # A condition in the generator and not a filter, for a filter would make Spark split the text twice.
+    at = df.select(*keep, array, F.explode(F.expr(f"case when size({array}) >= {size} then sequence(0, size({array}) - {size}) end")).alias("i"))
     return at.select("*", F.xxhash64(F.lit(size), *[F.expr(f"{array}[i + {k}]") for k in range(size)]).alias("h"))
 
 
 def passages(items: DataFrame, docs_words: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """``(passages, members)``: what of the items is looked for, each at its rarest shingle.
 
-    A window is contained only as a whole, so of its shingles, in order of rarity in all of ``docs_words (w)``, the prefix that
+    A window is contained only as a whole, so of its shingles, in order of rarity in all of ``docs_words (w)`` and of hash, the prefix that
     a join needs is the first one. Equal windows of all items are one; neighbouring ones of a text that have their rarest
     shingle in common, and occur in the same items, are one passage ``(h, size, w, at, need, set)``: its words, the place of
     the shingle in them and the words of a window; ``h`` hashes the ``size`` words of the shingle (fewer than ``shingle`` only
@@ -64,7 +65,7 @@ def passages(items: DataFrame, docs_words: DataFrame, window: int = WINDOW, shin
         counts = _shingles(docs_words, "w", size).select("h").join(maybe_broadcast(wanted, MAX_PASSAGES), "h", "left_semi").groupBy("h").agg(F.count("*").alias("c"))
         # A window one of whose shingles is in no document occurs in none.
         known = own.join(maybe_broadcast(cut(counts), MAX_PASSAGES), "h").groupBy("text_hash", "start", "need", "set").agg(
-            F.count("*").alias("n"), F.min(F.struct("c", "i", "h")).alias("r"), F.first("w").alias("w")
+            F.count("*").alias("n"), F.min(F.struct("c", "h", "i")).alias("r"), F.first("w").alias("w")
         )
         rare = known.where(f"n = need - {size} + 1").select(
             "text_hash", "start", "need", "set", "w", F.lit(size).alias("size"), (F.col("start") + F.col("r.i")).alias("q"), F.col("r.h").alias("h")
@@ -85,8 +86,11 @@ def passages(items: DataFrame, docs_words: DataFrame, window: int = WINDOW, shin
     return cut(out.select("h", "size", "p.w", (F.col("q") - F.col("p.start")).alias("at"), "need", "set").distinct()), members
 
 
-#: Whether the words of a passage (w, at) and of a document (d, i) agree, by place in the passage.
-_SAME = "transform(w, (x, k) -> coalesce(get(d, i - at + k) = x, false))"
+#: The words of a document (d, i) that lie over those of a passage (w, at); fewer where the document begins or ends.
+_AROUND = "slice(d, greatest(1, i - at + 1), least(size(d), i - at + size(w)) - greatest(0, i - at))"
+
+#: Whether they agree, by place in the passage.
+_SAME = "transform(w, (x, k) -> coalesce(get(around, k - greatest(0, at - i)) = x, false))"
 
 
 def occurrences(docs_words: DataFrame, wanted: DataFrame, keep: tuple[str, ...]) -> DataFrame:
@@ -102,12 +106,16 @@ def occurrences(docs_words: DataFrame, wanted: DataFrame, keep: tuple[str, ...])
         docs = docs_words.withColumnRenamed("w", "d")
         bound = "least(i, at) + least(size(d) - i, size(w) - at) >= need"
         n, size_of = listed.agg(F.count("*"), F.sum(F.octet_length(F.array_join("w", " ")))).first()
+        columns = [*keep, "i", "at", "w", "need", "set"]
         if n <= MAX_PASSAGES and (size_of or 0) <= MAX_BYTES:
-            found = _shingles(docs, "d", size, *keep).join(F.broadcast(listed), "h").where(bound)
+            met = _shingles(docs, "d", size, *keep).join(F.broadcast(listed), "h")
         else:
             # Too many passages: positions meet them in a shuffle without their texts, which follow by row afterwards.
-            met = _shingles(docs, "d", size, *keep).select(*keep, "i", "h").join(listed, "h")
-            found = met.join(docs, [met[k].eqNullSafe(docs[k]) for k in keep]).select(*[met[c] for c in met.columns], "d").where(bound)
+            placed = _shingles(docs, "d", size, *keep).select(*keep, "i", "h").join(listed, "h")
+            met = placed.join(docs, [placed[k].eqNullSafe(docs[k]) for k in keep]).select(*[placed[c] for c in columns], "d")
+        # The few words around a candidate are written before they are compared: a comparison inside of the join would
+        # keep Spark from compiling it, and make it copy all words of a document for each of its places.
+        found = cut(met.where(bound).select(*columns, F.expr(_AROUND).alias("around")))
         agree = found.withColumn("same", F.expr(_SAME))
         before = "coalesce(nullif(array_position(reverse(slice(same, 1, at)), false), 0) - 1, at)"
         after = "coalesce(nullif(array_position(slice(same, at + 1, size(same)), false), 0) - 1, size(same) - at)"
