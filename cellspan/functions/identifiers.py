@@ -327,10 +327,18 @@ TIME_FORMATS = (
 )
 
 
+#: The same layouts with the month first in numeric dates.
+MONTH_FIRST = tuple(f.replace("dd-MM-", "MM-dd-").replace("dd/MM/", "MM/dd/").replace("dd.MM.", "MM.dd.") for f in TIME_FORMATS)
+
+
 def event_time(c: Column | str, formats: tuple[str, ...] = TIME_FORMATS) -> Column:
-    """Naive timestamp from text by the first layout that fits, else null."""
+    """Naive timestamp from text by the first layout that fits, else null; a number from 20000 to 80000 is a day of a
+    spreadsheet (counted from 1899-12-30)."""
     t = F.btrim(text(c), F.lit("'\""))
-    return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in formats]).cast("timestamp_ntz")
+    n = F.when(t.rlike(r"^[2-8]\d{4}(\.\d+)?$"), t.try_cast("double"))
+    day = F.when(n <= 80_000, F.floor(n).cast("int"))
+    serial = F.lit("1899-12-30").cast("timestamp_ntz") + F.make_dt_interval(day, F.lit(0), F.lit(0), F.round((n - day) * 86_400).cast("decimal(18,6)"))
+    return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in formats], serial).cast("timestamp_ntz")
 
 
 def port_text(c: Column | str) -> Column:

@@ -52,17 +52,19 @@ SUBSCRIBER_MASTER = _schema(
 PARTS = _schema("part_no int, part_name string, start_time timestamp_ntz, end_time timestamp_ntz, spot_id string")
 
 
-def row_id() -> Column:
-    """Id of a loaded row: a hash of its file and row, the same whenever the file is read."""
-    return F.when(F.col("source_file").isNotNull() & F.col("source_row").isNotNull(), F.xxhash64("source_file", "source_row"))
+def row_id(file: str = "source_path") -> Column:
+    """Id of a loaded row: a hash of its file's whole path and its row, the same whenever the file is read from there."""
+    return F.when(F.col(file).isNotNull() & F.col("source_row").isNotNull(), F.xxhash64(file, "source_row"))
 
 
 def conform(df: DataFrame, schema: T.StructType, keep: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with exactly the columns of ``schema``, and those of ``keep`` that it has: cast where they exist, typed nulls
-    where they do not. Rows without an ``event_id`` column get ``row_id`` where their file and row are known."""
+    where they do not. Rows without an ``event_id`` column get ``row_id`` where their file and row are known, by the path
+    where that is known."""
     have = set(df.columns)
-    if "event_id" not in have and {"source_file", "source_row"} <= have:
-        df, have = df.withColumn("event_id", row_id()), have | {"event_id"}
+    file = "source_path" if "source_path" in have else "source_file"
+    if "event_id" not in have and {file, "source_row"} <= have:
+        df, have = df.withColumn("event_id", row_id(file)), have | {"event_id"}
     fields = [(F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema]
     return df.select(*fields, *[c for c in keep if c in have and c not in schema.names])
 

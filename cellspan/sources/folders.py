@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -62,18 +60,26 @@ MANIFEST = "sha256 string, path string, status string, rows long"
 def ingest(spark: SparkSession, folder: str, target: str, manifest_path: str, read) -> DataFrame:
     """Add what ``read(paths) -> DataFrame`` makes of new files to the Parquet table ``target``, and log them.
 
-    The manifest is keyed by the digest of a file's bytes, so a second run loads nothing again. Each batch of files has a
-    partition ``load`` of its own, named by their digests and overwritten: a run that ended between its rows and its log
-    entry writes the same partition again. Returns the new entries.
+    The manifest is keyed by the digest of a file's bytes, so a second run loads nothing again. The rows of a file have a
+    partition ``load`` of their own, named by its digest and overwritten: a run that ended between its rows and its log entry
+    writes the same partitions again, whatever files have come since. Files are read in batches if their rows say where they
+    are from (``source_path``), else one by one. Returns the new entries.
     """
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(manifest_path)
     fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     manifest = spark.read.schema(MANIFEST).parquet(manifest_path) if fs.exists(hadoop) else spark.createDataFrame([], MANIFEST)
     entries, batch = [], []
+    name = lambda r: f"b{r['sha256'][:32]}"
 
     def load(batch):
-        name = hashlib.sha256("".join(sorted(r["sha256"] for r in batch)).encode()).hexdigest()[:32]
-        read([r["path"] for r in batch]).write.mode("overwrite").parquet(f"{target}/load=b{name}")
+        rows = read([r["path"] for r in batch])
+        if "source_path" in rows.columns:
+            of = spark.createDataFrame([(r["path"], name(r)) for r in batch], "source_path string, load string")
+            named = rows.join(F.broadcast(of), "source_path")  # at most BATCH files
+            named.write.partitionBy("load").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(target)
+        else:
+            for r in batch:
+                read([r["path"]]).write.mode("overwrite").parquet(f"{target}/load={name(r)}")
         new = [(r["sha256"], r["path"], "LOADED", None) for r in batch]
         spark.createDataFrame(new, MANIFEST).coalesce(1).write.mode("append").parquet(manifest_path)
         entries.extend(new)

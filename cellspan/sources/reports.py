@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import identifiers as I
 from ..operators import sessions as S
 from ..schema import CALLS, IP_EVENTS, SUBSCRIBER_MASTER, conform, rename_aliases
-from .text import CALL_ALIASES, head, quarantine, read_delimited, sniff, split_line
+from .text import CALL_ALIASES, first_header, head, quarantine, read_delimited, sniff, split_line, with_names, with_times
 
 # Words by which reports name their operator.
 OPERATORS = ("airtel", "jio", "vodafone", "idea", "vi ", "bsnl")
@@ -119,18 +119,17 @@ def I_KIND(value: str) -> str:  # noqa: N802
     return {14: "BASE14", 15: "IMEI15", 16: "IMEISV16"}.get(len(value), "UNKNOWN")
 
 
-def read_tower_dump(spark: SparkSession, path: str, sample: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Tower dump in the ``CALLS`` schema, and its rejects.
+TOWER_COLUMNS = ("subscriber_number", "a_party", "b_party", "call_type", "service_type", "call_date", "call_time", "call_duration", "imei", "imsi", "first_cell_id", "last_cell_id", "searched_cell_id")
+
+
+def tower_from(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(accepted, rejected)``: tower records from rows under canonical names with ``stated_operator`` and ``stated_cell``.
 
     Where a report has parties but no subscriber, the subscriber is the one of the searched tower: the B party of what
     comes in, else the A party. Rows without a time, or without a subscriber and a device, are rejected.
     """
-    lines = head(spark, sample or path)
-    skip, sep, names = sniff(lines, ("party", "msisdn", "subscriber", "cell", "cgi", "imei", "imsi", "date", "time", "type"))
-    stated = preamble(lines[:skip])
-    good, bad = read_delimited(spark, path, names, sep, skip + 1)
-    df = rename_aliases(good, TOWER_ALIASES)
-    for c in ("subscriber_number", "a_party", "b_party", "call_type", "service_type", "call_date", "call_time", "call_duration", "imei", "imsi", "first_cell_id", "last_cell_id", "searched_cell_id"):
+    df = rows
+    for c in TOWER_COLUMNS:
         df = df.withColumn(c, I.without_null_tokens(c) if c in df.columns else F.lit(None).cast("string"))
     kind = I.canonical_call_type("call_type", "service_type")
     inward = kind.isin("incoming", "smsin")
@@ -140,31 +139,46 @@ def read_tower_dump(spark: SparkSession, path: str, sample: str | None = None) -
             "_sub": F.coalesce("subscriber_number", F.when(inward, F.col("b_party")).otherwise(F.col("a_party"))),
             "_other": F.when(inward, F.col("a_party")).otherwise(F.col("b_party")),
             "call_type": kind,
-            "call_datetime": I.event_time(F.concat_ws(" ", "call_date", "call_time")),
+            "call_datetime": F.concat_ws(" ", "call_date", "call_time"),
             "call_duration": I.duration_seconds("call_duration"),
             "imei": I.imei("imei"),
             "imsi": I.imsi("imsi"),
-            "operator": F.lit(stated["operator"]),
-            "searched_cell_id": F.coalesce("searched_cell_id", F.lit(stated["searched_cell_id"])),
+            "operator": F.col("stated_operator"),
+            "searched_cell_id": F.coalesce("searched_cell_id", "stated_cell"),
         }
     ).withColumns({"subscriber_number": phone("_sub"), "other_party": phone("_other")})
+    df = with_times(df, ["call_datetime"])
     no_one = F.col("subscriber_number").isNull() | (F.col("subscriber_number") == "")
-    accepted, more = quarantine(df, F.col("call_datetime").isNull() | (no_one & (F.col("imei") == "")), "NO_TIME_OR_IDENTITY")
+    return quarantine(df, F.col("call_datetime").isNull() | (no_one & (F.col("imei") == "")), "NO_TIME_OR_IDENTITY")
+
+
+def read_tower_dump(spark: SparkSession, path: str, sample: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Tower dump in the ``CALLS`` schema, and its rejects (``tower_from``). Dates are read by one layout per file."""
+    lines = head(spark, sample or path)
+    known = with_names(TOWER_ALIASES, *TOWER_COLUMNS)
+    skip, sep, names = first_header(lines, ("party", "msisdn", "subscriber", "cell", "cgi", "imei", "imsi", "date", "time", "type"), known)
+    stated = preamble(lines[:skip])
+    good, bad = read_delimited(spark, path, names, sep, skip + 1, known, with_path=True)
+    df = rename_aliases(good, TOWER_ALIASES).withColumns(
+        {"stated_operator": F.lit(stated["operator"]), "stated_cell": F.lit(stated["searched_cell_id"])}
+    )
+    accepted, more = tower_from(df)
     return conform(accepted, CALLS), bad.unionByName(more)
 
 
-def read_ip_events(spark: SparkSession, path: str, sample: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """IP-detail events in their schema, and rejects. Banner and footer rows have no time and are rejected."""
-    skip, sep, names = sniff(head(spark, sample or path), ("ip", "port", "msisdn", "mobile", "start", "end", "time", "cell", "imei", "imsi"))
-    good, bad = read_delimited(spark, path, names, sep, skip + 1)
-    df = rename_aliases(good, IP_ALIASES)
-    have = set(df.columns)
-    times = {c: I.event_time(c) for c in ("event_time", "allocation_start", "allocation_end") if c in have}
-    ips = {c: I.canonical_ip(c) for c in ("source_ip", "translated_ip", "destination_ip") if c in have}
-    df = df.withColumns(times | ips)
-    if "event_time" not in have and "allocation_start" in have:
-        df = df.withColumn("event_time", F.col("allocation_start"))
-    df = conform(df, IP_EVENTS, ("source_row", "source_row_end"))
+IP_COLUMNS = ("subscriber_number", "imei", "imsi", "event_time", "allocation_start", "allocation_end", "source_ip", "translated_ip", "destination_ip")
+
+
+def ip_events_from(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(accepted, rejected)``: IP events from rows under canonical names with their ``section_columns``. Where a section has
+    no time of events, the start of the allocation is taken; rows without a time are rejected."""
+    times = [c for c in ("event_time", "allocation_start", "allocation_end") if c in rows.columns]
+    ips = {c: I.canonical_ip(c) for c in ("source_ip", "translated_ip", "destination_ip") if c in rows.columns}
+    df = with_times(rows, times).withColumns(ips)
+    if "allocation_start" in times:
+        own = F.col("section_columns").contains(",event_time,")
+        df = df.withColumn("event_time", F.when(own, F.col("event_time")).otherwise(F.col("allocation_start")) if "event_time" in times else F.col("allocation_start"))
+    df = conform(df, IP_EVENTS, ("source_row", "source_row_end", "source_path"))
     key = I.stable_key("subscriber_number", "source_ip", "translated_ip", "allocation_start", "allocation_end")
     df = df.withColumns(
         {
@@ -173,8 +187,17 @@ def read_ip_events(spark: SparkSession, path: str, sample: str | None = None) ->
             "cell_transition_type": I.cell_transition("first_cell_id", "last_cell_id", "searched_cell_id"),
         }
     )
-    accepted, more = quarantine(df, F.col("event_time").isNull(), "NO_EVENT_TIME")
-    return accepted.drop("source_row", "source_row_end"), bad.unionByName(more)
+    return quarantine(df, F.col("event_time").isNull(), "NO_EVENT_TIME")
+
+
+def read_ip_events(spark: SparkSession, path: str, sample: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """IP-detail events in their schema, and rejects. Banner and footer rows have no time and are rejected; dates are read
+    by one layout per file, sections each by their header."""
+    known = with_names(IP_ALIASES, *IP_COLUMNS)
+    skip, sep, names = first_header(head(spark, sample or path), ("ip", "port", "msisdn", "mobile", "start", "end", "time", "cell", "imei", "imsi"), known)
+    good, bad = read_delimited(spark, path, names, sep, skip + 1, known, with_path=True)
+    accepted, more = ip_events_from(rename_aliases(good, IP_ALIASES))
+    return accepted.drop("source_row", "source_row_end", "source_path"), bad.unionByName(more)
 
 
 def read_number_master(spark: SparkSession, path: str, sep: str | None = None) -> tuple[DataFrame, DataFrame]:

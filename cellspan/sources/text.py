@@ -59,19 +59,57 @@ def sniff(lines: list[str], keywords: tuple[str, ...], seps: tuple[str, ...] = (
     return best[1], best[2], [x.strip().strip('"') for x in best[3]]
 
 
-def read_delimited(
-    spark: SparkSession, path: str | list[str], names: list[str], sep: str = ",", skip: int = 1, source: str | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """``(accepted, rejected)``: rows of text files that share a header, and the ledger of those that do not fit it.
+def base_name(path):
+    return F.regexp_extract(path, "([^/]+)$", 1)
+
+
+#: Lines above the first header of a file that are taken as its preamble; more of them are rejected.
+PREAMBLE_LINES = 200
+
+SEPARATORS = (",", "|", "\t", ";", "^")
+
 
-    Files are read whole as bytes (a quoted field may hold line breaks and the encoding is found per file), one file per
-    task, and parsed in a stream of batches. Short rows are filled up with nulls and blank trailing extras are dropped;
-    a row with more fields that are not blank goes to the ledger with its first and last physical line and the SHA-256
-    of its fields as JSON. Accepted rows carry ``source_file``, ``source_row`` and ``source_row_end``.
+def is_header(fields: list[str], known: set[str], aliases: dict[str, str]) -> bool:
+    """Whether a row names columns: most of its fields that are not blank, and two at least, are known names."""
+    names = [snake(x) for x in fields if x.strip()]
+    hits = sum(aliases.get(n, n) in known for n in names)
+    return hits >= 2 and 5 * hits >= 3 * len(names)
+
+
+def first_header(lines: list[str], keywords: tuple[str, ...], aliases: dict[str, str]) -> tuple[int, str, list[str]]:
+    """As ``sniff``, but the first line that names columns, where the one with most keywords heads a later section."""
+    at, sep, names = sniff(lines, keywords)
+    for i, line in enumerate(lines[:at]):
+        if is_header(fields := split_line(line, sep), set(aliases.values()), aliases):
+            return i, sep, [x.strip().strip('"') for x in fields]
+    return at, sep, names
+
+
+def parsed_rows(
+    spark: SparkSession, path: str | list[str], names: list[str], sep: str | None, skip: int, aliases: dict[str, str] | None = None
+) -> tuple[DataFrame, list[str]]:
+    """``(rows, columns)``: every row of text files with its place, ``reason`` (null: data) and fields ``f0, f1 ...``.
+
+    Files are read whole as bytes, one file per task, and parsed in a stream of batches. With ``aliases`` a file may have
+    several sections: a row in which most fields are known names is a header, and the rows below are read by it, up to the
+    next one. ``names`` is the header of the first section, above which ``skip`` lines are left out; if it is empty, the
+    first header is looked for as well, and the lines above it have the reason PREAMBLE (beyond ``PREAMBLE_LINES`` of
+    them NO_HEADER). Columns that ``names`` lacks follow under their canonical names; fields that no name is known for are
+    kept in ``more_fields`` as JSON. ``section_columns``: the canonical names of a row's header, between commas. Without
+    ``sep`` it is the one under which a line of the file is a header.
     """
     names = dedupe_names(names)
-    width = len(names)
-    fields = ", ".join(f"`f{i}` string" for i in range(width))
+    own = len(names)
+    canonical = lambda n: (aliases or {}).get(snake(n), snake(n))
+    slots: dict[str, list[int]] = {}
+    for i, n in enumerate(names):
+        slots.setdefault(canonical(n.rsplit(".", 1)[0] if n.rsplit(".", 1)[-1].isdigit() else n), []).append(i)
+    for n in dict.fromkeys((aliases or {}).values()):
+        if n not in slots:
+            slots[n] = [len(names)]
+            names.append(n)
+    width, known = len(names), set(slots)
+    out_names = ["path", "section", "source_row", "source_row_end", "reason", "json", "section_columns", "more_fields", *[f"f{i}" for i in range(width)]]
 
     def parse(batches):
         import csv
@@ -80,76 +118,166 @@ def read_delimited(
 
         import pyarrow as pa
 
-        out_names = ["source_file", "source_row", "source_row_end", "reason", "json", *[f"f{i}" for i in range(width)]]
-        types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.string()] * width]
+        types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), *[pa.string()] * (4 + width)]
 
         def flush(rows):
-            cols = list(zip(*rows))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], out_names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], out_names)
+
+        def separator(text):
+            heads = [x for _, x in zip(range(PREAMBLE_LINES), io.StringIO(text))]
+            for s in SEPARATORS:
+                if any(is_header(r, known, aliases) for r in csv.reader(heads, delimiter=s)):
+                    return s
+            return ","
+
+        def header(fields):
+            """For each field of a header the place of its values, or none."""
+            used, at = {}, []
+            for n in fields:
+                free = slots.get(canonical(n), [])[used.get(canonical(n), 0) :]
+                used[canonical(n)] = used.get(canonical(n), 0) + 1
+                at.append(free[0] if free else None)
+            return at
+
+        def rows_of(file, text):
+            reader = csv.reader(io.StringIO(text, newline=""), delimiter=sep or separator(text))
+            last, section, above = 0, int(own > 0), 0
+            at, fields = list(range(own)), names[:own]
+            columns = "," + ",".join(map(canonical, fields)) + "," if aliases else None
+            for r in reader:
+                first, last = last + 1, reader.line_num
+                if first <= skip or not any(x.strip() for x in r):
+                    continue
+                place = (file, section, first, last)
+                if aliases and is_header(r, known, aliases):
+                    section, at, fields = section + 1, header(r), r
+                    columns = "," + ",".join(map(canonical, r)) + ","
+                    continue
+                if not section:
+                    above += 1
+                    yield (*place, "PREAMBLE" if above <= PREAMBLE_LINES else "NO_HEADER", json.dumps(r, ensure_ascii=False), None, None, *[None] * width)
+                    continue
+                while len(r) > len(at) and not r[-1].strip():
+                    r.pop()
+                if len(r) > len(at):
+                    yield (*place, "FIELD_COUNT_MISMATCH", json.dumps(r, ensure_ascii=False), columns, None, *[None] * width)
+                    continue
+                out, more = [None] * width, {}
+                for value, slot, name in zip(r, at, fields):
+                    if slot is not None:
+                        out[slot] = value
+                    elif value.strip():
+                        more[name.strip()] = value
+                yield (*place, None, None, columns, json.dumps(more, ensure_ascii=False) if more else None, *out)
 
         for b in batches:
             for file, raw in zip(b.column(0).to_pylist(), b.column(1)):
-                lines = io.StringIO(decode(raw.as_py()), newline="")
-                reader = csv.reader(lines, delimiter=sep)
-                rows, last = [], 0
-                for r in reader:
-                    first, last = last + 1, reader.line_num
-                    if first <= skip or not any(x.strip() for x in r):
-                        continue
-                    while len(r) > width and not r[-1].strip():
-                        r.pop()
-                    if len(r) > width:
-                        rows.append((file, first, last, "FIELD_COUNT_MISMATCH", json.dumps(r, ensure_ascii=False), *[None] * width))
-                    else:
-                        rows.append((file, first, last, None, None, *r, *[None] * (width - len(r))))
+                rows = []
+                for r in rows_of(file, decode(raw.as_py())):
+                    rows.append(r)
                     if len(rows) >= 5000:
                         yield flush(rows)
                         rows = []
                 if rows:
                     yield flush(rows)
 
-    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "([^/]+)$", 1).alias("f"), "content")
-    schema = f"source_file string, source_row long, source_row_end long, reason string, json string, {fields}"
-    parsed = files.mapInArrow(parse, schema)
-    place = ["source_file", "source_row", "source_row_end"]
-    good = parsed.where("reason is null").select(*[F.col(f"f{i}").alias(n) for i, n in enumerate(names)], *place)
-    return good, ledger(parsed.where("reason is not null"), "json", F.col("reason"))
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    texts = ", ".join(f"`{n}` string" for n in out_names[4:])
+    return files.mapInArrow(parse, f"path string, section int, source_row long, source_row_end long, {texts}"), names
+
+
+def read_delimited(
+    spark: SparkSession,
+    path: str | list[str],
+    names: list[str],
+    sep: str = ",",
+    skip: int = 1,
+    aliases: dict[str, str] | None = None,
+    with_path: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """``(accepted, rejected)``: rows of text files that share a header, and the ledger of those that do not fit it.
+
+    Files are read whole (a quoted field may hold line breaks and the encoding is found per file). Short rows are filled up
+    with nulls and blank trailing extras are dropped; a row with more fields that are not blank goes to the ledger with its
+    first and last physical line and the SHA-256 of its fields as JSON. Accepted rows carry ``source_file``, ``source_row``
+    and ``source_row_end``; ``with_path`` adds ``source_path``, which tells files of one name apart. With ``aliases`` the
+    sections of a report are read each by its header (``parsed_rows``), and rows carry ``section_columns`` and
+    ``more_fields``.
+    """
+    rows, names = parsed_rows(spark, path, names, sep, skip, aliases)
+    rows = rows.withColumn("source_file", base_name("path")).withColumnRenamed("path", "source_path")
+    place = ["source_file", "source_row", "source_row_end"] + ["source_path"] * with_path + ["section_columns", "more_fields"] * (aliases is not None)
+    good = rows.where("reason is null").select(*[F.col(f"f{i}").alias(n) for i, n in enumerate(names)], *place)
+    return good, ledger(rows.where("reason is not null"), "json", F.col("reason"))
 
 
 def fields_of(line: str, sep: str):
-    """Column of the fields of a line: quoted ones without their quotes, empty ones as null."""
+    """Column of the fields of a line: quoted ones without their quotes and with what follows these, empty ones as null."""
     s = re.escape(sep)
-    raw = F.regexp_extract_all(F.concat(F.lit(sep), F.col(line)), F.lit(f'{s}("(?:[^"]++|"")*+"|[^{s}]*+)'), F.lit(1))
-    plain = lambda x: F.when(x.startswith('"') & x.endswith('"') & (F.length(x) > 1), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x)
-    return F.transform(raw, lambda x: F.when(x != "", plain(x)))
+    raw = F.regexp_extract_all(F.concat(F.lit(sep), F.col(line)), F.lit(f'{s}("(?:[^"]++|"")*+"[^{s}]*+|[^{s}]*+)'), F.lit(1))
+    quoted = '^"((?:[^"]++|"")*+)"(.*)$'
+    inner = lambda x: F.concat(F.replace(F.regexp_extract(x, quoted, 1), F.lit('""'), F.lit('"')), F.regexp_extract(x, quoted, 2))
+    return F.transform(raw, lambda x: F.when(x != "", F.when(x.rlike(quoted), inner(x)).otherwise(x)))
 
 
 def read_lines(
-    spark: SparkSession, path: str | list[str], names: list[str], sep: str = ",", skip: int = 1
+    spark: SparkSession, path: str | list[str], names: list[str], sep: str = ",", skip: int = 1, with_path: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """As ``read_delimited`` for UTF-8 files without line breaks in fields, of any size: files are split over tasks.
 
     A line's number is its place in its split plus the lines of the splits before it in the file, which are counted in a
-    pass of their own, a few numbers per file. Only the lines up to ``skip`` of each file are left out as header. All
-    fields of a line are looked at: a row with more than the header has, of which one is not blank, is rejected whole.
+    pass of their own, a few numbers per file; files are told apart by their whole path. Only the lines up to ``skip`` of
+    each file are left out as header. All fields of a line are looked at: a row with more than the header has, of which one
+    is not blank, is rejected whole, and so is one with a quote that opens a field and is not closed.
     """
     names = dedupe_names(names)
     width = len(names)
-    file = F.regexp_extract("_metadata.file_path", "([^/]+)$", 1)
+    file = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
     lines = spark.read.text(path).select(
-        "value", file.alias("source_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")
+        "value", F.regexp_replace(file, "^file:/+", "file:/").alias("source_path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")
     )
-    w = Window.partitionBy("source_file").orderBy("block")
-    splits = lines.groupBy("source_file", "block").agg(F.min("at").alias("lo"), F.count("*").alias("n"))
+    w = Window.partitionBy("source_path").orderBy("block")
+    splits = lines.groupBy("source_path", "block").agg(F.min("at").alias("lo"), F.count("*").alias("n"))
     splits = splits.withColumn("before", F.sum("n").over(w) - F.col("n")).drop("n")
-    placed = lines.join(splits, ["source_file", "block"]).withColumn("source_row", F.col("at") - F.col("lo") + F.col("before") + 1)
+    placed = lines.join(splits, ["source_path", "block"]).withColumn("source_row", F.col("at") - F.col("lo") + F.col("before") + 1)
+    placed = placed.withColumn("source_file", base_name("source_path"))
     rows = placed.where((F.col("source_row") > skip) & (F.trim("value") != "")).withColumn("_r", fields_of("value", sep))
     extra = F.exists(F.slice("_r", width + 1, 1 << 30), lambda x: F.trim(F.coalesce(x, F.lit(""))) != "")
-    good = rows.where(~extra).select(
-        *[F.try_element_at("_r", F.lit(i + 1)).alias(n) for i, n in enumerate(names)], "source_file", "source_row", F.col("source_row").alias("source_row_end")
-    )
-    bad = rows.where(extra).withColumn("_json", F.to_json(F.transform("_r", lambda x: F.coalesce(x, F.lit("")))))
-    return good, ledger(bad, "_json", F.lit("FIELD_COUNT_MISMATCH"))
+    s = re.escape(sep)
+    opened = F.concat(F.lit(sep), F.col("value")).rlike(f'^(?:{s}(?:"(?:[^"]++|"")*+"[^{s}]*+|(?!")[^{s}]*+))*+{s}"')
+    reason = F.when(opened, "UNCLOSED_QUOTE").when(extra, "FIELD_COUNT_MISMATCH")
+    rows = rows.withColumn("_reason", reason)
+    good = rows.where("_reason is null").select(
+        *[F.try_element_at("_r", F.lit(i + 1)).alias(n) for i, n in enumerate(names)],
+        "source_file", "source_row", F.col("source_row").alias("source_row_end"), *["source_path"] * with_path,
+    )
+    bad = rows.where("_reason is not null").withColumn("_json", F.to_json(F.transform("_r", lambda x: F.coalesce(x, F.lit("")))))
+    return good, ledger(bad, "_json", F.col("_reason"))
+
+
+#: Layouts of a numeric date, by which number comes first.
+_NUMERIC = r"^['\"]?(\d{1,2})[-/.](\d{1,2})[-/.]\d{4}"
+
+
+def with_times(df: DataFrame, columns: list[str], by: str = "source_path") -> DataFrame:
+    """``df`` with its text columns ``columns`` read as times, each by one layout per file.
+
+    If a column of a file holds a date whose first number cannot be a month, and none whose second cannot be one, its
+    numeric dates are day-first; in the opposite case they are month-first; without such dates, or with both kinds, an
+    ambiguous date is day-first and another one what it can only be. Names of months, and years that come first, leave no
+    choice.
+    """
+    from ..functions import identifiers as I
+    from ..operators.common import broadcast_if_small
+
+    if not columns:
+        return df
+    number = lambda c, i: F.regexp_extract(I.text(c), _NUMERIC, i).try_cast("int")
+    over = lambda c, i: F.coalesce(F.bool_or((number(c, i) > 12) & (number(c, 3 - i) <= 12)), F.lit(False))
+    orders = df.groupBy(by).agg(*[(over(c, 2) & ~over(c, 1)).alias(f"_m_{c}") for c in columns])
+    out = df.join(broadcast_if_small(orders), by, "left")
+    read = lambda c: F.when(F.col(f"_m_{c}"), F.coalesce(I.event_time(c, I.MONTH_FIRST), I.event_time(c))).otherwise(F.coalesce(I.event_time(c), I.event_time(c, I.MONTH_FIRST)))
+    return out.withColumns({c: read(c) for c in columns}).drop(*[f"_m_{c}" for c in columns])
 
 
 def ledger(rows: DataFrame, json_col: str, reason) -> DataFrame:
@@ -207,29 +335,44 @@ CALL_ALIASES = {
 }
 
 
-def read_calls(spark: SparkSession, path: str, sample: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Call records of files with one layout: header found among preamble lines, aliases mapped, values cleaned.
+CALL_COLUMNS = ("a_party", "b_party", "call_type", "service_type", "call_date", "call_time", "call_duration", "imei", "imsi", "first_cell_id", "last_cell_id", "roaming_circle")
 
-    ``sample`` names the file whose header is sniffed (by default ``path``). Rows without time and parties are rejected.
-    """
+
+def with_names(aliases: dict[str, str], *columns: str) -> dict[str, str]:
+    """``aliases`` in which the canonical names stand for themselves, too."""
+    return aliases | {c: c for c in (*aliases.values(), *columns)}
+
+
+def calls_from(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(accepted, rejected)``: call records from rows under canonical names; without time and parties they are rejected."""
     from ..functions import identifiers as I
 
-    skip, sep, names = sniff(head(spark, sample or path), ("party", "call", "imei", "imsi", "cell", "cgi", "date", "time", "dur"))
-    good, bad = read_delimited(spark, path, names, sep, skip + 1)
-    df = rename_aliases(good, CALL_ALIASES)
-    for c in ("a_party", "b_party", "call_type", "service_type", "call_date", "call_time", "call_duration", "imei", "imsi", "first_cell_id", "last_cell_id", "roaming_circle"):
+    df = rows
+    for c in CALL_COLUMNS:
         df = df.withColumn(c, I.without_null_tokens(c) if c in df.columns else F.lit(None).cast("string"))
     df = df.withColumns(
         {
             "raw_call_type": F.col("call_type"),
             "call_type": I.canonical_call_type("call_type", "service_type"),
-            "call_datetime": I.event_time(F.concat_ws(" ", "call_date", "call_time")),
+            "call_datetime": F.concat_ws(" ", "call_date", "call_time"),
             "call_duration": I.duration_seconds("call_duration"),
         }
     )
-    df = df.withColumn("event_id", row_id())
+    df = with_times(df, ["call_datetime"]).withColumn("event_id", row_id())
     empty = F.col("call_datetime").isNull() & F.col("a_party").isNull() & F.col("b_party").isNull()
-    accepted, more = quarantine(df, empty, "NO_TIME_AND_PARTIES")
+    return quarantine(df, empty, "NO_TIME_AND_PARTIES")
+
+
+def read_calls(spark: SparkSession, path: str, sample: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Call records of files with one layout: header found among preamble lines, aliases mapped, values cleaned.
+
+    ``sample`` names the file whose header is sniffed (by default ``path``). Dates are read by one layout per file, sections
+    each by their header. Rows without time and parties are rejected.
+    """
+    known = with_names(CALL_ALIASES, *CALL_COLUMNS)
+    skip, sep, names = first_header(head(spark, sample or path), ("party", "call", "imei", "imsi", "cell", "cgi", "date", "time", "dur"), known)
+    good, bad = read_delimited(spark, path, names, sep, skip + 1, known, with_path=True)
+    accepted, more = calls_from(rename_aliases(good, CALL_ALIASES).drop("section_columns"))
     return accepted, bad.unionByName(more)
 
 
@@ -252,22 +395,29 @@ SESSION_ALIASES = {
 }
 
 
-def read_sessions(spark: SparkSession, path: str, sample: str | None = None) -> tuple[DataFrame, DataFrame, str]:
-    """Packet sessions, reject ledger and status; a report that says it has no records is EMPTY_NO_DATA, no failure."""
-    from ..functions import identifiers as I
+SESSION_COLUMNS = ("imei", "imsi", "technology", "pre_post", "roaming_circle", "ipv6_address")
+
+
+def sessions_from(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(accepted, rejected)``: packet sessions from rows under canonical names; without a start they are rejected."""
     from ..operators import sessions as S
     from ..schema import SESSIONS, conform
 
+    times = [c for c in ("session_start", "session_end") if c in rows.columns]
+    df = conform(with_times(rows, times), SESSIONS, ("source_row", "source_path"))
+    df = df.withColumn("session_duration_seconds", F.timestamp_diff("SECOND", F.col("session_start"), F.col("session_end")).cast("double"))
+    return quarantine(S.normalise(df), F.col("session_start").isNull(), "NO_SESSION_START")
+
+
+def read_sessions(spark: SparkSession, path: str, sample: str | None = None) -> tuple[DataFrame, DataFrame, str]:
+    """Packet sessions, reject ledger and status; a report that says it has no records is EMPTY_NO_DATA, no failure."""
     lines = head(spark, sample or path)
-    skip, sep, names = sniff(lines, ("msisdn", "mobile", "subscriber", "imei", "session", "start", "volume", "cell", "cgi"))
+    known = with_names(SESSION_ALIASES, *SESSION_COLUMNS)
+    skip, sep, names = first_header(lines, ("msisdn", "mobile", "subscriber", "imei", "session", "start", "volume", "cell", "cgi"), known)
     status = "EMPTY_NO_DATA" if re.search(r"(?i)no (records?|data) found", "\n".join(lines)) else "HAS_DATA"
-    good, bad = read_delimited(spark, path, names, sep, skip + 1)
-    df = rename_aliases(good, SESSION_ALIASES)
-    times = {c: I.event_time(c) for c in ("session_start", "session_end") if c in df.columns}
-    df = conform(df.withColumns(times), SESSIONS, ("source_row",))
-    df = df.withColumn("session_duration_seconds", F.timestamp_diff("SECOND", F.col("session_start"), F.col("session_end")).cast("double"))
-    accepted, more = quarantine(S.normalise(df), F.col("session_start").isNull(), "NO_SESSION_START")
-    return accepted.drop("source_row"), bad.unionByName(more), status
+    good, bad = read_delimited(spark, path, names, sep, skip + 1, known, with_path=True)
+    accepted, more = sessions_from(rename_aliases(good, SESSION_ALIASES))
+    return accepted.drop("source_row", "source_path"), bad.unionByName(more), status
 
 
 def read_call_folder(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame, dict[str, str]]:
@@ -298,8 +448,10 @@ def read_call_folder(spark: SparkSession, paths: list[str]) -> tuple[DataFrame,
 def with_targets(calls: DataFrame) -> DataFrame:
     """``calls`` with the target of each file: the number that most of the file's rows have, on either side."""
     from ..functions import identifiers as I
+    from ..operators.common import broadcast_if_small
 
     sides = F.explode(F.array_distinct(F.array_compact(F.array(I.msisdn("a_party"), I.msisdn("b_party")))))
-    counts = calls.select("source_file", sides.alias("number")).groupBy("source_file", "number").agg(F.count("*").alias("n"))
-    best = counts.groupBy("source_file").agg(F.min(F.struct(-F.col("n"), "number"))["number"].alias("target"))
-    return calls.drop("target").join(F.broadcast(best) if best.limit(100_001).count() <= 100_000 else best, "source_file", "left")
+    file = "source_path" if "source_path" in calls.columns else "source_file"
+    counts = calls.select(file, sides.alias("number")).groupBy(file, "number").agg(F.count("*").alias("n"))
+    best = counts.groupBy(file).agg(F.min(F.struct(-F.col("n"), "number"))["number"].alias("target"))
+    return calls.drop("target").join(broadcast_if_small(best), file, "left")

@@ -106,3 +106,64 @@ def test_cell_master_without_a_header(spark, tmp_path):
     good, bad = reports.read_cell_master(spark, str(tmp_path / "c.txt"))
     got = sorted(tuple(r) for r in good.select("cgi", "latitude", "longitude", "address").collect())
     assert got[0] == ("405-51-834-1", 19.101, 72.201, "Sector 1, some street 1 of the town") and len(got) == 8 and bad.count() == 1
+
+
+def test_files_of_one_name_keep_their_rows_apart(spark, tmp_path):
+    body = "Calling No,B Party No,Call Date,Call Time,Call Type\n" + "".join(f"9876543210,912345678{i},01/06/2026,10:0{i}:00,MOC\n" for i in range(3))
+    for d in ("a", "b"):
+        (tmp_path / d).mkdir()
+        (tmp_path / d / "x.csv").write_text(body)
+    paths = [str(tmp_path / d / "x.csv") for d in ("a", "b")]
+    calls, _ = text.read_calls(spark, paths, paths[0])
+    rows = calls.collect()
+    assert len({r["event_id"] for r in rows}) == 6 and {r["source_file"] for r in rows} == {"x.csv"}
+    good, bad = text.read_lines(spark, paths, ["a", "b", "c", "d", "e"], with_path=True)
+    lines = good.collect()
+    assert sorted(r["source_row"] for r in lines) == [2, 2, 3, 3, 4, 4] and bad.count() == 0
+    assert {r["source_path"] for r in lines} == {r["source_path"] for r in rows} and {r["a"] for r in lines} == {"9876543210"}
+
+
+def test_quotes_in_lines(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('a,b\n"x"tail,2\n"x,y"" z"more"e,3\n"open,4\n5,"op\n"",7\n8,i"n"n\n')
+    good, bad = text.read_lines(spark, str(tmp_path / "q.csv"), ["a", "b"])
+    assert [(r["a"], r["b"]) for r in good.orderBy("source_row").collect()] == [("xtail", "2"), ('x,y" zmore"e', "3"), ("", "7"), ("8", 'i"n"n')]
+    assert sorted((r["source_row_number"], r["rejection_reason"]) for r in bad.collect()) == [(4, "UNCLOSED_QUOTE"), (5, "UNCLOSED_QUOTE")]
+
+
+def test_ingest_after_a_crash_with_a_new_file(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for with_path in (False, True):
+        target = str(tmp_path / f"t{with_path}")
+        (tmp_path / "in" / "a.csv").write_text(f"a\n1{with_path}\n")
+        (tmp_path / "in" / "b.csv").unlink(missing_ok=True)
+        read = lambda p: text.read_delimited(spark, p, ["a"], with_path=with_path)[0]  # noqa: B023, E731
+        run = lambda m: folders.ingest(spark, str(tmp_path / "in"), target, str(tmp_path / f"{m}{with_path}"), read)  # noqa: B023, E731
+        run("lost manifest")
+        (tmp_path / "in" / "b.csv").write_text(f"a\n2{with_path}\n")
+        assert run("m").count() == 2 and run("m").count() == 0
+        assert sorted(r["a"] for r in spark.read.parquet(target).collect()) == [f"1{with_path}", f"2{with_path}"]
+
+
+def test_one_date_layout_per_file(spark, tmp_path):
+    head = "Calling No,B Party No,Call Date,Call Time\n"
+    dates = {"us.csv": ["01/05/2024", "01/25/2024"], "in.csv": ["01/05/2024", "25/01/2024"], "none.csv": ["01/05/2024", "2024-02-03"], "both.csv": ["01/05/2024", "01/25/2024", "25/01/2024"], "days.csv": ["45413", "02-Mar-2024"]}
+    for name, values in dates.items():
+        (tmp_path / name).write_text(head + "".join(f"9876543210,9123456789,{d},10:00:00\n" if "/" in d or "-" in d else f"9876543210,9123456789,{d},\n" for d in values))
+    calls, bad = text.read_calls(spark, [str(tmp_path / n) for n in dates], str(tmp_path / "us.csv"))
+    got = {}
+    for r in calls.orderBy("source_row").collect():
+        got.setdefault(r["source_file"], []).append((r["call_datetime"].month, r["call_datetime"].day))
+    assert got == {"us.csv": [(1, 5), (1, 25)], "in.csv": [(5, 1), (1, 25)], "none.csv": [(5, 1), (2, 3)], "both.csv": [(5, 1), (1, 25), (1, 25)], "days.csv": [(5, 1), (3, 2)]}
+    assert bad.count() == 0
+
+
+def test_sections_are_read_by_their_headers(spark, tmp_path):
+    (tmp_path / "i.csv").write_text(
+        "IPDR\nMSISDN,Source IP Address,Destination IP Address,Event Date Time\n9876543210,10.0.0.1,203.0.113.5,11/06/2026 10:00:00\n"
+        "next part\nDestination IP Address,Source IP Address,Dest Port,Note,Event Date Time,MSISDN\n"
+        "203.0.113.6,10.0.0.2,443,x,11/06/2026 11:00:00,9876543211\nMSISDN,Source IP Address,Destination IP Address,Event Date Time\n9876543212,10.0.0.3,203.0.113.7,11/06/2026 12:00:00\n"
+    )
+    good, bad = reports.read_ip_events(spark, str(tmp_path / "i.csv"))
+    got = [(r["subscriber_number"], r["source_ip"], r["destination_ip"], r["destination_port"], r["event_time"].hour) for r in good.orderBy("event_time").collect()]
+    assert got == [("9876543210", "10.0.0.1", "203.0.113.5", None, 10), ("9876543211", "10.0.0.2", "203.0.113.6", 443, 11), ("9876543212", "10.0.0.3", "203.0.113.7", None, 12)]
+    assert [(r["source_row_number"], r["rejection_reason"]) for r in bad.collect()] == [(4, "NO_EVENT_TIME")]
