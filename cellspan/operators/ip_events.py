@@ -126,6 +126,50 @@ def quality(df: DataFrame) -> DataFrame:
     )
 
 
+# What makes two rows of a case equal.
+SAME_ROW = ("operator", "subscriber_number", "event_time", "allocation_start", "allocation_end", "source_ip", "source_port", "destination_ip", "destination_port", "charging_id", "source_file")
+
+
+def case_checks(data: DataFrame, files: DataFrame) -> DataFrame:
+    """``(check_name, rows, severity)`` over the records of a case (``sources.ip_detail``) and its files.
+
+    Equal rows are counted by aggregation; an allocation has volume variants if its events state several volumes.
+    """
+    event = F.col("record_type") == "IPDR_EVENT"
+    missing = lambda c: filled(c).isNull()
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    outside = yes((F.col("event_time") < F.col("allocation_start")) | (F.col("event_time") > F.col("allocation_end")))
+    checks = {
+        "Normalized records": (F.lit(True), "INFO"),
+        "Event rows with invalid/missing event time": (event & F.col("event_time").isNull(), "ERROR"),
+        "Rows with invalid/missing allocation start": (F.col("allocation_start").isNull(), "WARNING"),
+        "Rows with allocation end before start": (yes(F.col("allocation_end") < F.col("allocation_start")), "ERROR"),
+        "Events outside allocation interval": (event & outside, "WARNING"),
+        "Negative duration rows": (yes(F.col("session_duration_seconds") < 0), "WARNING"),
+        "Zero duration rows": (yes(F.col("session_duration_seconds") == 0), "INFO"),
+        "Rows missing subscriber/user ID": (missing("subscriber_number"), "WARNING"),
+        "Rows missing source IP": (missing("source_ip"), "WARNING"),
+        "Event rows missing destination IP": (event & missing("destination_ip"), "WARNING"),
+        "Invalid source IP values": (F.col("source_ip_version") == "INVALID", "WARNING"),
+        "Invalid destination IP values": (F.col("destination_ip_version") == "INVALID", "WARNING"),
+    }
+    names = list(checks)
+    one = data.agg(*[F.count_if(checks[c][0]).alias(f"c{i}") for i, c in enumerate(names)])
+    row = lambda name, n, severity: F.struct(F.lit(name).alias("check_name"), n.cast("long").alias("rows"), F.lit(severity).alias("severity"))
+    plain = one.select(F.inline(F.array(*[row(c, F.col(f"c{i}"), checks[c][1]) for i, c in enumerate(names)])))
+    equal = data.groupBy(*SAME_ROW).agg(F.count("*").alias("n")).where("n > 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    variants = data.groupBy("allocation_key").agg(n_distinct(F.struct("uplink_volume", "downlink_volume")).alias("n")).agg(F.count_if(F.col("n") > 1).alias("n"))
+    failed = files.agg(F.count_if(F.col("status") == "FAILED").alias("n"))
+    rest = [
+        failed.select(row("Files failed", F.col("n"), "ERROR").alias("r")),
+        equal.select(row("Exact duplicate event/allocation rows", F.col("n"), "WARNING").alias("r")),
+        variants.select(row("Allocation keys with multiple volume variants", F.col("n"), "WARNING").alias("r")),
+    ]
+    for r in rest:
+        plain = plain.union(r.select("r.*"))
+    return plain
+
+
 def reverse_query(df: DataFrame, ip: str, port: int | None = None) -> DataFrame:
     """How the events of each file match an endpoint that was asked for: exactly, by address only, or not."""
     at = F.col("destination_ip") == ip

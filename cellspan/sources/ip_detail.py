@@ -232,7 +232,7 @@ def classified(rows: DataFrame, names: list[str]) -> DataFrame:
     record = record.when(kind == "SEARCH", F.col("search_value") != "")
     return df.withColumn(
         "verdict",
-        F.when(F.col("reason") == "PREAMBLE", "preamble")
+        F.when(F.col("reason").isin("PREAMBLE", "HEADER"), "layout")
         .when(F.col("reason").isNotNull(), "rejected")
         .when(F.coalesce(record, F.lit(False)), "record")
         .when(F.col("footer") & (kind == "AIRTEL"), "footer")
@@ -340,7 +340,7 @@ def _summary(found: DataFrame, first: DataFrame, rows: DataFrame, said: DataFram
     is_ = lambda v: F.count_if(F.col("verdict") == v)
     counts = rows.groupBy("source_path").agg(
         F.max(F.when(F.col("source_format") != "UNKNOWN", F.col("source_format"))).alias("source_format"),
-        F.count_if((F.col("section") > 0)).alias("rows_below_header"),
+        F.count_if((F.col("section") > 0) & (F.col("verdict") != "layout")).alias("rows_below_header"),
         is_("record").alias("records_loaded"),
         is_("footer").alias("footer_rows"),
         is_("rejected").alias("rejected_rows"),

@@ -66,6 +66,9 @@ def base_name(path):
 #: Lines above the first header of a file that are taken as its preamble; more of them are rejected.
 PREAMBLE_LINES = 200
 
+#: Parsed rows that are neither data nor part of a report's layout.
+REJECTED = "reason is not null and reason not in ('PREAMBLE', 'HEADER')"
+
 SEPARATORS = (",", "|", "\t", ";", "^")
 
 
@@ -95,7 +98,7 @@ def parsed_rows(
     next one. ``names`` is the header of the first section, above which ``skip`` lines are left out; if it is empty, the
     first header is looked for as well, and the lines above it have the reason PREAMBLE (beyond ``PREAMBLE_LINES`` of
     them NO_HEADER). Columns that ``names`` lacks follow under their canonical names; fields that no name is known for are
-    kept in ``more_fields`` as JSON. ``section_columns``: the canonical names of a row's header, between commas. Without
+    kept in ``more_fields`` as JSON. The headers themselves have the reason HEADER. ``section_columns``: the canonical names of a row's header, between commas. Without
     ``sep`` it is the one under which a line of the file is a header.
     """
     names = dedupe_names(names)
@@ -152,6 +155,7 @@ def parsed_rows(
                 if aliases and is_header(r, known, aliases):
                     section, at, fields = section + 1, header(r), r
                     columns = "," + ",".join(map(canonical, r)) + ","
+                    yield (file, section, first, last, "HEADER", json.dumps(r, ensure_ascii=False), columns, None, *[None] * width)
                     continue
                 if not section:
                     above += 1
@@ -208,7 +212,7 @@ def read_delimited(
     rows = rows.withColumn("source_file", base_name("path")).withColumnRenamed("path", "source_path")
     place = ["source_file", "source_row", "source_row_end"] + ["source_path"] * with_path + ["section_columns", "more_fields"] * (aliases is not None)
     good = rows.where("reason is null").select(*[F.col(f"f{i}").alias(n) for i, n in enumerate(names)], *place)
-    return good, ledger(rows.where("reason is not null"), "json", F.col("reason"))
+    return good, ledger(rows.where(REJECTED), "json", F.col("reason"))
 
 
 def fields_of(line: str, sep: str):

@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from cellspan.plans import catalog, catalog_records, catalog_sheets  # noqa: F401
+from cellspan.plans import catalog, catalog_files, catalog_records, catalog_sheets  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
