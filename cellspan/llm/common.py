@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Word separators of the corpus contracts: space and the ASCII controls 9 to 13.
@@ -31,6 +31,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a partition of a frame whose number of rows is known.
+ROWS_A_FILE = 100_000
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in as few partitions as a known number of rows needs, so that small frames are few files; never in more."""
+    return df.coalesce(max(4, -(-rows // ROWS_A_FILE)))
+
+
+def settled(df: DataFrame, most: int | None = None) -> tuple[DataFrame, int]:
+    """``(cut(df), rows)`` in few partitions; ``most``: so many rows at most, where that is known beforehand.
+
+    The rows are counted while they are written. Retried tasks could be counted twice, so the number is for sizes only, and
+    zero exactly if there are no rows.
+    """
+    out, seen = _watched(df if most is None else gathered(df, most), F.count(F.lit(1)).alias("rows"))
+    return gathered(out, seen["rows"]), seen["rows"]
+
+
+def _watched(df: DataFrame, *metrics) -> tuple[DataFrame, dict]:
+    """``cut(df)``, and aggregates of its rows that are taken as it is written."""
+    seen = Observation()
+    return cut(df.observe(seen, *metrics)), seen.get
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that this library wrote."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -98,25 +123,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest reachable node for every node of an undirected edge list ``(a long, b long)``.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014). Every step only aggregates a minimum per node and
-    joins it back, so hot nodes are pre-aggregated and skewed joins can be split. Returns ``(node, component)`` for the
-    nodes of edges between different nodes.
+    joins it back, so hot nodes are pre-aggregated and skewed joins can be split. The number of edges never grows, so the
+    steps of a short list run in few partitions. Returns ``(node, component)`` for the nodes of edges between different
+    nodes.
     """
-    e = cut(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    )
-
-    def state(df):
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    seen = state(e)
+    plain = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    state = (F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
+    e, seen = _watched(plain.distinct(), *state)
+    few = lambda df: gathered(df, 2 * seen["rows"])
+    e = few(e)
     while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = cut(small.union(least.select("a", F.col("m").alias("b"))).distinct())
-        now = state(e)
+        least = few(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")))
+        large = few(few(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
+        least = few(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = few(large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        e, now = _watched(few(small.union(least.select("a", F.col("m").alias("b"))).distinct()), *state)
         if now == seen:
             break
         seen = now

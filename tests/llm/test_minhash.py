@@ -82,10 +82,10 @@ def test_large_group_of_edited_copies(spark):
     rows = list(zip(r.sample(range(10_000), len(out)), out))
     want = components(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {x["id"]: x["component"] for x in minhash.near_duplicates(df, rounds=8).collect()}
-    assert got == want and 10 < len(set(want.values())) < len(out) - 10
-    got = {x["id"]: x["component"] for x in minhash.near_duplicates(df).collect()}
-    assert sum(got[i] == c for i, c in want.items()) >= 0.98 * len(want)
+    assert 10 < len(set(want.values())) < len(out) - 10
+    for rounds in (0, 1, 3):
+        got = {x["id"]: x["component"] for x in minhash.near_duplicates(df, rounds=rounds).collect()}
+        assert got == want, rounds
 
 
 def test_stage_drops_near_copies(spark, tmp_path):
