@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import time
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -110,35 +110,41 @@ def over_text(sql: str, text_col: str) -> Column:
     return F.expr(let(f"coalesce(`{text_col}`, '')", "t", let(words("t"), "w", sql)))
 
 
+#: Nanoseconds of the task's machine.
+_CLOCK = "cast(reflect('java.lang.System', 'nanoTime') as bigint)"
+
+
 def rate_rules(sample: DataFrame, rules: tuple[Rule, ...], text_col: str = "text", repeats: int = REPEATS) -> tuple[list[float], dict[tuple[bool, ...], int]]:
-    """Seconds that each rule needs for ``sample``, and how many rows have which verdicts of the rules.
+    """Seconds that each rule needs for ``sample``, and how many rows have which verdicts of the rules, in one job.
 
-    A rule's time is the shortest of ``repeats`` passes over the raw texts, less that of a pass which only splits words.
+    Each rule runs ``repeats`` times on each text, between two looks at the clock; the shortest time counts.
     """
+    if not rules:
+        return [], {}
 
-    def seconds(sql):
-        best = float("inf")
-        for _ in range(repeats):
-            began = time.perf_counter()
-            sample.agg(F.count_if(over_text(sql, text_col))).first()
-            best = min(best, time.perf_counter() - began)
-        return best
+    def timed(reject):
+        run = f"named_struct('a', {_CLOCK}, 'r', coalesce({reject}, false), 'b', {_CLOCK})"
+        return let(f"array({', '.join([run] * repeats)})", "x", "named_struct('d', array_min(transform(x, y -> y.b - y.a)), 'r', x[0].r)")
 
-    idle = seconds("size(w) < 0")
-    cost = [max(seconds(r.reject) - idle, 1e-4) for r in rules]
-    if not rules:
-        return cost, {}
-    flags = over_text("array(" + ", ".join(f"coalesce({r.reject}, false)" for r in rules) + ")", text_col)
-    counted = sample.groupBy(flags.alias("f")).agg(F.count("*").alias("n")).collect()
+    rated = sample.select(over_text("array(" + ", ".join(timed(r.reject) for r in rules) + ")", text_col).alias("v"))
+    seconds = [F.sum(F.col("v")[i]["d"]).alias(f"d{i}") for i in range(len(rules))]
+    counted = rated.groupBy(F.transform("v", lambda x: x["r"]).alias("f")).agg(F.count("*").alias("n"), *seconds).collect()
+    cost = [max(1e-9, sum(r[f"d{i}"] for r in counted) / 1e9) for i in range(len(rules))]
     return cost, {tuple(r["f"]): r["n"] for r in counted}
 
 
+def rough(cost: list[float]) -> list[float]:
+    """Costs in steps of four times, counted from the least: what differs by less is measured alike."""
+    least = min(cost, default=1.0)
+    return [4.0 ** round(math.log(c / least, 4)) for c in cost]
+
+
 def rank_rules(rules: tuple[Rule, ...], cost: list[float], verdicts: dict[tuple[bool, ...], int]) -> list[Rule]:
-    """``rules`` ordered: each time the one that rejects most per second of what the earlier ones let through."""
-    ordered, left, rows = [], list(range(len(rules))), dict(verdicts)
+    """``rules`` ordered: each time the one that rejects most per cost of what the earlier ones let through; ties by name."""
+    ordered, left, rows = [], sorted(range(len(rules)), key=lambda i: rules[i].name), dict(verdicts)
     while left:
         rejects = {i: sum(n for f, n in rows.items() if f[i]) for i in left}
-        best = max(left, key=lambda i: ((rejects[i] + 0.01) / cost[i], -i))
+        best = max(left, key=lambda i: (rejects[i] + 0.01) / cost[i])
         ordered.append(rules[best])
         left.remove(best)
         rows = {f: n for f, n in rows.items() if not f[best]}
@@ -148,13 +154,14 @@ def rank_rules(rules: tuple[Rule, ...], cost: list[float], verdicts: dict[tuple[
 def order_rules(docs: DataFrame, rules: tuple[Rule, ...], sample_rows: int = SAMPLE_ROWS, text_col: str = "text") -> list[Rule]:
     """``rules`` by rejections per second on a sample of about ``sample_rows`` rows, the most effective first.
 
-    The verdict of a cascade does not depend on the order; only its cost does. What reaches the driver are one time for
-    each rule, and counts of verdicts of the bounded sample.
+    The verdict of a cascade does not depend on the order; only its cost does. Costs are taken roughly, so that the order is
+    the same whenever the sample is. What reaches the driver are times and counts of verdicts of the bounded sample.
     """
     n = docs.count()
     sample = docs.select(text_col) if n <= sample_rows else docs.select(text_col).sample(fraction=sample_rows / n, seed=1)
     sample = cut(sample.coalesce(docs.sparkSession.sparkContext.defaultParallelism))
-    return rank_rules(rules, *rate_rules(sample, rules, text_col))
+    cost, verdicts = rate_rules(sample, rules, text_col)
+    return rank_rules(rules, rough(cost), verdicts)
 
 
 def verdict(ordered: list[Rule], text_col: str = "text") -> Column:
