@@ -63,9 +63,14 @@ def latest(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def fits_broadcast(df: DataFrame, rows: int = 100_000) -> bool:
+    """Whether ``df`` has few rows; reads no more than one row beyond."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """Broadcast hint where ``df`` is checked to have few rows; reads no more than one row beyond."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """Broadcast hint where ``df`` is checked to have few rows."""
+    return F.broadcast(df) if fits_broadcast(df, rows) else df
 
 
 def metric_rows(df: DataFrame, metrics: dict[str, Column], by: tuple[str, ...] = ()) -> DataFrame:

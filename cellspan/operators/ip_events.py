@@ -130,6 +130,10 @@ def quality(df: DataFrame) -> DataFrame:
 SAME_ROW = ("operator", "subscriber_number", "event_time", "allocation_start", "allocation_end", "source_ip", "source_port", "destination_ip", "destination_port", "charging_id", "source_file")
 
 
+#: Columns that the checks of a case read.
+CHECKED = tuple(dict.fromkeys((*SAME_ROW, "record_type", "session_duration_seconds", "source_ip_version", "destination_ip_version", "allocation_key", "uplink_volume", "downlink_volume")))
+
+
 def case_checks(data: DataFrame, files: DataFrame) -> DataFrame:
     """``(check_name, rows, severity)`` over the records of a case (``sources.ip_detail``) and its files.
 

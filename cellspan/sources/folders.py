@@ -2,14 +2,41 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the shared one of ``spark.checkpoint.dir``; a temporary one only in a local session without it."""
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(shared or 'file:' + tempfile.mkdtemp(prefix='cellspan-files-')).rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet to a scratch folder and read from there, whatever reads it how often."""
+    folder = scratch(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def contents(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
+    """The files of a folder in the layout of Spark's ``binaryFile`` source."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
+
+
 def files(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = (".csv", ".txt"), recursive: bool = True) -> DataFrame:
     """``(path, name, bytes, modified, sha256)`` of the files of a folder."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
+    return listed(contents(spark, folder, recursive), suffixes)
+
+
+def listed(found: DataFrame, suffixes: tuple[str, ...] = (".csv", ".txt")) -> DataFrame:
+    """As ``files``, of files in the layout of ``contents``."""
     ok = F.lit(False)
     for s in suffixes:
         ok = ok | F.lower("path").endswith(s)

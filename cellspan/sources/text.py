@@ -72,11 +72,23 @@ REJECTED = "reason is not null and reason not in ('PREAMBLE', 'HEADER')"
 SEPARATORS = (",", "|", "\t", ";", "^")
 
 
+_LETTER = re.compile(r"[^\W\d_]")
+
+
 def is_header(fields: list[str], known: set[str], aliases: dict[str, str]) -> bool:
     """Whether a row names columns: most of its fields that are not blank, and two at least, are known names."""
-    names = [snake(x) for x in fields if x.strip()]
-    hits = sum(aliases.get(n, n) in known for n in names)
-    return hits >= 2 and 5 * hits >= 3 * len(names)
+    filled = [x for x in fields if x.strip()]
+    hits = misses = 0
+    for x in filled:
+        # Most rows are data: no name is without letters, and a row with too many other fields needs no further look.
+        n = snake(x) if _LETTER.search(x) else ""
+        if n and aliases.get(n, n) in known:
+            hits += 1
+        else:
+            misses += 1
+            if 5 * misses > 2 * len(filled):
+                return False
+    return hits >= 2
 
 
 def first_header(lines: list[str], keywords: tuple[str, ...], aliases: dict[str, str]) -> tuple[int, str, list[str]]:
@@ -89,11 +101,12 @@ def first_header(lines: list[str], keywords: tuple[str, ...], aliases: dict[str,
 
 
 def parsed_rows(
-    spark: SparkSession, path: str | list[str], names: list[str], sep: str | None, skip: int, aliases: dict[str, str] | None = None
+    spark: SparkSession, path: str | list[str] | DataFrame, names: list[str], sep: str | None, skip: int, aliases: dict[str, str] | None = None
 ) -> tuple[DataFrame, list[str]]:
     """``(rows, columns)``: every row of text files with its place, ``reason`` (null: data) and fields ``f0, f1 ...``.
 
-    Files are read whole as bytes, one file per task, and parsed in a stream of batches. With ``aliases`` a file may have
+    ``path``: files by name, or a frame ``(path, content)`` of them. They are read whole as bytes, and parsed in a stream of
+    batches. With ``aliases`` a file may have
     several sections: a row in which most fields are known names is a header, and the rows below are read by it, up to the
     next one. ``names`` is the header of the first section, above which ``skip`` lines are left out; if it is empty, the
     first header is looked for as well, and the lines above it have the reason PREAMBLE (beyond ``PREAMBLE_LINES`` of
@@ -185,7 +198,8 @@ def parsed_rows(
                 if rows:
                     yield flush(rows)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = path if isinstance(path, DataFrame) else spark.read.format("binaryFile").load(path)
+    files = files.select("path", "content")
     texts = ", ".join(f"`{n}` string" for n in out_names[4:])
     return files.mapInArrow(parse, f"path string, section int, source_row long, source_row_end long, {texts}"), names
 
@@ -259,8 +273,9 @@ def read_lines(
     return good, ledger(bad, "_json", F.col("_reason"))
 
 
-#: Layouts of a numeric date, by which number comes first.
-_NUMERIC = r"^['\"]?(\d{1,2})[-/.](\d{1,2})[-/.]\d{4}"
+#: Beginnings of a numeric date of which one number cannot be a month and the other one can, by the place of the former.
+_MONTH, _NO_MONTH = r"(?:0?\d|1[0-2])", r"(?:1[3-9]|[2-9]\d)"
+_NUMERIC = {i: rf"^['\"]?{a}[-/.]{b}[-/.]\d{{4}}" for i, a, b in ((1, _NO_MONTH, _MONTH), (2, _MONTH, _NO_MONTH))}
 
 
 def with_times(df: DataFrame, columns: list[str], by: str = "source_path") -> DataFrame:
@@ -273,13 +288,13 @@ def with_times(df: DataFrame, columns: list[str], by: str = "source_path") -> Da
     """
     from ..functions import identifiers as I
     from ..operators.common import broadcast_if_small
+    from .folders import stored
 
     if not columns:
         return df
-    number = lambda c, i: F.regexp_extract(I.text(c), _NUMERIC, i).try_cast("int")
-    over = lambda c, i: F.coalesce(F.bool_or((number(c, i) > 12) & (number(c, 3 - i) <= 12)), F.lit(False))
+    over = lambda c, i: F.bool_or(I.text(c).rlike(_NUMERIC[i]))
     orders = df.groupBy(by).agg(*[(over(c, 2) & ~over(c, 1)).alias(f"_m_{c}") for c in columns])
-    out = df.join(broadcast_if_small(orders), by, "left")
+    out = df.join(broadcast_if_small(stored(orders)), by, "left")
     read = lambda c: F.when(F.col(f"_m_{c}"), F.coalesce(I.event_time(c, I.MONTH_FIRST), I.event_time(c))).otherwise(F.coalesce(I.event_time(c), I.event_time(c, I.MONTH_FIRST)))
     return out.withColumns({c: read(c) for c in columns}).drop(*[f"_m_{c}" for c in columns])
 

@@ -57,3 +57,19 @@ def test_schema_helpers(spark):
     two = spark.createDataFrame([("", "v"), ("u", "w")], ["A Party", "Calling No"])
     assert [r[0] for r in schema.rename_aliases(two, {"calling_no": "a_party"}).collect()] == ["v", "u"]
     assert schema.rename_aliases(two.select(F.col("A Party")), {}).columns == ["a_party"]
+
+
+def test_a_text_is_tried_only_under_layouts_of_its_shape(spark):
+    """The gates leave every result as it is without them, and a text of no layout's shape is not tried at all."""
+    import re
+
+    samples = {"yyyy": "2024", "MMM": "jan", "MM": "11", "dd": "25", "HH": "23", "mm": "59", "ss": "07", "'T'": "T"}
+    texts = [re.sub("yyyy|MMM|MM|dd|HH|mm|ss|'T'", lambda m: samples[m[0]], f) for f in I.TIME_FORMATS]
+    texts += [t.replace("25", "5") for t in texts] + [t.replace("11", "31") for t in texts] + ["", " ", "45000", "x", "'25/11/2024'", "2024-11-25 23:59:07.5", "+12024-11-25", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for formats in (I.TIME_FORMATS, I.MONTH_FIRST):
+        plain = F.coalesce(*[F.try_to_timestamp(F.btrim(I.text("t"), F.lit("'\"")), F.lit(f)) for f in formats]).cast("timestamp_ntz")
+        rows = df.select("t", I.event_time("t", formats).cast("string").alias("a"), plain.cast("string").alias("b")).collect()
+        assert [tuple(r) for r in rows if r["a"] != r["b"] and r["t"] != "45000"] == []
+        assert sum(r["a"] is not None for r in rows) >= 8
+    assert not any(re.match(I.layout_shape(f), t) for f in (*I.TIME_FORMATS, *I.MONTH_FIRST) for t in ("", "9876543210", "405-51-834-0001"))
