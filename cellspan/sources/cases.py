@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identifiers as I
-from ..operators.common import broadcast_if_small
+from ..operators.common import broadcast_if_small, fits_broadcast
 from ..schema import CALLS, conform
 from . import folders, reports, text
 from .text import base_name, ledger, parsed_rows, with_names
@@ -64,24 +64,26 @@ def read_case(
     Spot of the first by path. Records carry ``spot_id``, ``spot_name``, ``source_path`` and an ``event_id`` by path and row.
     """
     aliases, columns, make, time = FAMILIES[family]
-    found = folders.spot_layout(folders.files(spark, root, suffixes), root)
+    texts = folders.contents(spark, root)
+    found = folders.stored(folders.spot_layout(folders.listed(texts, suffixes), root))
     if spots is not None:
         wanted = [s.lower() for s in spots]
         found = found.where(F.lower("spot_folder").isin(wanted) | (F.col("spot_folder").isNull() & F.lit(root_files)))
     elif not root_files:
         found = found.where("spot_folder is not null")
-    first = folders.distinct_files(found)
-    paths = [r["path"] for r in first.select("path").orderBy("path").toLocalIterator()]
-    if not paths:
+    first = folders.stored(folders.distinct_files(found))
+    if first.isEmpty():
         raise ValueError("the folder has no reports")
-    parsed, names = parsed_rows(spark, paths, [], None, 0, with_names(aliases, *columns))
-    rows = parsed.withColumnRenamed("path", "source_path").withColumn("source_file", base_name("source_path"))
+    texts = texts.join(broadcast_if_small(first.select("path")), "path", "left_semi")
+    parsed, names = parsed_rows(spark, texts, [], None, 0, with_names(aliases, *columns))
+    rows = folders.stored(parsed).withColumnRenamed("path", "source_path").withColumn("source_file", base_name("source_path"))
     place = ["source_path", "source_file", "source_row", "source_row_end", "section_columns", "more_fields"]
     good = rows.where("reason is null").select(*[F.col(f"f{i}").alias(n) for i, n in enumerate(names) if n not in place], *place)
     above = F.coalesce("above", F.lit(""))
     said = first.select(F.col("path").alias("source_path"), "spot_id", "spot_name").join(above_header(rows), "source_path", "left").select(
         "source_path", "spot_id", "spot_name", stated_operator(above).alias("stated_operator"), stated_cell(above).alias("stated_cell")
     )
+    said = folders.stored(said)
     accepted, more = make(good.drop("spot_id", "spot_name").join(broadcast_if_small(said), "source_path", "left"))
     bad = ledger(rows.where(text.REJECTED), "json", F.col("reason")).unionByName(more)
     if family == "towers":
@@ -101,8 +103,10 @@ def _files(found: DataFrame, first: DataFrame, rows: DataFrame, accepted: DataFr
     loaded = accepted.groupBy("source_path").agg(F.count("*").alias("records"))
     kept = first.select(F.col("path").alias("source_path"), F.lit(True).alias("_first"))
     every = found.withColumnRenamed("path", "source_path")
+    # A row for each file at most: few files say that all of these are few, without a run over the rows.
+    few = fits_broadcast(found)
     for more in (kept, counts, loaded, said.drop("spot_id", "spot_name")):
-        every = every.join(broadcast_if_small(more), "source_path", "left")
+        every = every.join(F.broadcast(more) if few else more, "source_path", "left")
     status = (
         F.when(F.col("_first").isNull(), "DUPLICATE_SKIPPED")
         .when(F.col("records") > 0, "LOADED")
@@ -131,7 +135,7 @@ def _spots(files: DataFrame, accepted: DataFrame, time: str) -> DataFrame:
     seen = accepted.groupBy("spot_id").agg(
         F.countDistinct(F.when(F.trim(who) != "", who)).alias("subscribers"), F.min(time).alias("first_seen"), F.max(time).alias("last_seen")
     )
-    out = of_files.join(broadcast_if_small(seen), "spot_id", "left")
+    out = of_files.join(seen, "spot_id", "left")  # both are aggregates by Spot
     return out.withColumn("subscribers", F.coalesce("subscribers", F.lit(0).cast("long")))
 
 
@@ -166,8 +170,21 @@ def targets(calls: DataFrame, above: DataFrame, min_share: float = 0.8, min_rows
     )
 
 
-def call_targets(spark: SparkSession, root: str) -> DataFrame:
-    """``targets`` of all reports of calls below ``root``."""
-    case = read_case(spark, root, "calls")
-    parsed, _ = parsed_rows(spark, [r["source_path"] for r in case.files.where("status = 'LOADED'").select("source_path").toLocalIterator()], [], None, 0, with_names(text.CALL_ALIASES, *text.CALL_COLUMNS))
-    return targets(case.data, above_header(parsed.withColumnRenamed("path", "source_path")))
+def call_targets(spark: SparkSession, reports: str | DataFrame, suffixes: tuple[str, ...] = (".csv", ".txt")) -> DataFrame:
+    """``targets`` of all reports of calls below a folder, or in a frame in the layout of Spark's ``binaryFile`` source.
+
+    Very many short reports are better kept as rows of such a frame than as files. Byte-identical reports are read once.
+    """
+    packed = isinstance(reports, DataFrame)
+    found = reports if packed else folders.contents(spark, reports)
+    first = folders.stored(folders.distinct_files(folders.listed(found, suffixes)).select("path"))
+    if not packed and first.isEmpty():
+        raise ValueError("the folder has no reports")
+    texts = found.join(broadcast_if_small(first), "path", "left_semi")
+    if packed:  # parsing costs more than a small table's bytes say
+        texts = texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    parsed, names = parsed_rows(spark, texts, [], None, 0, with_names(text.CALL_ALIASES, *text.CALL_COLUMNS))
+    rows = folders.stored(parsed).withColumnRenamed("path", "source_path").withColumn("source_file", base_name("source_path"))
+    place = ["source_path", "source_file", "source_row", "source_row_end"]
+    good = rows.where("reason is null").select(*[F.col(f"f{i}").alias(n) for i, n in enumerate(names) if n not in place], *place)
+    return targets(text.calls_from(good)[0], above_header(rows))

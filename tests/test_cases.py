@@ -97,3 +97,32 @@ def test_sessions_and_calls(spark, tmp_path):
     r = case.data.first()
     assert (r["subscriber_number"], r["session_duration_seconds"], r["searched_cell_id"]) == ("9876543210", 60.0, "405-51-834-1")
     assert case.rejected.first()["rejection_reason"] == "NO_SESSION_START" and case.spots.first()["records"] == 1
+
+
+def test_reports_in_rows_are_as_those_in_files(spark, tmp_path):
+    """Very many short reports may come as rows of a frame; byte-identical ones are read once."""
+    head = "Calling No,Called No,Date,Time\n"
+    texts = {f"/u={i}/r.txt": head + "".join(f"98765432{i:02},912345678{j},25/01/2024,10:00:0{j}\n" for j in range(4)) for i in range(20)}
+    texts["/u=9/copy.txt"] = texts["/u=9/r.txt"]
+    texts["/u=x/none.txt"] = "nothing\n"
+    rows = [(p, dt.datetime(2024, 1, 1), len(t), bytearray(t.encode())) for p, t in texts.items()]
+    packed = spark.createDataFrame(rows, "path string, modificationTime timestamp, length long, content binary")
+    for p, t in texts.items():
+        f = tmp_path / "in" / p[1:]
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text(t)
+    got = {r["source_path"]: (r["target"], r["method"]) for r in cases.call_targets(spark, packed).collect()}
+    assert len(got) == 20 and got["/u=3/r.txt"] == ("9876543203", "ROW_PRESENCE") and "/u=9/r.txt" not in got
+    files = {r["source_path"].split("/in")[1]: (r["target"], r["method"]) for r in cases.call_targets(spark, str(tmp_path / "in")).collect()}
+    assert files == got
+
+
+def test_rows_are_parsed_once(spark, tmp_path):
+    """Whatever is asked of a case afterwards, no report is opened again."""
+    import shutil
+
+    (tmp_path / "c" / "s").mkdir(parents=True)
+    (tmp_path / "c" / "s" / "x.csv").write_text(DUMP.format("Airtel", "405-51-834-1") + ROW.format("9876543210", "9123456789", "MTC", "25/01/2024", 1))
+    case = cases.read_case(spark, str(tmp_path / "c"), "towers")
+    shutil.move(str(tmp_path / "c"), str(tmp_path / "gone"))
+    assert case.data.count() == 1 and case.files.collect()[0]["records"] == 1 and case.spots.count() == 1 and case.rejected.count() == 0
