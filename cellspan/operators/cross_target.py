@@ -23,6 +23,10 @@ ALERTS = {
 }
 
 
+#: Targets of a block of a class in ``pair_overlap``.
+BLOCK = 1000
+
+
 def prepared(df: DataFrame) -> DataFrame:
     """Events with the looser keys of comparison and a night flag."""
     return df.withColumns(
@@ -160,9 +164,22 @@ def alerts(df: DataFrame, minimum: int = 2) -> DataFrame:
 
 
 def pair_overlap(df: DataFrame, item: Column, minimum: int = 1) -> DataFrame:
-    """Pairs of targets with how many items they share, by a join on the item over distinct pairs."""
+    """Pairs of targets with how many items they share.
+
+    Targets with equal sets of items are one class: items are counted for pairs of classes, and only then pairs of classes
+    are spread to pairs of targets, which are written as they come and never aggregated. Classes are cut into blocks of
+    ``BLOCK`` targets or so, so that no task spreads a whole class and none holds more than a block.
+    """
     pairs = df.select("target", item.alias("item")).where("item is not null and item <> ''").distinct()
-    a, b = pairs.alias("a"), pairs.alias("b")
-    return a.join(b, F.expr("a.item = b.item and a.target < b.target")).groupBy(
-        F.col("a.target").alias("target_a"), F.col("b.target").alias("target_b")
-    ).agg(F.count("*").alias("shared_items")).where(F.col("shared_items") >= minimum)
+    of_target = pairs.groupBy("target").agg(F.sha2(F.to_json(F.sort_array(F.collect_list("item"))), 256).alias("class"))
+    sizes = of_target.groupBy("class").agg(F.min("target").alias("first"), F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    items = pairs.join(sizes.select(F.col("first").alias("target"), "class"), "target").select("class", "item")
+    a, b = items.alias("a"), items.alias("b")
+    shared = a.join(b, F.expr("a.item = b.item and a.class <= b.class")).groupBy(F.col("a.class").alias("x"), F.col("b.class").alias("y")).agg(F.count("*").alias("shared_items"))
+    blocks = sizes.select("class", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    side = lambda c, n: blocks.select(F.col("class").alias(c), F.col("block").alias(n))
+    met = shared.where(F.col("shared_items") >= minimum).join(side("x", "i"), "x").join(side("y", "j"), "y").where("x < y or i <= j")
+    placed = of_target.join(sizes, "class").select("target", "class", F.pmod(F.xxhash64("target"), F.col("blocks")).alias("block"))
+    member = lambda c, n, t: placed.select(F.col("class").alias(c), F.col("block").alias(n), F.col("target").alias(t))
+    spread = met.join(member("x", "i", "s"), ["x", "i"]).join(member("y", "j", "t"), ["y", "j"])
+    return spread.where("s <> t and (x < y or i < j or s < t)").select(F.least("s", "t").alias("target_a"), F.greatest("s", "t").alias("target_b"), "shared_items")
