@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellspan.llm import boilerplate, bpe, minhash, mixing, quality, simhash
+from cellspan.llm import boilerplate, bpe, mixing, quality, simhash
 from cellspan.llm.common import ensure_checkpoint_dir, maybe_broadcast, remove
 
 
@@ -23,8 +23,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each near-duplicate group: five-word shingles, Jaccard similarity from 0.8."""
-    return simhash.keep_one(docs, grouped=minhash.near_duplicates)
+    """Keeps the document of smallest id of each near-duplicate group of operator 10: fingerprints that differ in three bits
+    or fewer link."""
+    return simhash.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

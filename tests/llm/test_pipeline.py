@@ -66,3 +66,15 @@ def test_rows_without_an_id_are_mixed_on_their_own(spark, tmp_path):
     share = [share[0], min(2 * size[1], 1.5 * sum(size) - share[0])]
     for s, n, w in zip("st", (300, 300), range(2)):
         assert abs(got.count(s) - n * share[w] / size[w]) <= 5
+
+
+def test_near_dedup_is_operator_10(spark, tmp_path):
+    """What links is the fingerprints of operator 10: near copies beyond three bits stay, whatever their shingles share."""
+    r = random.Random(3)
+    base = [" ".join(r.choices("abcdefghijklmnop", k=60)) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, t.replace(" ", " x ", 1)) for i, t in enumerate(base)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = {i for i, _, c in components([(i, fingerprint(t)) for i, t, *_ in rows]) if i == c}
+    assert 60 < len(want) < 120
+    assert {x["doc_id"] for x in corpus_pipeline.near_dedup(spark, df, str(tmp_path)).collect()} == want
