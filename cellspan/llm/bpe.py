@@ -6,7 +6,8 @@ pair is the encoding of its own bytes, and each prefix of a text has exactly one
 of tokens (the longest suffix read that still begins some token), with the last id before each place where such a suffix
 starts; it fixes the token that ends at the byte just read. A state is made when a move comes to it for the second time;
 until then the nodes of the trie alone are followed. A token is emitted once all encodings that can still go on agree
-on it: at the end of a piece, or within long pieces after each block.
+on it: at the end of a piece, or within long pieces after each block. The short pieces of some texts that a worker does
+not remember go through it side by side (``transduce.py``).
 """
 
 from __future__ import annotations
@@ -21,11 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
+from .transduce import SideBySide
 
 #: Pieces in a worker's table. A full table becomes the old one, from which the new one takes over what is used again:
 #: so memory is bounded and what is frequent stays.
 REMEMBERED = 100_000
 
+#: Characters of texts whose pieces are encoded together, and the least number of pieces that go side by side.
+TOGETHER, FEW = 1 << 20, 48
+
 #: Moves, jumps and tested pairs of the transducer: each table starts anew when it is full.
 MOVES, JUMPS, PAIRS = 100_000, 50_000, 200_000
 
@@ -60,6 +65,7 @@ class Transducer:
         self.jumps: dict[int, int] = {}
         self.pairs: dict[int, bool] = {}
         self._renew()
+        self.side_by_side: SideBySide | None = None
 
     def _split(self, token: bytes) -> bool:
         """Note the halves of the last merge that makes ``token``; false if merging by rank does not make it."""
@@ -242,6 +248,15 @@ class Transducer:
             state = self._state(node, ends)
         return ids + self._path(ends, len(ends) - 1)
 
+    def encode_many(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of each of many short pieces."""
+        if self.side_by_side is None:
+            self.side_by_side = SideBySide(self)
+        codes = self.side_by_side.encode(pieces)
+        if self.whole:
+            codes = [packed([self.ranks[p]]) if p in self.whole else c for p, c in zip(pieces, codes)]
+        return codes
+
 
 class Utf8Stream:
     """Incremental UTF-8 decoder: ``feed`` gives the characters that are complete and keeps at most three bytes.
@@ -287,26 +302,66 @@ class Tokenizer:
         """Packed ids of ``text`` in blocks of about a million characters that end where a match ends."""
         at, n = 0, len(text)
         while at < n:
-            if n - at <= 1 << 20:
+            if n - at <= TOGETHER:
                 pieces, at = self.split.findall(text, at), n
             else:
                 pieces = []
                 for m in self.split.finditer(text, at):
                     pieces.append(m[0])
-                    if m.end() - at > 1 << 20:
+                    if m.end() - at > TOGETHER:
                         break
                 at = m.end() if pieces else n
-            get, make = self.memo.get, self._piece
-            yield b"".join([get(p) or make(p) for p in pieces])
-
-    def _piece(self, p: str) -> bytes:
-        got = self.memo.get(p) or self.old_memo.get(p) or packed(self.transducer.encode(p.encode()))
-        if len(p) < 64:
-            if len(self.memo) >= self.remembered:
-                self.old_memo = dict(self.memo)
-                self.memo.clear()
-            self.memo[p] = got
-        return got
+            yield from self._together([pieces])
+
+    def encode_texts(self, texts: Iterable[str]) -> Iterator[list[bytes]]:
+        """The parts of each text; texts are taken together up to ``TOGETHER`` characters."""
+        group, size = [], 0
+        for text in texts:
+            if size + len(text) > TOGETHER:
+                yield from ([part] for part in self._together(group))
+                group, size = [], 0
+            if len(text) > TOGETHER:
+                yield list(self.encode_parts(text))
+            else:
+                group.append(self.split.findall(text))
+                size += len(text)
+        yield from ([part] for part in self._together(group))
+
+    def _together(self, group: list[list[str]]) -> Iterator[bytes]:
+        """Packed ids of each list of pieces."""
+        codes = self._codes(set().union(*group))
+        for pieces in group:
+            yield b"".join(map(codes.__getitem__, pieces))
+
+    def _codes(self, pieces: set[str]) -> dict[str, bytes]:
+        """Packed ids of each piece: remembered, or made and remembered if it is short."""
+        codes, short = {}, []
+        memo, old = self.memo, self.old_memo
+        for p in pieces:
+            got = memo.get(p)
+            if got is None:
+                got = old.get(p)
+                if got is not None:
+                    self._remember(p, got)
+                elif len(p) < 64:
+                    short.append(p)
+                    continue
+                else:
+                    got = packed(self.transducer.encode(p.encode()))
+            codes[p] = got
+        if len(short) < FEW:
+            new = [packed(self.transducer.encode(p.encode())) for p in short]
+        else:
+            new = self.transducer.encode_many([p.encode() for p in short])
+        for p, got in zip(short, new):
+            codes[p] = got
+            self._remember(p, got)
+        return codes
+
+    def _remember(self, p: str, got: bytes):
+        if len(self.memo) >= self.remembered:
+            self.old_memo, self.memo = self.memo, {}
+        self.memo[p] = got
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.transducer.token.__getitem__, ids))
@@ -366,20 +421,19 @@ def encode_documents(
         tok = tokenizer(path, pattern)
         names = [*[f"c{i}" for i in range(len(fields))], "ids", "n_tokens", "ids_sha256", "decoded_sha256"]
 
-        def one(text):
-            ids, sha, decoded, stream = [], hashlib.sha256(), hashlib.sha256(), Utf8Stream()
-            for part in tok.encode_parts(text):
-                ids.append(part)
+        def one(parts):
+            sha, decoded, stream = hashlib.sha256(), hashlib.sha256(), Utf8Stream()
+            for part in parts:
                 sha.update(part)
                 decoded.update(stream.feed(tok.decode_bytes(unpacked(part))).encode())
             decoded.update(stream.feed(b"", final=True).encode())
-            raw = b"".join(ids)
+            raw = b"".join(parts)
             return raw, len(raw) // 4, sha.hexdigest(), decoded.hexdigest()
 
         for b in batches:
             texts, begin, rows, size = b.column(b.num_columns - 1), 0, [], 0
-            for end in range(1, b.num_rows + 1):
-                rows.append(one(texts[end - 1].as_py() or ""))
+            for end, parts in enumerate(tok.encode_texts(t.as_py() or "" for t in texts), 1):
+                rows.append(one(parts))
                 size += len(rows[-1][0])
                 if size >= FLUSH or end == b.num_rows:
                     head = [c.slice(begin, end - begin) for c in b.columns[:-1]]

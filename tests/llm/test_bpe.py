@@ -89,3 +89,67 @@ print(resident() - before)
 """
     got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
     assert float(got.stdout) < 150
+
+
+def words(r, n, letters="etaoinshrdlucmfwypvéö漢🙂"):
+    return ["".join(r.choices(letters, k=r.randint(1, 14))) for _ in range(n)]
+
+
+def test_side_by_side(both, monkeypatch):
+    """Pieces that go side by side give what the library gives, with tables of any size."""
+    tok, enc = both
+    r = random.Random(3)
+    pieces = [w.encode() for w in words(r, 3000)] + r.sample(sorted(tok.transducer.ranks), 3000)
+    pieces += [b"", b"\0", b"\0\0a", b"a" * 300]
+    want = [bpe.packed(tok.transducer.encode(p)) for p in pieces]
+    for states, often, bits in ((50_000, 4, 17), (50_000, 1, 17), (9, 1, 4), (400, 1, 9), (2000, 2, 5)):
+        for name, value in (("STATES", states), ("OFTEN", often), ("MOVE_BITS", bits), ("PAIR_BITS", bits + 1)):
+            monkeypatch.setattr(bpe.SideBySide.__module__ + "." + name, value)
+        many = bpe.SideBySide(tok.transducer)
+        for _ in range(3):
+            assert many.encode(pieces) == want
+            assert len(many.states) <= states
+        assert many.encode([]) == []
+    texts = ["", *(" ".join(words(r, r.randint(0, 400))) for _ in range(60)), "漢 " * 700_000, "a1" * 400_000, "b"]
+    monkeypatch.undo()
+    for got, text in zip(bpe.Tokenizer(tok.transducer.ranks, P.PATTERN).encode_texts(texts), texts, strict=True):
+        assert list(bpe.unpacked(b"".join(got))) == enc.encode_ordinary(text)
+
+
+def test_side_by_side_small_vocabularies():
+    r = random.Random(4)
+    for _ in range(60):
+        tokens = [bytes([b]) for b in b"abc"]
+        while len(tokens) < 25:
+            t = r.choice(tokens) + r.choice(tokens)
+            if t not in tokens:
+                tokens.append(t)
+        if r.random() < 0.5:
+            tokens.append(b"cabbacca" + r.choice(tokens))  # often no merge makes it
+        one = bpe.Transducer({t: i for i, t in enumerate(dict.fromkeys(tokens))})
+        pieces = ["".join(r.choices("abc", k=r.randint(1, 30))).encode() for _ in range(200)] + tokens
+        want = [bpe.packed(one.encode(p)) for p in pieces]
+        assert all(one.encode_many(pieces) == want for _ in range(3))
+        with pytest.raises(ValueError):
+            one.encode_many([*pieces, b"abdc"])
+
+
+def test_new_pieces_of_a_text_go_together(both):
+    """Text of words that no worker remembers costs clearly less than its pieces one by one."""
+    import time
+
+    ranks = both[0].transducer.ranks
+    text = " ".join(words(random.Random(6), 60_000))
+
+    def seconds(run, tok):
+        begin = time.process_time()
+        run(tok)
+        return time.process_time() - begin
+
+    def singly(tok):
+        for p in tok.split.findall(text):
+            tok.transducer.encode(p.encode())
+
+    one_by_one = min(seconds(singly, bpe.Tokenizer(ranks, P.PATTERN)) for _ in range(2))
+    together = min(seconds(lambda tok: tok.encode(text), bpe.Tokenizer(ranks, P.PATTERN)) for _ in range(2))
+    assert together < 0.8 * one_by_one, (together, one_by_one)
