@@ -170,17 +170,20 @@ def targets(calls: DataFrame, above: DataFrame, min_share: float = 0.8, min_rows
     )
 
 
-def call_targets(spark: SparkSession, reports: str | DataFrame, suffixes: tuple[str, ...] = (".csv", ".txt")) -> DataFrame:
+def call_targets(spark: SparkSession, reports: str | DataFrame, suffixes: tuple[str, ...] = (".csv", ".txt"), copies: bool = False) -> DataFrame:
     """``targets`` of all reports of calls below a folder, or in a frame in the layout of Spark's ``binaryFile`` source.
 
-    Very many short reports are better kept as rows of such a frame than as files. Byte-identical reports are read once.
+    Very many short reports are better kept as rows of such a frame than as files. Byte-identical reports are read once and
+    have the row of the first by path; with ``copies`` each has a row of its own.
     """
     packed = isinstance(reports, DataFrame)
     found = reports if packed else folders.contents(spark, reports)
-    first = folders.stored(folders.distinct_files(folders.listed(found, suffixes)).select("path"))
-    if not packed and first.isEmpty():
+    texts = folders.with_suffix(found, suffixes)
+    if not copies:
+        first = folders.stored(folders.distinct_files(folders.listed(found, suffixes)).select("path"))
+        texts = found.join(broadcast_if_small(first), "path", "left_semi")
+    if not packed and texts.select("path").isEmpty():
         raise ValueError("the folder has no reports")
-    texts = found.join(broadcast_if_small(first), "path", "left_semi")
     if packed:  # parsing costs more than a small table's bytes say
         texts = texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
     parsed, names = parsed_rows(spark, texts, [], None, 0, with_names(text.CALL_ALIASES, *text.CALL_COLUMNS))

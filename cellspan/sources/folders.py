@@ -37,12 +37,17 @@ def files(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = (".csv",
 
 def listed(found: DataFrame, suffixes: tuple[str, ...] = (".csv", ".txt")) -> DataFrame:
     """As ``files``, of files in the layout of ``contents``."""
+    return with_suffix(found, suffixes).select(
+        "path", F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256")
+    )
+
+
+def with_suffix(found: DataFrame, suffixes: tuple[str, ...]) -> DataFrame:
+    """Of files in the layout of ``contents`` those whose name ends so, whatever its case."""
     ok = F.lit(False)
     for s in suffixes:
         ok = ok | F.lower("path").endswith(s)
-    return found.where(ok).select(
-        "path", F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256")
-    )
+    return found.where(ok)
 
 
 def distinct_files(found: DataFrame) -> DataFrame:

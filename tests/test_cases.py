@@ -126,3 +126,31 @@ def test_rows_are_parsed_once(spark, tmp_path):
     case = cases.read_case(spark, str(tmp_path / "c"), "towers")
     shutil.move(str(tmp_path / "c"), str(tmp_path / "gone"))
     assert case.data.count() == 1 and case.files.collect()[0]["records"] == 1 and case.spots.count() == 1 and case.rejected.count() == 0
+
+
+def test_copies_of_reports_in_rows(spark):
+    text = "Calling No,Called No,Date,Time\n" + "9876543210,9123456789,25/01/2024,10:00:00\n" * 3
+    rows = [(f"/part={i}/report.txt", dt.datetime(2024, 1, 1), len(text), bytearray(text.encode())) for i in range(3)]
+    packed = spark.createDataFrame(rows, "path string, modificationTime timestamp, length long, content binary")
+    assert cases.call_targets(spark, packed).count() == 1
+    got = sorted((r["source_path"], r["method"]) for r in cases.call_targets(spark, packed, copies=True).collect())
+    assert got == [(p, "AMBIGUOUS") for p, *_ in rows]  # two numbers in every row
+
+
+def test_query_has_a_row_for_every_copy_of_a_report(spark, tmp_path):
+    """Reports of one user with equal rows and times in two parts are byte-identical."""
+    import duckdb
+
+    from cellspan.plans import catalog, catalog_files
+
+    at, apart = dt.datetime(2024, 1, 1, 10), catalog_files.PER_FILE * 97 * 22 * 19  # equal numbers, other part
+    events = [(e + k * apart, at, 7, "click", 1.0, '{"k": 1}') for e in (1, 2, 4) for k in range(2)]
+    folder = str(tmp_path / "sf")
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{folder}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{folder}/events.parquet/*.parquet'")
+    con.execute("create view customer as select 1 as c_custkey, '' as c_name; create view part as select 1 as p_partkey, '' as p_name")
+    columns = ("user", "part", "target", "method", "confidence")
+    got = catalog.QUERIES["load_call_targets"](spark, folder).select(*columns).collect()
+    want = con.execute(f'select "user", part, target, method, confidence from ({catalog.ORACLES["load_call_targets"]})').fetchall()
+    assert len(want) == 2 and sorted(map(tuple, got)) == sorted(want)
