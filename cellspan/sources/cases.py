@@ -6,6 +6,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import identifiers as I
 from ..operators.common import broadcast_if_small, fits_broadcast
@@ -139,32 +140,50 @@ def _spots(files: DataFrame, accepted: DataFrame, time: str) -> DataFrame:
     return out.withColumn("subscribers", F.coalesce("subscribers", F.lit(0).cast("long")))
 
 
-def targets(calls: DataFrame, above: DataFrame, min_share: float = 0.8, min_rows: int = 3, lead: float = 0.2) -> DataFrame:
-    """``(source_path, target, method, confidence)`` of each file of ``calls``: the number that the lines above its header
-    state, else one in its name, else one that stands in most of its rows.
+def targets(rows: DataFrame, min_share: float = 0.8, min_rows: int = 3, lead: float = 0.2) -> DataFrame:
+    """``(source_path, target, method, confidence)`` of each report with a call: the number that the lines above its header
+    state, else one in its name, else one that stands in most of its calls.
 
-    A row states a number on either side. The most frequent number counts only from ``min_share`` of the rows of a file with
-    ``min_rows`` rows, and if it leads the next one by ``lead``; else the target stays null (AMBIGUOUS, or NOT_DETECTED in
-    short files and files without numbers). ``above``: ``(source_path, above)``.
+    ``rows``: ``(source_path, source_row, above, a_party, b_party)``, where ``above`` is the text of a line above the header
+    and null in calls. A call states a number on either side. The most frequent number counts only from ``min_share`` of the
+    calls of a report with ``min_rows`` of them, and if it leads the next one by ``lead``; else the target stays null
+    (AMBIGUOUS, or NOT_DETECTED in short reports and reports without numbers).
+
+    Rows are shuffled once, by report, and all that is asked of a report is counted where they arrive.
     """
     line = F.filter(F.split("above", "\n"), lambda x: F.exists(F.array(*map(F.lit, TARGET_WORDS)), lambda w: F.lower(x).contains(w)))
-    said = above.select("source_path", I.msisdn(F.regexp_extract(F.array_join(line, "\n"), f"({_MOBILE})", 1)).alias("said"))
-    sides = F.explode_outer(F.array_distinct(F.array_compact(F.array(I.msisdn("a_party"), I.msisdn("b_party")))))
-    rows = calls.groupBy("source_path").agg(F.count("*").alias("rows"))
-    counts = calls.select("source_path", sides.alias("number")).groupBy("source_path", "number").agg(F.count("*").alias("n")).where("number is not null")
-    best = F.min(F.struct((-F.col("n")).alias("less"), F.col("number").alias("number")))
-    top = counts.groupBy("source_path").agg(best.alias("b"))
-    other = counts.join(top, "source_path").where("number <> b.number").groupBy("source_path").agg(F.max("n").alias("second"))
-    out = rows.join(top, "source_path", "left").join(other, "source_path", "left").join(said, "source_path", "left")
+    call, stated = F.col("above").isNull(), F.regexp_extract(F.array_join(line, "\n"), f"({_MOBILE})", 1)
+    sides = rows.select("source_path", "source_row", call.alias("call"), F.when(call, F.col("a_party")).otherwise(stated).alias("a"), F.col("b_party").alias("b"))
+    plain = lambda c: F.when(F.col(c).rlike(r"^[6-9]\d{9}\z"), F.col(c)).otherwise(I.msisdn(c))
+    sides = sides.select("source_path", "source_row", "call", plain("a").alias("a"), plain("b").alias("b"))
+    sides = sides.repartition("source_path")
+    either = F.explode(
+        F.array(
+            F.struct(F.coalesce("a", "b").alias("number"), F.col("call").cast("long").alias("calls")),
+            F.struct(F.when(F.col("a") != F.col("b"), F.col("b")).alias("number"), F.lit(0).cast("long").alias("calls")),
+        )
+    )
+    numbers = sides.select("source_path", "source_row", "call", either.alias("e")).where("e.number is not null or e.calls > 0")
+    n = F.count_if(F.col("call") & F.col("e.number").isNotNull())
+    counts = numbers.groupBy("source_path", F.col("e.number").alias("number")).agg(
+        n.alias("n"), F.sum("e.calls").alias("calls"), F.min(F.when(~F.col("call"), F.col("source_row"))).alias("at")
+    )
+    counts = counts.withColumn("place", F.row_number().over(Window.partitionBy("source_path").orderBy(F.desc("n"), "number")))
+    found = counts.groupBy("source_path").agg(
+        F.sum("calls").alias("calls"),
+        F.min_by("number", "at").alias("said"),
+        F.max(F.when((F.col("place") == 1) & (F.col("n") > 0), F.col("number"))).alias("number"),
+        F.max("n").alias("n"),
+        F.coalesce(F.max(F.when(F.col("place") == 2, F.col("n"))), F.lit(0)).alias("second"),
+    )
     named = I.msisdn(F.regexp_extract(base_name("source_path"), f"({_MOBILE})", 1))
-    n, second = -F.col("b.less"), F.coalesce("second", F.lit(0))
-    often = (n >= min_share * F.col("rows")) & (n - second >= lead * F.col("rows"))
-    able = (F.col("rows") >= min_rows) & n.isNotNull()
-    by = lambda a, b, c, d, e: F.when(F.col("said").isNotNull(), a).when(named.isNotNull(), b).when(able & often, c).when(able, d).otherwise(e)
+    often = (F.col("n") >= min_share * F.col("calls")) & (F.col("n") - F.col("second") >= lead * F.col("calls"))
+    able = (F.col("calls") >= min_rows) & F.col("number").isNotNull()
+    by = lambda a, b, c, d, e: F.when(F.col("said").isNotNull(), a).when(F.col("named").isNotNull(), b).when(able & often, c).when(able, d).otherwise(e)
     none = F.lit(None).cast("string")
-    return out.select(
+    return found.where("calls > 0").withColumn("named", named).select(
         "source_path",
-        by(F.col("said"), named, F.col("b.number"), none, none).alias("target"),
+        by(F.col("said"), F.col("named"), F.col("number"), none, none).alias("target"),
         by("METADATA", "FILE_NAME", "ROW_PRESENCE", "AMBIGUOUS", "NOT_DETECTED").alias("method"),
         by("HIGH", "HIGH", "MEDIUM", "LOW", "NONE").alias("confidence"),
     )
@@ -173,8 +192,9 @@ def targets(calls: DataFrame, above: DataFrame, min_share: float = 0.8, min_rows
 def call_targets(spark: SparkSession, reports: str | DataFrame, suffixes: tuple[str, ...] = (".csv", ".txt"), copies: bool = False) -> DataFrame:
     """``targets`` of all reports of calls below a folder, or in a frame in the layout of Spark's ``binaryFile`` source.
 
-    Very many short reports are better kept as rows of such a frame than as files. Byte-identical reports are read once and
-    have the row of the first by path; with ``copies`` each has a row of its own.
+    Very many short reports are better kept as rows of such a frame than as files; with ``copies`` it is read once.
+    Byte-identical reports are read once and have the row of the first by path; with ``copies`` each has a row of its own.
+    Without ``suffixes`` a report may have any name.
     """
     packed = isinstance(reports, DataFrame)
     found = reports if packed else folders.contents(spark, reports)
@@ -186,8 +206,12 @@ def call_targets(spark: SparkSession, reports: str | DataFrame, suffixes: tuple[
         raise ValueError("the folder has no reports")
     if packed:  # parsing costs more than a small table's bytes say
         texts = texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
-    parsed, names = parsed_rows(spark, texts, [], None, 0, with_names(text.CALL_ALIASES, *text.CALL_COLUMNS))
-    rows = folders.stored(parsed).withColumnRenamed("path", "source_path").withColumn("source_file", base_name("source_path"))
-    place = ["source_path", "source_file", "source_row", "source_row_end"]
-    good = rows.where("reason is null").select(*[F.col(f"f{i}").alias(n) for i, n in enumerate(names) if n not in place], *place)
-    return targets(text.calls_from(good)[0], above_header(rows))
+    fields = ("a_party", "b_party", "call_date", "call_time")
+    known = with_names(text.CALL_ALIASES, *text.CALL_COLUMNS)
+    parsed, names = parsed_rows(spark, texts, [], None, 0, known, only=("path", "source_row", "reason", "json", *fields))
+    values = [I.without_null_tokens(f"f{names.index(c)}").alias(c) for c in fields]
+    above = F.when(F.col("reason") == "PREAMBLE", F.array_join(F.from_json("json", "array<string>"), ","))
+    rows = parsed.where("reason is null or reason = 'PREAMBLE'").select(F.col("path").alias("source_path"), "source_row", above.alias("above"), *values)
+    # As calls_from: a row without time and parties is no call. Few rows are without parties, so times are read for these only.
+    party, time = F.col("a_party").isNotNull() | F.col("b_party").isNotNull(), F.exists(F.array(F.concat_ws(" ", "call_date", "call_time")), text.states_time)
+    return targets(rows.where(F.when(F.col("above").isNotNull() | party, True).otherwise(time)))

@@ -43,8 +43,8 @@ def listed(found: DataFrame, suffixes: tuple[str, ...] = (".csv", ".txt")) -> Da
 
 
 def with_suffix(found: DataFrame, suffixes: tuple[str, ...]) -> DataFrame:
-    """Of files in the layout of ``contents`` those whose name ends so, whatever its case."""
-    ok = F.lit(False)
+    """Of files in the layout of ``contents`` those whose name ends so, whatever its case; without suffixes all."""
+    ok = F.lit(not suffixes)
     for s in suffixes:
         ok = ok | F.lower("path").endswith(s)
     return found.where(ok)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,8 +102,9 @@ def first_header(lines: list[str], keywords: tuple[str, ...], aliases: dict[str,
 
 
 def parsed_rows(
-    spark: SparkSession, path: str | list[str] | DataFrame, names: list[str], sep: str | None, skip: int, aliases: dict[str, str] | None = None
-) -> tuple[DataFrame, list[str]]:
+    spark: SparkSession, path: str | list[str] | DataFrame, names: list[str], sep: str | None, skip: int, aliases: dict[str, str] | None = None,
+    only: tuple[str, ...] = (),
+) -> tuple[DataFrame, list[str]]:
     """``(rows, columns)``: every row of text files with its place, ``reason`` (null: data) and fields ``f0, f1 ...``.
 
     ``path``: files by name, or a frame ``(path, content)`` of them. They are read whole as bytes, and parsed in a stream of
@@ -112,7 +114,8 @@ def parsed_rows(
     first header is looked for as well, and the lines above it have the reason PREAMBLE (beyond ``PREAMBLE_LINES`` of
     them NO_HEADER). Columns that ``names`` lacks follow under their canonical names; fields that no name is known for are
     kept in ``more_fields`` as JSON. The headers themselves have the reason HEADER. ``section_columns``: the canonical names of a row's header, between commas. Without
-    ``sep`` it is the one under which a line of the file is a header.
+    ``sep`` it is the one under which a line of the file is a header. ``only``: the columns that the rows have, fields by
+    their names; all, if it is empty.
     """
     names = dedupe_names(names)
     own = len(names)
@@ -126,6 +129,8 @@ def parsed_rows(
             names.append(n)
     width, known = len(names), set(slots)
     out_names = ["path", "section", "source_row", "source_row_end", "reason", "json", "section_columns", "more_fields", *[f"f{i}" for i in range(width)]]
+    kept = [i for i, n in enumerate([*out_names[:8], *names]) if not only or n in only]
+    kinds = dict.fromkeys(out_names, "string") | {"section": "int", "source_row": "long", "source_row_end": "long"}
 
     def parse(batches):
         import csv
@@ -134,26 +139,41 @@ def parsed_rows(
 
         import pyarrow as pa
 
-        types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), *[pa.string()] * (4 + width)]
+        dumps = json.JSONEncoder(ensure_ascii=False).encode
+        types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+        schema = [(i, out_names[i], types[kinds[out_names[i]]]) for i in kept]
 
         def flush(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], out_names)
+            columns = list(zip(*rows))
+            return pa.RecordBatch.from_arrays([pa.array(columns[i], t) for i, _, t in schema], [n for _, n, _ in schema])
+
+        seen = set()
+
+        def names_columns(fields):
+            """``is_header``, which for the same few headers of very many short files is asked once."""
+            if tuple(fields) in seen:
+                return True
+            found = is_header(fields, known, aliases)
+            if found and len(seen) < 1000:
+                seen.add(tuple(fields))
+            return found
 
         def separator(text):
             heads = [x for _, x in zip(range(PREAMBLE_LINES), io.StringIO(text))]
             for s in SEPARATORS:
-                if any(is_header(r, known, aliases) for r in csv.reader(heads, delimiter=s)):
+                if any(map(names_columns, csv.reader(heads, delimiter=s))):
                     return s
             return ","
 
+        @lru_cache(1000)
         def header(fields):
-            """For each field of a header the place of its values, or none."""
+            """For each field of a header the place of its values, or none, and the canonical names between commas."""
             used, at = {}, []
-            for n in fields:
-                free = slots.get(canonical(n), [])[used.get(canonical(n), 0) :]
-                used[canonical(n)] = used.get(canonical(n), 0) + 1
+            for n in map(canonical, fields):
+                free = slots.get(n, [])[used.get(n, 0) :]
+                used[n] = used.get(n, 0) + 1
                 at.append(free[0] if free else None)
-            return at
+            return at, "," + ",".join(map(canonical, fields)) + ","
 
         def rows_of(file, text):
             reader = csv.reader(io.StringIO(text, newline=""), delimiter=sep or separator(text))
@@ -165,19 +185,18 @@ def parsed_rows(
                 if first <= skip or not any(x.strip() for x in r):
                     continue
                 place = (file, section, first, last)
-                if aliases and is_header(r, known, aliases):
-                    section, at, fields = section + 1, header(r), r
-                    columns = "," + ",".join(map(canonical, r)) + ","
-                    yield (file, section, first, last, "HEADER", json.dumps(r, ensure_ascii=False), columns, None, *[None] * width)
+                if aliases and names_columns(r):
+                    section, fields, (at, columns) = section + 1, r, header(tuple(r))
+                    yield (file, section, first, last, "HEADER", dumps(r), columns, None, *[None] * width)
                     continue
                 if not section:
                     above += 1
-                    yield (*place, "PREAMBLE" if above <= PREAMBLE_LINES else "NO_HEADER", json.dumps(r, ensure_ascii=False), None, None, *[None] * width)
+                    yield (*place, "PREAMBLE" if above <= PREAMBLE_LINES else "NO_HEADER", dumps(r), None, None, *[None] * width)
                     continue
                 while len(r) > len(at) and not r[-1].strip():
                     r.pop()
                 if len(r) > len(at):
-                    yield (*place, "FIELD_COUNT_MISMATCH", json.dumps(r, ensure_ascii=False), columns, None, *[None] * width)
+                    yield (*place, "FIELD_COUNT_MISMATCH", dumps(r), columns, None, *[None] * width)
                     continue
                 out, more = [None] * width, {}
                 for value, slot, name in zip(r, at, fields):
@@ -185,23 +204,23 @@ def parsed_rows(
                         out[slot] = value
                     elif value.strip():
                         more[name.strip()] = value
-                yield (*place, None, None, columns, json.dumps(more, ensure_ascii=False) if more else None, *out)
+                yield (*place, None, None, columns, dumps(more) if more else None, *out)
 
+        rows = []
         for b in batches:
             for file, raw in zip(b.column(0).to_pylist(), b.column(1)):
-                rows = []
                 for r in rows_of(file, decode(raw.as_py())):
                     rows.append(r)
                     if len(rows) >= 5000:
                         yield flush(rows)
                         rows = []
-                if rows:
-                    yield flush(rows)
+        # Short files share a batch.
+        if rows:
+            yield flush(rows)
 
     files = path if isinstance(path, DataFrame) else spark.read.format("binaryFile").load(path)
     files = files.select("path", "content")
-    texts = ", ".join(f"`{n}` string" for n in out_names[4:])
-    return files.mapInArrow(parse, f"path string, section int, source_row long, source_row_end long, {texts}"), names
+    return files.mapInArrow(parse, ", ".join(f"`{out_names[i]}` {kinds[out_names[i]]}" for i in kept)), names
 
 
 def read_delimited(
@@ -299,6 +318,13 @@ def with_times(df: DataFrame, columns: list[str], by: str = "source_path") -> Da
     return out.withColumns({c: read(c) for c in columns}).drop(*[f"_m_{c}" for c in columns])
 
 
+def states_time(c):
+    """Whether ``with_times`` reads a time from a text, which the layout of its file does not change."""
+    from ..functions import identifiers as I
+
+    return F.coalesce(I.event_time(c), I.event_time(c, I.MONTH_FIRST)).isNotNull()
+
+
 def ledger(rows: DataFrame, json_col: str, reason) -> DataFrame:
     have = set(rows.columns)
     end = F.col("source_row_end") if "source_row_end" in have else F.col("source_row")

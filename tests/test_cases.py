@@ -154,3 +154,59 @@ def test_query_has_a_row_for_every_copy_of_a_report(spark, tmp_path):
     got = catalog.QUERIES["load_call_targets"](spark, folder).select(*columns).collect()
     want = con.execute(f'select "user", part, target, method, confidence from ({catalog.ORACLES["load_call_targets"]})').fetchall()
     assert len(want) == 2 and sorted(map(tuple, got)) == sorted(want)
+
+
+def test_lines_that_count_for_targets(spark, tmp_path):
+    """Rows without time and parties are no calls, whatever the layout of their times; the first line that states a number counts."""
+    head, row = "A Party,B Party,Date,Time\n", "9822222222,{},25/01/2024,10:00:00\n"
+    files = {
+        "timed.csv": head + ",,01/25/2024,10:00:00\n" * 2 + row.format("") * 3,
+        "blank.csv": head + ",,x,y\n" * 5 + row.format("") * 4,
+        "lines.csv": "Target: none\nMSISDN : 09811111111 and 9833333333\nSubscriber number 9844444444\n" + head + row.format("9811111111"),
+        "other.csv": "Cell of 9811111111\n" + head + row.format("-") * 4,
+        "quoted.csv": '"Report of 9811111113\nTarget number 9811111112"\n' + head + row.format(""),
+        "same.csv": head + row.format("+91 98222 22222") * 4,
+        "tie.csv": head + row.format("9811111111") * 4,
+        "only.csv": "MSISDN 9811111111\n" + head,
+    }
+    (tmp_path / "in").mkdir()
+    for name, body in files.items():
+        (tmp_path / "in" / name).write_text(body)
+    got = {r["source_path"].rsplit("/", 1)[1]: (r["target"], r["method"]) for r in cases.call_targets(spark, str(tmp_path / "in")).collect()}
+    assert got == {
+        "timed.csv": (None, "AMBIGUOUS"),
+        "blank.csv": ("9822222222", "ROW_PRESENCE"),
+        "lines.csv": ("9811111111", "METADATA"),
+        "other.csv": ("9822222222", "ROW_PRESENCE"),
+        "quoted.csv": ("9811111112", "METADATA"),
+        "same.csv": ("9822222222", "ROW_PRESENCE"),
+        "tie.csv": (None, "AMBIGUOUS"),
+    }
+
+
+def test_short_reports_share_batches_and_are_counted_in_one_shuffle(spark, monkeypatch):
+    import pyarrow as pa
+
+    from cellspan.sources import text
+
+    body = "Calling No,Called No,Date,Time\n9876543210,9123456789,25/01/2024,10:00:00\n"
+
+    class Frame:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, parse, schema):
+            reports = pa.RecordBatch.from_arrays([pa.array([f"/{i}.txt" for i in range(3000)]), pa.array([body.encode()] * 3000, pa.binary())], ["path", "content"])
+            return list(parse(iter([reports])))
+
+    with monkeypatch.context() as m:
+        m.setattr(text, "DataFrame", Frame)
+        known = text.with_names(text.CALL_ALIASES, *text.CALL_COLUMNS)
+        batches, names = text.parsed_rows(spark, Frame(), [], None, 0, known, only=("path", "reason", "a_party"))
+    assert [b.num_rows for b in batches] == [5000, 1000]
+    assert batches[0].schema.names == ["path", "reason", f"f{names.index('a_party')}"]
+    assert batches[1].to_pylist()[-1] == {"path": "/2999.txt", "reason": None, f"f{names.index('a_party')}": "9876543210"}
+
+    packed = spark.createDataFrame([("/1.txt", dt.datetime(2024, 1, 1), len(body), bytearray(body.encode()))], "path string, modificationTime timestamp, length long, content binary")
+    plan = cases.call_targets(spark, packed, copies=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange") == 2 and "Join" not in plan
